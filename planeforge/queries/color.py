@@ -8,7 +8,6 @@ from ..functions import color, curves
 from ..rasters import embedding_plane, palette, rgb_events, to_pixels, to_planes
 from .registry import PALETTE, PLANE, RGB, ints, query, reals
 
-R, G, B = F.col("r"), F.col("g"), F.col("b")
 _RCT = "((r + 2 * g + b) >> 2) - 128 AS yy, b - g AS cb, r - g AS cr"
 _CLAMP = "CAST(greatest(0, least(255, {0})) AS BIGINT)"
 
@@ -24,13 +23,13 @@ def _rounded(expression: str) -> str:
 
 @query("rct_forward", f"WITH {RGB} SELECT y, x, yy AS c0, cb AS c1, cr AS c2 FROM (SELECT y, x, {_RCT} FROM rgb)")
 def rct_forward(spark, d):
-    c = color.rct(R, G, B)
+    c = color.rct(F.col("r"), F.col("g"), F.col("b"))
     return rgb_events(spark, d).select("y", "x", *ints(c0=c[0], c1=c[1], c2=c[2]))
 
 
 @query("rct_inverse_roundtrip", f"WITH {RGB} SELECT y, x, r, g, b FROM rgb")
 def rct_inverse_roundtrip(spark, d):
-    c = color.rct(R, G, B)
+    c = color.rct(F.col("r"), F.col("g"), F.col("b"))
     mixed = rgb_events(spark, d).select("y", "x", *ints(c0=c[0], c1=c[1], c2=c[2]))
     back = color.inverse_rct(F.col("c0"), F.col("c1"), F.col("c2"))
     return mixed.select("y", "x", *ints(r=back[0], g=back[1], b=back[2]))
@@ -44,7 +43,7 @@ def rct_inverse_roundtrip(spark, d):
 )
 def rct_saturated(spark, d):
     coarse = [F.expr(f"{n} div 16") * 16 for n in ("c0", "c1", "c2")]
-    c = color.rct(R, G, B)
+    c = color.rct(F.col("r"), F.col("g"), F.col("b"))
     mixed = rgb_events(spark, d).select("y", "x", *ints(c0=c[0], c1=c[1], c2=c[2])).select("y", "x", *ints(c0=coarse[0], c1=coarse[1], c2=coarse[2]))
     back = color.inverse_rct(F.col("c0"), F.col("c1"), F.col("c2"), saturate=True)
     return mixed.select("y", "x", *ints(r=back[0], g=back[1], b=back[2]))
@@ -55,8 +54,8 @@ _RGBA = f"WITH {RGB}, a AS (SELECT *, (r * 3 + g) % 256 AS alpha FROM rgb)"
 
 @query("rct_alpha", f"{_RGBA} SELECT y, x, yy AS c0, cb AS c1, cr AS c2, alpha - 128 AS c3 FROM (SELECT y, x, alpha, {_RCT} FROM a)")
 def rct_alpha(spark, d):
-    c = color.rct(R, G, B)
-    return rgb_events(spark, d).select("y", "x", *ints(c0=c[0], c1=c[1], c2=c[2], c3=color.shifted(F.pmod(R * 3 + G, F.lit(256)))))
+    c = color.rct(F.col("r"), F.col("g"), F.col("b"))
+    return rgb_events(spark, d).select("y", "x", *ints(c0=c[0], c1=c[1], c2=c[2], c3=color.shifted(F.pmod(F.col("r") * 3 + F.col("g"), F.lit(256)))))
 
 
 @query("rct_alpha_inverse", f"{_RGBA} SELECT y, x, CAST(c AS BIGINT) AS component, CASE c WHEN 0 THEN r WHEN 1 THEN g WHEN 2 THEN b ELSE alpha END AS v FROM a, range(0, 4) t(c)")
@@ -75,7 +74,7 @@ _ICT3 = f"""SELECT y, x, 0.299::FLOAT * r + 0.587::FLOAT * g + 0.114::FLOAT * b
 
 @query("ict_forward", f"WITH {RGB} SELECT y, x, c0::DOUBLE AS c0, c1::DOUBLE AS c1, c2::DOUBLE AS c2 FROM ({_ICT3})")
 def ict_forward(spark, d):
-    c = color.ict(R, G, B)
+    c = color.ict(F.col("r"), F.col("g"), F.col("b"))
     return rgb_events(spark, d).select("y", "x", *reals(c0=c[0], c1=c[1], c2=c[2]))
 
 
@@ -85,7 +84,7 @@ def ict_forward(spark, d):
     SELECT y, x, {_rounded("r")} AS r, {_rounded("g")} AS g, {_rounded("b")} AS b FROM i""",
 )
 def ict_inverse(spark, d):
-    c = color.ict(R, G, B)
+    c = color.ict(F.col("r"), F.col("g"), F.col("b"))
     mixed = rgb_events(spark, d).select("y", "x", *[v.alias(n) for v, n in zip(c, ("c0", "c1", "c2"), strict=True)])
     back = color.inverse_ict(F.col("c0"), F.col("c1"), F.col("c2"))
     return mixed.select("y", "x", *ints(r=back[0], g=back[1], b=back[2]))
@@ -99,7 +98,7 @@ def level_shift(spark, d):
 @query("level_shift_float", f"WITH {RGB} SELECT y, x, (r::FLOAT - 128::FLOAT)::DOUBLE AS c0, (g::FLOAT - 128::FLOAT)::DOUBLE AS c1, (b::FLOAT - 128::FLOAT)::DOUBLE AS c2 FROM rgb")
 def level_shift_float(spark, d):
     up = F.lit(128).cast("float")
-    return rgb_events(spark, d).select("y", "x", *reals(c0=R.cast("float") - up, c1=G.cast("float") - up, c2=B.cast("float") - up))
+    return rgb_events(spark, d).select("y", "x", *reals(c0=F.col("r").cast("float") - up, c1=F.col("g").cast("float") - up, c2=F.col("b").cast("float") - up))
 
 
 @query("clamp_sample", f"WITH {PLANE} SELECT y, x, {_rounded('v::FLOAT * 4.5::FLOAT')} AS v FROM plane")
@@ -129,12 +128,12 @@ def sample_range_audit(spark, d):
 
 @query("sign_extension", f"WITH {RGB} SELECT y, x, CASE WHEN r >= 128 THEN r - 256 ELSE r END AS s8, CASE WHEN k >= 32768 THEN k - 65536 ELSE k END AS s16 FROM (SELECT *, r + 256 * g AS k FROM rgb)")
 def sign_extension(spark, d):
-    return rgb_events(spark, d).select("y", "x", *ints(s8=color.sign_extended(R, 8), s16=color.sign_extended(R + G * 256, 16)))
+    return rgb_events(spark, d).select("y", "x", *ints(s8=color.sign_extended(F.col("r"), 8), s16=color.sign_extended(F.col("r") + F.col("g") * 256, 16)))
 
 
 @query("gray_inversion", f"WITH {RGB} SELECT y, x, 255 - r AS v FROM rgb")
 def gray_inversion(spark, d):
-    return rgb_events(spark, d).select("y", "x", *ints(v=color.inverted(R)))
+    return rgb_events(spark, d).select("y", "x", *ints(v=color.inverted(F.col("r"))))
 
 
 def _trunc(e: str) -> str:
@@ -146,7 +145,7 @@ _SYCC = f"""{_clamped("yy + " + _trunc("1.402::FLOAT * cr"))} AS r, {_clamped("y
 
 @query("sycc444_to_rgb", f"WITH {RGB} SELECT y, x, {_SYCC} FROM (SELECT y, x, r AS yy, (g - 128)::FLOAT AS cb, (b - 128)::FLOAT AS cr FROM rgb)")
 def sycc444_to_rgb(spark, d):
-    c = color.sycc(R, G, B)
+    c = color.sycc(F.col("r"), F.col("g"), F.col("b"))
     return rgb_events(spark, d).select("y", "x", *ints(r=c[0], g=c[1], b=c[2]))
 
 
@@ -173,9 +172,9 @@ def chroma_place(step_x: int, step_y: int, origin_x: int, origin_y: int):
 )
 def sycc420_to_rgb(spark, d):
     rgb = rgb_events(spark, d)
-    chroma = rgb.where("y % 2 = 0 and x % 2 = 0").select(F.expr("y div 2").alias("cy"), F.expr("x div 2").alias("cx"), G.alias("cb"), B.alias("cr"))
+    chroma = rgb.where("y % 2 = 0 and x % 2 = 0").select(F.expr("y div 2").alias("cy"), F.expr("x div 2").alias("cx"), F.col("g").alias("cb"), F.col("b").alias("cr"))
     row, col = chroma_place(2, 2, _ORIGIN_X, _ORIGIN_Y)
-    joined = rgb.select("y", "x", R.alias("yy"), row.alias("cy"), col.alias("cx")).join(chroma, ["cy", "cx"], "left")
+    joined = rgb.select("y", "x", F.col("r").alias("yy"), row.alias("cy"), col.alias("cx")).join(chroma, ["cy", "cx"], "left")
     zero = F.lit(0)
     c = color.sycc(F.col("yy"), F.coalesce("cb", zero), F.coalesce("cr", zero))
     return joined.select("y", "x", *ints(r=c[0], g=c[1], b=c[2]))
@@ -187,7 +186,7 @@ def sycc420_to_rgb(spark, d):
     FROM (SELECT y, x, r, g - 128 AS cb, b - 128 AS cr FROM rgb)""",
 )
 def jpeg_ycc_to_rgb(spark, d):
-    yy, cb, cr = R, G - 128, B - 128
+    yy, cb, cr = F.col("r"), F.col("g") - 128, F.col("b") - 128
     fixed = (yy + F.shiftright(cr * 91881 + 32768, 16), yy - F.shiftright(cb * 22554 + cr * 46802 + 32768, 16), yy + F.shiftright(cb * 116130 + 32768, 16))
     return rgb_events(spark, d).select("y", "x", *ints(r=color.clamp(fixed[0], 8), g=color.clamp(fixed[1], 8), b=color.clamp(fixed[2], 8)))
 
@@ -214,7 +213,7 @@ _CURVE3 = [2.4, 1 / 1.055, 0.055 / 1.055, 1 / 12.92, 0.04045]
 
 @query("icc_parametric", f"WITH {RGB} SELECT y, x, round(CASE WHEN u >= 0.04045 THEN power({_CURVE3[1]!r} * u + {_CURVE3[2]!r}, 2.4) ELSE {_CURVE3[3]!r} * u END, 9) AS v FROM (SELECT y, x, r / 255.0::DOUBLE AS u FROM rgb)")
 def icc_parametric(spark, d):
-    return rgb_events(spark, d).select("y", "x", *reals(v=F.round(curves.parametric(R / 255.0, 3, _CURVE3), 9)))
+    return rgb_events(spark, d).select("y", "x", *reals(v=F.round(curves.parametric(F.col("r") / 255.0, 3, _CURVE3), 9)))
 
 
 _TABLE = [0, 1000, 5000, 12000, 30000, 65535]
@@ -227,7 +226,7 @@ _TABLE = [0, 1000, 5000, 12000, 30000, 65535]
     FROM u JOIN t lo ON lo.k = CAST(floor(p) AS BIGINT) LEFT JOIN t hi ON hi.k = lo.k + 1""",
 )
 def icc_table_curve(spark, d):
-    return rgb_events(spark, d).select("y", "x", *reals(v=F.round(curves.table_curve(G / 255.0, _TABLE), 9)))
+    return rgb_events(spark, d).select("y", "x", *reals(v=F.round(curves.table_curve(F.col("g") / 255.0, _TABLE), 9)))
 
 
 @query("icc_curve_monotone", "SELECT CAST(count(*) FILTER (v < before) AS BIGINT) AS falls, CAST(count(*) AS BIGINT) AS n FROM (SELECT v, lag(v) OVER (ORDER BY i) AS before FROM (SELECT i, power(i / 256.0::DOUBLE, 2.2) AS v FROM range(0, 257) t(i)))")
@@ -261,20 +260,20 @@ _SAMPLE = "CAST(floor({} * 255.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)".format
     SELECT y, x, {", ".join(f"{_SAMPLE(_UNIT(_ENC(f's{k}')))} AS {n}" for k, n in enumerate("rgb"))} FROM s""",
 )
 def icc_to_srgb(spark, d):
-    c = curves.to_srgb((R, G, B), _M, lambda v: F.pow(v, F.lit(1.8)))
+    c = curves.to_srgb((F.col("r"), F.col("g"), F.col("b")), _M, lambda v: F.pow(v, F.lit(1.8)))
     return rgb_events(spark, d).select("y", "x", *ints(r=c[0], g=c[1], b=c[2]))
 
 
 @query("dng_normalize", f"WITH {RGB} SELECT y, x, CAST(floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (k - 1024.0::DOUBLE) / 48976.0::DOUBLE)) * 65535 + 0.5::DOUBLE) AS BIGINT) AS v FROM (SELECT y, x, r + 256 * g AS k FROM rgb)")
 def dng_normalize(spark, d):
-    return rgb_events(spark, d).select("y", "x", *ints(v=color.normalized((R + G * 256).cast("double"), 1024.0, 50000.0, 16)))
+    return rgb_events(spark, d).select("y", "x", *ints(v=color.normalized((F.col("r") + F.col("g") * 256).cast("double"), 1024.0, 50000.0, 16)))
 
 
 @query("dng_linearize", f"WITH {RGB}, t AS (SELECT k, (k * k) // 64 AS e FROM range(0, 200) t(k)) SELECT y, x, CAST(e AS BIGINT) AS v FROM rgb JOIN t ON t.k = least(r, 199)")
 def dng_linearize(spark, d):
     """A linearisation table of a fixed size, read past its end at the last entry."""
     table = F.array(*[F.lit(k * k // 64) for k in range(200)])
-    return rgb_events(spark, d).select("y", "x", *ints(v=F.get(table, F.least(R, F.lit(199)).cast("int"))))
+    return rgb_events(spark, d).select("y", "x", *ints(v=F.get(table, F.least(F.col("r"), F.lit(199)).cast("int"))))
 
 
 @query("dng_camera_matrix", "SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, ([0.6, 0.3, 0.1, 0.25, 0.7, 0.05, 0.02, 0.1, 0.7][3 * r + c + 1])::DOUBLE / ([0.5, 1.0, 0.625][c + 1])::DOUBLE AS v FROM range(0, 3) t(r), range(0, 3) u(c)")
@@ -285,7 +284,7 @@ def dng_camera_matrix(spark, d):
 
 @query("exr_half_samples", f"WITH {RGB} SELECT y, x, CAST(floor((r / 256.0::DOUBLE) * 65535.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS v FROM rgb")
 def exr_half_samples(spark, d):
-    return rgb_events(spark, d).select("y", "x", *ints(v=color.half_to_sample((R / 256.0).cast("float"))))
+    return rgb_events(spark, d).select("y", "x", *ints(v=color.half_to_sample((F.col("r") / 256.0).cast("float"))))
 
 
 @query("scalar_quantize", f"WITH {PLANE} SELECT y, x, CAST(sign(v) * floor(abs(v) / 2.5::DOUBLE) AS BIGINT) AS q, CASE WHEN sign(v) * floor(abs(v) / 2.5::DOUBLE) = 0 THEN 0.0::DOUBLE ELSE (sign(v) * floor(abs(v) / 2.5::DOUBLE) + sign(v) * 0.5::DOUBLE) * 2.5::DOUBLE END AS back FROM plane")
@@ -350,7 +349,7 @@ def jpeg_upsample(spark, d):
     """2x2 chroma upsampling, weights 1/4 and 3/4 on centred samples: along rows, then along columns."""
     from ..functions.dct import upsample_axis
 
-    chroma = rgb_events(spark, d).where("y < 10 and x < 50").select("y", "x", R.alias("v"))
+    chroma = rgb_events(spark, d).where("y < 10 and x < 50").select("y", "x", F.col("r").alias("v"))
     wide = upsample_axis(chroma, "x", ["y"])
     tall = upsample_axis(wide, "y", ["x"])
     return tall.select(*ints(y="y", x="x", v=F.expr("(v + 8) div 16")))

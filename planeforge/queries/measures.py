@@ -10,7 +10,8 @@ from ..operators import audits, stats
 from ..rasters import block_passes, embedding_plane, rgb_events, table
 from .registry import PASSES, PLANE, RGB, ints, query, reals
 
-_TILE = [F.expr("y div 16").alias("ty"), F.expr("x div 16").alias("tx")]
+def _tile():
+    return [F.expr("y div 16").alias("ty"), F.expr("x div 16").alias("tx")]
 
 
 @query(
@@ -21,7 +22,7 @@ _TILE = [F.expr("y div 16").alias("ty"), F.expr("x div 16").alias("tx")]
 )
 def block_stats(spark, d):
     coarse = embedding_plane(spark, d).withColumn("v", F.expr("v div 8"))
-    return stats.block_stats(coarse.select(*_TILE, "y", "x", "v"), ["ty", "tx"])
+    return stats.block_stats(coarse.select(*_tile(), "y", "x", "v"), ["ty", "tx"])
 
 
 @query("coverage_check", f"WITH {RGB} SELECT CAST(count(*) AS BIGINT) AS once, CAST(0 AS BIGINT) AS more, CAST((SELECT max(y) + 1 FROM rgb) * 100 - count(*) AS BIGINT) AS never FROM rgb")
@@ -66,7 +67,7 @@ def pixel_diff(spark, d):
     SELECT ty, tx, sha256(unhex('0000001000000010' || s)) AS sha256 FROM h""",
 )
 def plane_sha256(spark, d):
-    return stats.plane_sha256(embedding_plane(spark, d).where("y < 480").select(*_TILE, "y", "x", "v"), ["ty", "tx"])
+    return stats.plane_sha256(embedding_plane(spark, d).where("y < 480").select(*_tile(), "y", "x", "v"), ["ty", "tx"])
 
 
 @query(
@@ -77,7 +78,7 @@ def plane_sha256(spark, d):
 )
 def pass_distortion(spark, d):
     """Squared error that each bit plane takes away, magnitudes rebuilt at the middle of their interval."""
-    rows = embedding_plane(spark, d).select(*_TILE, F.abs("v").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("p"))
+    rows = embedding_plane(spark, d).select(*_tile(), F.abs("v").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("p"))
 
     def rebuilt(p):
         q = F.call_function("shiftright", F.col("m"), p)
@@ -163,7 +164,7 @@ def refinement_context_hist(spark, d):
 )
 def bitplane_symbols(spark, d):
     """Bits that a raw bit-plane coder writes for each plane of a block."""
-    rows = embedding_plane(spark, d).select(*_TILE, F.abs("v").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("p"))
+    rows = embedding_plane(spark, d).select(*_tile(), F.abs("v").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("p"))
     here, above = F.call_function("shiftright", F.col("m"), F.col("p")), F.call_function("shiftright", F.col("m"), F.col("p") + 1)
     return rows.groupBy("ty", "tx", F.col("p").cast("bigint").alias("plane")).agg(F.count_if(above == 0).alias("significance"), F.count_if(here == 1).alias("signs"), F.count_if(above > 0).alias("refinement"))
 
