@@ -32,7 +32,7 @@ def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit_toxicity(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
     held = F.coalesce(id_crc() % 5 == 0, F.lit(False)).alias("held_out")
     return toxicity.score_toxicity(docs, model).select("doc_id", held, "score", "predicted")
 

@@ -2,7 +2,9 @@
 
 Features are the presence of hashed UTF-8 n-grams of the lower-cased (A-Z) text.  On a bounded,
 class-balanced sample of the labelled rows each feature gets its naive Bayes log-count ratio; a
-logistic regression is then fitted on the features times these ratios.  The intercept is moved from
+logistic regression is then fitted on the features times these ratios.  Labels are noisy, so the model
+is fitted three times: on either half of the sample, to score the other half, and then on the rows
+whose label the other half's model finds at least ``least_trust`` likely.  The intercept is moved from
 the sample's class shares to those of all labelled rows.  Scoring reads whole texts, one pass,
 without a shuffle; the model is a fixed number of floats.
 """
@@ -25,10 +27,13 @@ class ToxicityParams:
     sizes: tuple[int, ...] = (3, 4, 5)
     bits: int = 18
     #: Bound of the training sample: rows of each class (in expectation, and never twice as many).
-    sample_per_class: int = 1200
+    sample_per_class: int = 800
     smoothing: float = 1.0
     #: Features of fewer sample rows are left out.
     least_rows: int = 3
+    decay: float = 1e-3
+    #: A sample row goes if the model of the other half gives its label a lower probability.
+    least_trust: float = 0.3
 
 
 @dataclass(frozen=True)
@@ -46,14 +51,16 @@ class ToxicityModel:
         return float(sigmoid(margin))
 
 
-def fit_toxicity(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Fit on rows ``text, toxic``; rows with a label other than 0 and 1 are ignored.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out_remainder: int = 0, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
+    """Fit on the documents' texts and ``labels`` (``doc_id, toxic``).
 
-    Which rows are sampled depends on the text alone.  If a class is missing, the model gives every
-    text the share of label 1 (one half when there is no label at all).
+    Not learned from: held-out rows (crc32 of the id mod 5), rows without an id, labels other than
+    0 and 1.  The labels are sampled before they meet the texts, so the side that is broadcast is
+    bounded by the sample and no text is shuffled.  A document with several labels counts once for each.
+    If a class is missing, every text gets the share of label 1 (one half without any label).
     """
-    rows = labelled.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    counts = {r["toxic"]: r["n"] for r in labelled.select(F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(id_crc() % 5 != held_out_remainder).where("toxic in (0, 1)")
+    counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     width = 1 << params.bits
     if not n0 or not n1:
@@ -61,7 +68,9 @@ def fit_toxicity(labelled: DataFrame, params: ToxicityParams = ToxicityParams())
         return ToxicityModel(params, np.zeros(width, dtype=np.float32), float(np.log(share / (1 - share))))
     scale = 1 << 30
     bar = F.when(F.col("toxic") == 1, F.lit(int(scale * min(1.0, params.sample_per_class / n1)))).otherwise(F.lit(int(scale * min(1.0, params.sample_per_class / n0))))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(scale)) < bar)
+    few = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < bar).limit(4 * params.sample_per_class)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(few), "doc_id").select("text", "toxic")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -76,16 +85,36 @@ def fit_toxicity(labelled: DataFrame, params: ToxicityParams = ToxicityParams())
     if not 0 < y.sum() < len(y):
         share = n1 / (n0 + n1)
         return ToxicityModel(params, np.zeros(width, dtype=np.float32), float(np.log(share / (1 - share))))
-    seen = [np.bincount(np.concatenate([x for x, t in zip(ids, y, strict=True) if t == label] or [np.zeros(0, "<u4")]), minlength=width) for label in (0, 1)]
+    trust = np.zeros(len(y))
+    for half in (0, 1):
+        rest = [k for k in range(len(y)) if k % 2 != half]
+        if not 0 < y[rest].sum() < len(rest):
+            trust[half::2] = 1.0
+            continue
+        weights, intercept = _fit([ids[k] for k in rest], y[rest], params)
+        p = np.array([sigmoid(weights[x].sum() + intercept) for x in ids[half::2]])
+        trust[half::2] = np.where(y[half::2] == 1, p, 1.0 - p)
+    sound = trust >= params.least_trust
+    if not 0 < y[sound].sum() < sound.sum():
+        sound[:] = True
+    weights, intercept = _fit([x for x, s in zip(ids, sound, strict=True) if s], y[sound], params)
+    share = [sound[y == label].mean() for label in (0, 1)]
+    prior = np.log(n1 * share[1] / (n0 * share[0])) - np.log(y[sound].sum() / (sound.sum() - y[sound].sum()))
+    return ToxicityModel(params, weights, float(intercept + prior))
+
+
+def _fit(ids: list[np.ndarray], y: np.ndarray, params: ToxicityParams) -> tuple[np.ndarray, float]:
+    """Log-count ratios, then the regression; weights hold the ratios."""
+    width = 1 << params.bits
+    seen = [np.bincount(np.concatenate([x for x, t in zip(ids, y, strict=True) if t == label]), minlength=width) for label in (0, 1)]
     keep = seen[0] + seen[1] >= params.least_rows
-    log = [np.log((s + params.smoothing) / (s[keep].sum() + params.smoothing * width)) for s in seen]
+    log = [np.log((s + params.smoothing) / ((y == label).sum() + 2 * params.smoothing)) for label, s in enumerate(seen)]
     ratio = np.where(keep, log[1] - log[0], 0.0)
     chosen = [x[keep[x]] for x in ids]
     chosen = [x if len(x) else np.zeros(1, dtype="<u4") for x in chosen]
-    weights, intercept = fit_logistic(chosen, ratio, y)
+    weights, intercept = fit_logistic(chosen, ratio, y, rounds=100, decay=params.decay)
     weights[~keep] = 0.0
-    prior = np.log(n1 / n0) - np.log(y.sum() / (len(y) - y.sum()))
-    return ToxicityModel(params, weights, float(intercept + prior))
+    return weights, intercept
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,14 +148,3 @@ def drop_toxic(df: DataFrame, model: ToxicityModel, threshold: float = 0.5, text
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, held_out_remainder: int = 0) -> DataFrame:
-    """Texts with labels, without the held-out rows (crc32 of the id mod 5) and rows without an id.
-
-    A document with several labels counts once for each.  The labels side is joined on the id, a
-    unique key on the documents' side.
-    """
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(id_crc() % 5 != held_out_remainder)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return texts.join(marks, "doc_id").select("text", "toxic")
