@@ -2,8 +2,8 @@ r"""Line dedup by a log-template tree (operator 6), DataFrame functions only.
 
 A line's fields are its space-separated words; a word with a digit is a variable field and becomes
 ``<*>``.  The tree has a fixed depth: the first level is the count of words, the next levels are the
-leading words, and a leaf holds the lines that agree in these.  In a leaf, one line (the one with the
-smallest hash) is the first template; lines that agree with it in at least ``similarity`` of
+leading words, and a leaf holds the lines that agree in these.  In a leaf that enough documents use, the
+line that sorts first is the first template; lines that agree with it in at least ``similarity`` of
 their places fall under it, its differing places being variable too.  Other lines are templates of
 their own.
 
@@ -24,15 +24,22 @@ from .common import written
 FIELD = "<*>"
 #: A whole word with a digit; possessive, so that long words cost linear time.
 _VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+#: Crowded leaves are broadcast up to this many (16 bytes each), and joined by shuffle beyond.
+MOST_BROADCAST = 500_000
+#: Parts into which the rows of one line or template are dealt.
+SALTS = 16
 
 
-def _hash128(column: Column) -> Column:
-    """Two independent hashes as one 32-digit hex string."""
-    return F.concat(F.lpad(F.hex(F.xxhash64(column)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), column)), 16, "0"))
+def _hashes(masked: Column) -> list[Column]:
+    """Two independent 64-bit hashes."""
+    return [F.xxhash64(masked).alias("a"), F.xxhash64(F.lit(1), masked).alias("b")]
 
 
 def _masked(line: Column) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_replace(line, r"[\t\r]", " ")), _VARIABLE, FIELD)
+    """The line with plain spaces and without variable fields; most lines need neither step."""
+    plain = F.when(F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")), F.translate(line, "\t\r", "  ")).otherwise(line)
+    plain = F.trim(plain)
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _VARIABLE, FIELD)).otherwise(plain)
 
 
 def _key(df: DataFrame, id_col: str, text_col: str) -> Column:
@@ -40,61 +47,56 @@ def _key(df: DataFrame, id_col: str, text_col: str) -> Column:
     return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
 
 
-def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc, masked`` for each line that is not blank."""
+def _lines(df: DataFrame, depth: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc, masked, width, leaf`` for each line that is not blank."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return df.select(_key(df, id_col, text_col).alias("doc"), F.explode(F.split(text, "\n")).alias("line")).select("doc", _masked(F.col("line")).alias("masked")).where("masked <> ''")
+    rows = df.select(_key(df, id_col, text_col).alias("doc"), F.explode(F.split(text, "\n")).alias("line")).select("doc", _masked(F.col("line")).alias("masked")).where("masked <> ''")
+    width = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    return rows.withColumn("width", width).withColumn("leaf", F.xxhash64("width", F.substring_index("masked", " ", depth)))
 
 
-def _leaf(words: Column, depth: int) -> Column:
-    return F.xxhash64(F.size(words), F.slice(words, 1, depth))
+def _with_some(rows: DataFrame, few: DataFrame, count: int, on: str) -> DataFrame:
+    """Inner join with a table of known size."""
+    return rows.join(F.broadcast(few) if count <= MOST_BROADCAST else few, on)
+
+
+def _salted(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on hashes of which a few may hold a large share of ``many``: these are spread by document."""
+    left = many.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
+    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def line_templates(df: DataFrame, least_docs: int = 5, depth: int = 3, similarity: float = 0.8, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc, line_hash, template, first_doc, docs``: the lines of recurring templates.
+    """``doc, a, b, first_doc, docs``: the lines (by their hashes) of recurring templates.
 
     One row for each document and distinct masked line in it.
     """
-    words = F.split("masked", " ")
-    slim = _lines(df, id_col, text_col).select("doc", "masked", words.alias("words"))
-    events = written(
-        slim.select("doc", _hash128(F.col("masked")).alias("line"), _leaf(F.col("words"), depth).alias("leaf"), F.size("words").alias("width")).distinct(),
-        "line-events",
-    )
-    # Leaves with several templates and documents enough for one that recurs.
-    crowded = (
+    lines = _lines(df, depth, id_col, text_col)
+    events = written(lines.select("doc", *_hashes(F.col("masked")), "leaf", "width").distinct(), "line-events")
+    # Leaves with several templates, and documents enough for one that recurs.
+    crowded = written(
         events.where(F.col("width") >= least_words)
         .groupBy("leaf")
-        .agg(F.min("line").alias("lead"), F.max("line").alias("other"), F.count("*").alias("n"))
-        .where((F.col("lead") < F.col("other")) & (F.col("n") >= least_docs))
-        .select("leaf", "lead")
-    )
-    candidates = events.select("leaf", "line", "doc").join(crowded, "leaf").groupBy("line", "leaf", "lead").agg(F.min("doc").alias("doc"))
-    # One document that has the line gives its words.
-    wanted = candidates.groupBy("doc").agg(F.collect_set("line").alias("wanted"))
-    found = (
-        df.select(_key(df, id_col, text_col).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-        .join(wanted, "doc")
-        .select("wanted", F.explode(F.split("text", "\n")).alias("line"))
-        .select("wanted", _masked(F.col("line")).alias("masked"))
-        .select("wanted", "masked", _hash128(F.col("masked")).alias("line"))
-        .where(F.array_contains("wanted", F.col("line")))
-        .select("line", "masked")
-        .dropDuplicates(["line"])
+        .agg(F.min("a").alias("some"), F.max("a").alias("other"), F.count("*").alias("n"))
+        .where((F.col("some") < F.col("other")) & (F.col("n") >= least_docs))
+        .select("leaf"),
+        "line-leaves",
     )
-    worded = written(candidates.select("line", "leaf", "lead").join(found, "line").select("line", "leaf", "lead", F.split("masked", " ").alias("words")), "line-words")
-    leads = worded.where(F.col("line") == F.col("lead")).select(F.col("leaf").alias("_leaf"), F.col("words").alias("lead_words"))
-    same = F.size(F.filter(F.zip_with("words", "lead_words", lambda a, b: a == b), lambda x: x))
+    inside = _with_some(lines.where(F.col("width") >= least_words).select("leaf", "masked"), crowded, crowded.count(), "leaf")
+    worded = written(inside.distinct(), "line-words")
+    leads = worded.groupBy("leaf").agg(F.min("masked").alias("lead"))
+    words, lead_words = F.split("masked", " "), F.split("lead", " ")
+    same = F.size(F.filter(F.zip_with(words, lead_words, lambda x, y: x == y), lambda x: x))
     merged = (
-        worded.where(F.col("line") != F.col("lead"))
-        .join(leads, (F.col("leaf") == F.col("_leaf")) & (F.size("words") == F.size("lead_words")))
-        .where(same >= F.ceil(F.size("words") * F.lit(similarity)))
-        .select("line", F.col("lead").alias("template"))
+        worded.join(leads, "leaf")
+        .where((F.col("masked") != F.col("lead")) & (F.size(words) == F.size(lead_words)) & (same >= F.ceil(F.size(words) * F.lit(similarity))))
+        .select(*_hashes(F.col("masked")), *[h.alias(n) for h, n in zip(_hashes(F.col("lead")), ("lead_a", "lead_b"), strict=True)])
     )
-    tagged = events.select("doc", "line").join(merged, "line", "left").select("doc", "line", F.coalesce("template", "line").alias("template"))
-    per_doc = tagged.groupBy("template", "doc").agg(F.lit(1).alias("one"))
-    recurring = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min("doc").alias("first_doc")).where(F.col("docs") >= least_docs)
-    return tagged.join(recurring, "template").select("doc", F.col("line").alias("line_hash"), "template", "first_doc", "docs")
+    tagged = _salted(events.select("doc", "a", "b"), merged, ["a", "b"], "left").select("doc", "a", "b", F.coalesce("lead_a", "a").alias("ta"), F.coalesce("lead_b", "b").alias("tb"))
+    per_doc = tagged.select("ta", "tb", "doc").distinct()
+    recurring = per_doc.groupBy("ta", "tb").agg(F.count("*").alias("docs"), F.min("doc").alias("first_doc")).where(F.col("docs") >= least_docs)
+    return _salted(tagged, recurring, ["ta", "tb"]).select("doc", "a", "b", "first_doc", "docs")
 
 
 def drop_recurring_lines(df: DataFrame, least_docs: int = 5, depth: int = 3, similarity: float = 0.8, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,11 +106,11 @@ def drop_recurring_lines(df: DataFrame, least_docs: int = 5, depth: int = 3, sim
     id are one document; rows with a null id are told apart by their text.
     """
     found = line_templates(df, least_docs, depth, similarity, least_words, id_col, text_col)
-    gone = found.where("doc <> first_doc").groupBy("doc").agg(F.collect_set("line_hash").alias("_gone"))
+    gone = found.where("doc <> first_doc").groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
     rows = df.withColumn("_doc", _key(df, id_col, text_col)).join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left")
     text = F.col(f"`{text_col}`").cast("string")
     lines = F.split(text, "\n")
-    kept = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_gone", _hash128(_masked(x)))))
+    kept = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_gone", F.struct(*_hashes(_masked(x))))))
     out = rows.withColumn("_kept", kept)
     return (
         out.withColumn("lines_dropped", F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).cast("int"))
