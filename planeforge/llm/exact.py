@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, fold_case, text_bytes, written
+from .common import doc_text, fold_case, free_name, text_bytes, written
 
 _LOCAL = "doc_id long, rep long, salt int, digest binary, content binary, best long, n long"
 
@@ -102,5 +102,6 @@ def exact_groups(df: DataFrame, salts: int = 64, table_bytes: int = 48 << 20, id
 
 def drop_copies(df: DataFrame, salts: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose ``doc_id`` is the largest of their text; all columns as they are."""
-    kept = exact_groups(df, salts, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return df.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    own = free_name(df, "_kept")
+    kept = exact_groups(df, salts, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return df.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own)), "left_semi")

@@ -34,13 +34,17 @@ def fit_logistic(ids: list[np.ndarray], scale: np.ndarray, y: np.ndarray, rounds
 
     Full-batch gradient descent with Nesterov momentum; nothing in it is random.
     """
-    used, flat = np.unique(np.concatenate(ids), return_inverse=True)
+    every = np.concatenate(ids)
+    used = np.flatnonzero(np.bincount(every, minlength=len(scale)))
+    places = np.zeros(len(scale), dtype=np.int32)
+    places[used] = np.arange(len(used), dtype=np.int32)
+    flat = places[every]
     starts = np.cumsum([0] + [len(x) for x in ids[:-1]])
     value = scale[used].astype(np.float32)
     norm = float(np.add.reduceat(np.square(value)[flat], starts).mean()) + 1.0
     rate, w, b = 4.0 / norm, np.zeros(len(used), dtype=np.float32), 0.0
     lead_w, lead_b, last_w, last_b = w, b, w, b
-    rows = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    rows = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
     for k in range(rounds):
         gap = sigmoid(np.add.reduceat((lead_w * value)[flat], starts) + lead_b) - y
         slope = np.bincount(flat, weights=gap[rows], minlength=len(used)) * value / len(ids) + decay * lead_w

@@ -103,19 +103,17 @@ def drop_recurring_lines(df: DataFrame, least_docs: int = 5, depth: int = 3, sim
     """All columns, the text without dropped lines, and ``lines_dropped, lines_kept`` (int).
 
     Blank lines are no templates and stay.  A null text stays null, with no lines.  Rows that repeat an
-    id are one document; rows with a null id are told apart by their text.
+    id are one document; rows with a null id are told apart by their text.  Columns of the table that
+    are named like the two added ones give way to them.
     """
     found = line_templates(df, least_docs, depth, similarity, least_words, id_col, text_col)
-    gone = found.where("doc <> first_doc").groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
-    rows = df.withColumn("_doc", _key(df, id_col, text_col)).join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left")
-    text = F.col(f"`{text_col}`").cast("string")
+    gone = found.where("doc <> first_doc").groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    # the row travels as one struct, so that its columns cannot clash with these
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _key(df, id_col, text_col).alias("doc")).join(gone, "doc", "left")
+    text = F.col("row").getField(text_col).cast("string")
     lines = F.split(text, "\n")
-    kept = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_gone", F.struct(*_hashes(_masked(x))))))
-    out = rows.withColumn("_kept", kept)
-    return (
-        out.withColumn("lines_dropped", F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).cast("int"))
-        .withColumn("lines_kept", F.when(text.isNull(), 0).otherwise(F.size("_kept")).cast("int"))
-        .withColumn(text_col, F.array_join("_kept", "\n"))
-        .drop("_doc", "_gone", "_kept")
-        .select(*[F.col(f"`{c}`") for c in df.columns], "lines_dropped", "lines_kept")
-    )
+    kept = F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("gone", F.struct(*_hashes(_masked(x))))))
+    out = rows.select("row", lines.alias("lines"), kept.alias("kept"))
+    added = {"lines_dropped": F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)), "lines_kept": F.when(F.col("lines").isNull(), 0).otherwise(F.size("kept"))}
+    plain = [F.array_join("kept", "\n").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in added]
+    return out.select(*plain, *[c.cast("int").alias(n) for n, c in added.items()])

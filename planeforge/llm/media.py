@@ -141,22 +141,21 @@ def _gzip(blob: memoryview, at: int) -> int | None:
 
 
 def _pdf(blob: memoryview, at: int) -> int | None:
-    raw = bytes(blob[at:])
-    end = raw.rfind(b"%%EOF")
-    return at + end + 5 if end > 0 and b"startxref" in raw[:end] else None
+    """Up to the last end mark of the blob, if a cross-reference pointer stands between."""
+    raw = blob.obj
+    end = raw.rfind(b"%%EOF", at)
+    return end + 5 if end > at and raw.rfind(b"startxref", at, end) > at else None
 
 
 def _zip(blob: memoryview, at: int) -> int | None:
-    """Up to an end record whose central directory lies inside and starts with its signature."""
-    raw = bytes(blob[at:])
-    seek = 0
-    while (seek := raw.find(b"PK\x05\x06", seek)) >= 0:
-        if seek + 22 <= len(raw):
-            size, offset, comment = struct.unpack_from("<IIH", raw, seek + 12)
-            if offset + size == seek and (not size or raw[offset : offset + 4] == b"PK\x01\x02") and seek + 22 + comment <= len(raw):
-                return at + seek + 22 + comment
-        seek += 4
-    return None
+    """Up to the first end record; its directory must lie right before it and start with its signature."""
+    raw = blob.obj
+    end = raw.find(b"PK\x05\x06", at)
+    if end < 0 or end + 22 > len(raw):
+        return None
+    size, offset, comment = struct.unpack_from("<IIH", raw, end + 12)
+    sound = at + offset + size == end and (not size or raw[at + offset : at + offset + 4] == b"PK\x01\x02") and end + 22 + comment <= len(raw)
+    return end + 22 + comment if sound else None
 
 
 def _pnm(blob: memoryview, at: int) -> int | None:
@@ -190,6 +189,8 @@ SIGNATURES: tuple[tuple[bytes, str, Callable[[memoryview, int], int | None]], ..
     (b"P5\n", "image/x-portable-graymap", _pnm),
     (b"P6\n", "image/x-portable-pixmap", _pnm),
 )
+#: Marks without which a type cannot end (fixed values); looked up once a blob.
+END_MARKS = ((b"%%EOF", "application/pdf"), (b"PK\x05\x06", "application/zip"))
 _RIFF_TYPES = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/x-msvideo"}
 
 
@@ -205,10 +206,11 @@ class Sniffer:
     def media(self, blob: bytes) -> list[Medium]:
         """All valid media that lie in no other one, in order."""
         view, out, covered = memoryview(blob), [], 0
+        hopeless = {mime for mark, mime in END_MARKS if mark not in blob}
         for last, k in self._automaton.iter(blob.decode("latin-1")):
             magic, mime, valid = SIGNATURES[k]
             at = last - len(magic) + 1
-            if at >= covered and (end := valid(view, at)) is not None:
+            if at >= covered and mime not in hopeless and (end := valid(view, at)) is not None:
                 out.append(Medium(at, end, mime or _RIFF_TYPES[blob[at + 8 : at + 12]]))
                 covered = end
         return out

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, fold_case, map_arrow, text_bytes, written
+from .common import Scratch, doc_text, fold_case, free_name, map_arrow, text_bytes, written
 
 WIDTH = 64
 
@@ -147,7 +147,7 @@ class _Classes:
             x = z
 
 
-def _linked(radius: int, rows_at_once: int, queries_at_once: int = 2048):
+def _linked(radius: int, rows_at_once: int, pairs_at_once: int = 4_000_000):
     """Edges (fingerprint, smallest of its class in this task); input sorted by its group columns."""
 
     def solve(keys: np.ndarray, codes: np.ndarray, asks: np.ndarray) -> pa.RecordBatch:
@@ -157,8 +157,10 @@ def _linked(radius: int, rows_at_once: int, queries_at_once: int = 2048):
         crowd = np.bincount(group_no)[group_no]
         asking = asking[crowd[asking] > 1]
         classes = _Classes(len(codes))
-        for at in range(0, len(asking), queries_at_once):
-            part = asking[at : at + queries_at_once]
+        # so many questions at a time that even without pruning their frontier stays in bounds
+        step = max(1, min(4096, pairs_at_once // max(1, int(crowd.max(initial=1)))))
+        for at in range(0, len(asking), step):
+            part = asking[at : at + step]
             asked, place = index.search(index.codes[part], group_no[part], radius)
             classes.join(part[asked], place)
         # a fingerprint can be in several groups here: its places belong together
@@ -222,21 +224,23 @@ def contract(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps: each hangs neighbours under a node's smallest
     neighbour, so edges never grow in number, and it ends when a round changes nothing.
     """
-    current = written(edges.select("a", "b"), "edges")
+    current = Scratch(edges.select("a", "b"), "edges")
     before = None
     for _ in range(most_rounds):
-        both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lead = both.groupBy("a").agg(F.min("b").alias("m"))
-        lead = lead.select("a", F.least("a", "m").alias("m"))
+        e = current.table
+        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        lead = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(lead, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        current = written(small, "small")
-        mark = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        hung = Scratch(large, "large")
+        current.drop()
+        low = hung.table.groupBy("a").agg(F.min("b").alias("m"))
+        small = hung.table.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        current = Scratch(small, "small")
+        hung.drop()
+        mark = current.table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
-            return current.select("a", F.col("b").alias("root"))
+            return current.table.select("a", F.col("b").alias("root"))
         before = mark
     raise RuntimeError(f"classes did not settle in {most_rounds} rounds")
 
@@ -269,8 +273,9 @@ def drop_near_copies(df: DataFrame, words: int = 3, radius: int = 3, seed: int =
     A ``doc_id`` is one document: rows that repeat it stay or go together.  Rows without an id stay.
     """
     found = near_classes(df, words, radius, seed, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    own = free_name(df, "_gone")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(own), "left_anti")
 
 
 def as_hex(code: int) -> str:
