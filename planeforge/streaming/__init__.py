@@ -1,0 +1 @@
+"""Bounded-memory output and incremental state as Structured Streaming."""
