@@ -99,3 +99,10 @@ def bench_raster(spark: SparkSession, width: int, height: int) -> DataFrame:
 def f32(value: float | Column) -> Column:
     """A single-precision literal or column."""
     return (value if isinstance(value, Column) else F.lit(value)).cast("float")
+
+
+def signed_ramp(spark: SparkSession, width: int, height: int, precision: int = 12) -> DataFrame:
+    """A signed test plane that wraps through the whole range of its precision."""
+    span, low = 1 << precision, -(1 << (precision - 1))
+    n = spark.range(width * height).select(F.expr(f"id div {width}").alias("y"), F.expr(f"id % {width}").alias("x"))
+    return n.select("y", "x", (F.pmod(F.col("x") * 37 + F.col("y") * 101, F.lit(span)) + low).alias("v"))
