@@ -69,7 +69,7 @@ def payload_statistics(spark, d):
     return codec.block_statistics(coded).select(*ints(component="component", band="band", blocks="blocks", passes="passes", bytes="bytes", planes="planes"))
 
 
-@query("packet_counts", f"WITH {RGB}, s AS (SELECT DISTINCT y // 50 AS s FROM rgb) SELECT s AS strip, CAST(k AS BIGINT) AS tile, CAST(3 * 3 * 2 AS BIGINT) AS packets FROM s, range(0, 4) t(k)")
+@query("packet_counts", f"WITH {RGB}, s AS (SELECT y // 50 AS s, max(y % 50) + 1 AS h FROM rgb GROUP BY 1) SELECT s AS strip, CAST(k AS BIGINT) AS tile, CAST(3 * 3 * 2 AS BIGINT) AS packets FROM s, range(0, 4) t(k) WHERE k < 2 * ((h + 31) // 32)")
 def packet_counts(spark, d):
     """Resolutions x components x layers x precincts of each tile, as written and read back."""
     options = Options(levels=2, tile_w=64, tile_h=32, layers=2, rates=(4.0,))
