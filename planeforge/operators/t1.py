@@ -35,8 +35,8 @@ def _zero_context(kind: str, h: int, v: int, d: int) -> int:
     return 2 + v if v else min(d, 2)
 
 
-#: ``ZERO[kind][h][v][d]``, from the rule above.
-ZERO = {kind: [[[_zero_context(kind, h, v, d) for d in range(5)] for v in range(3)] for h in range(3)] for kind in ("LL", "HL", "LH", "HH")}
+#: Context by ``15 h + 5 v + d`` for each kind of band, from the rule above.
+ZERO = {kind: [_zero_context(kind, k // 15, k // 5 % 3, k % 5) for k in range(45)] for kind in ("LL", "HL", "LH", "HH")}
 
 
 def sign_coding(h: int, v: int) -> tuple[int, int]:
@@ -47,6 +47,10 @@ def sign_coding(h: int, v: int) -> tuple[int, int]:
     return (12 + v if h else 9 + v), flip
 
 
+#: Sign coding by summed contributions of a row and a column, each in -2..2.
+SIGNS = [[sign_coding(max(-1, min(1, h)), max(-1, min(1, v))) for v in range(-2, 3)] for h in range(-2, 3)]
+
+
 def fresh_contexts() -> list[list[int]]:
     out = [[0, 0] for _ in range(19)]
     out[0][0], out[RUN][0], out[UNIFORM][0] = 4, 3, 46
@@ -93,32 +97,37 @@ class CodedBlock:
 
 
 class _Field:
-    """Significance, signs and marks of a block with a border of one."""
+    """Significance, signs and marks of a block with a border of one.
+
+    ``near`` holds ``15 h + 5 v + d`` of each sample's significant neighbours; a sample that becomes
+    significant adds itself to its eight, which is rarer than asking for them.
+    """
 
     def __init__(self, height: int, width: int, kind: str, style: int):
         self.h, self.w, self.step = height, width, width + 2
         n = (height + 2) * self.step
-        self.sig, self.chi, self.seen, self.refined = [0] * n, [0] * n, [0] * n, [0] * n
+        self.sig, self.chi, self.seen, self.refined, self.near = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
         self.zero, self.causal = ZERO[kind], bool(style & CAUSAL)
 
-    def counts(self, at: int, y: int) -> tuple[int, int, int]:
-        s, w = self.sig, self.step
-        up, down = at - w, at + w
-        h, v, d = s[at - 1] + s[at + 1], s[up], s[up - 1] + s[up + 1]
-        if not (self.causal and y & 3 == 3):
-            v += s[down]
-            d += s[down - 1] + s[down + 1]
-        return h, v, d
-
     def sign(self, at: int, y: int) -> tuple[int, int]:
         c, w = self.chi, self.step
         h = c[at - 1] + c[at + 1]
         v = c[at - w] + (0 if self.causal and y & 3 == 3 else c[at + w])
-        return sign_coding(max(-1, min(1, h)), max(-1, min(1, v)))
+        return SIGNS[h + 2][v + 2]
 
-    def set(self, at: int, negative: int) -> None:
+    def set(self, at: int, y: int, negative: int) -> None:
         self.sig[at] = 1
         self.chi[at] = -1 if negative else 1
+        near, up, down = self.near, at - self.step, at + self.step
+        near[at - 1] += 15
+        near[at + 1] += 15
+        near[down] += 5
+        near[down - 1] += 1
+        near[down + 1] += 1
+        if not (self.causal and y & 3 == 0):  # the stripe above does not look down
+            near[up] += 5
+            near[up - 1] += 1
+            near[up + 1] += 1
 
     def order(self):
         """Places in scan order: stripes of four rows, column by column."""
@@ -154,72 +163,55 @@ class _Coder:
         raise NotImplementedError
 
     def _signed(self, at: int, y: int, plane: int, raw: bool) -> None:
-        if raw:
-            negative = self._negative(at, None, 0)
-        else:
-            negative = self._negative(at, *self.f.sign(at, y))
-        self.f.set(at, negative)
+        negative = self._negative(at, None, 0) if raw else self._negative(at, *self.f.sign(at, y))
+        self.f.set(at, y, negative)
         self._became(at, plane)
 
     def significance(self, plane: int, raw: bool) -> None:
         f = self.f
+        sig, near, seen, zero = f.sig, f.near, f.seen, f.zero
         for y, _, at in self.places:
-            if f.sig[at]:
-                continue
-            h, v, d = f.counts(at, y)
-            if h or v or d:
-                if self._raw(at, plane) if raw else self._bit(f.zero[h][v][d], at, plane):
+            if near[at] and not sig[at]:
+                if self._raw(at, plane) if raw else self._bit(zero[near[at]], at, plane):
                     self._signed(at, y, plane, raw)
-                f.seen[at] = 1
+                seen[at] = 1
 
     def refinement(self, plane: int, raw: bool) -> None:
         f = self.f
-        for y, _, at in self.places:
-            if f.sig[at] and not f.seen[at]:
-                context = None
-                if not raw:
-                    context = 16 if f.refined[at] else 15 if any(f.counts(at, y)) else 14
-                self._refine(at, plane, context)
-                f.refined[at] = 1
+        sig, near, seen, refined = f.sig, f.near, f.seen, f.refined
+        for _, _, at in self.places:
+            if sig[at] and not seen[at]:
+                self._refine(at, plane, None if raw else 16 if refined[at] else 15 if near[at] else 14)
+                refined[at] = 1
 
     def cleanup(self, plane: int) -> None:
         f, skip = self.f, 0
-        for y, x, at in self.places:
+        sig, near, seen, zero, step, last = f.sig, f.near, f.seen, f.zero, f.step, f.h - 4
+        for y, _, at in self.places:
             if skip:
                 skip -= 1
                 continue
-            if y & 3 == 0 and y + 4 <= f.h and self._quiet(at, y):
-                column = [at + k * f.step for k in range(4)]
-                first = self._run(column, plane)
-                if first is None:
+            if not y & 3 and y <= last:
+                column = (at, at + step, at + 2 * step, at + 3 * step)
+                # four samples without a significant one in or around them, none coded in this plane
+                if not any([sig[c] or near[c] or seen[c] for c in column]):
+                    first = self._run(column, plane)
+                    if first is not None:
+                        self._signed(column[first], y + first, plane, False)
+                        for k in range(first + 1, 4):
+                            self._clean(column[k], y + k, plane)
                     skip = 3
                     continue
-                # what lies above the first one is settled, the rest of the column follows normally
-                self._signed(column[first], y + first, plane, False)
-                for k in range(first + 1, 4):
-                    self._clean(column[k], y + k, plane)
-                skip = 3
-                continue
-            self._clean(at, y, plane)
-        f.seen = [0] * len(f.seen)
+            if not sig[at] and not seen[at] and self._bit(zero[near[at]], at, plane):
+                self._signed(at, y, plane, False)
+        f.seen = [0] * len(seen)
         if self.style & SEGMENTED:
             self._marks()
 
     def _clean(self, at: int, y: int, plane: int) -> None:
         f = self.f
-        if not f.sig[at] and not f.seen[at]:
-            h, v, d = f.counts(at, y)
-            if self._bit(f.zero[h][v][d], at, plane):
-                self._signed(at, y, plane, False)
-
-    def _quiet(self, at: int, y: int) -> bool:
-        """Four samples without a significant one in or around them, none of them coded in this plane."""
-        f = self.f
-        for k in range(4):
-            here = at + k * f.step
-            if f.sig[here] or f.seen[here] or any(f.counts(here, y + k)):
-                return False
-        return True
+        if not f.sig[at] and not f.seen[at] and self._bit(f.zero[f.near[at]], at, plane):
+            self._signed(at, y, plane, False)
 
     def _run(self, column: list[int], plane: int) -> int | None:
         raise NotImplementedError
