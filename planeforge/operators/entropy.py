@@ -61,7 +61,10 @@ def bit_rle_encode(data: bytes) -> bytes:
     edge = np.flatnonzero(np.diff(bits)) + 1
     starts = np.r_[0, edge]
     lengths = np.diff(np.r_[starts, len(bits)])
-    return b"".join(bytes([v << 7 | 127]) * (n // 127) + (bytes([v << 7 | n % 127]) if n % 127 else b"") for v, n in zip(bits[starts].tolist(), lengths.tolist(), strict=True))
+    parts = (lengths + 126) // 127
+    size = np.full(parts.sum(), 127)
+    size[np.cumsum(parts) - 1] = lengths - 127 * (parts - 1)
+    return (np.repeat(bits[starts].astype(np.int64), parts) << 7 | size).astype(np.uint8).tobytes()
 
 
 def bit_rle_decode(code: bytes, size: int) -> bytes:
