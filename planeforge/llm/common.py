@@ -101,6 +101,11 @@ class Scratch:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tasks_for(rows: int, per_task: int = 500_000) -> int:
+    """Into how many parts a slim table of so many rows is written: few files for few rows."""
+    return max(1, -(-rows // per_task))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the table does not have (names are compared as Spark does)."""
     taken = {c.lower() for c in df.columns}

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tasks_for, written
 
 FIELD = "<*>"
 #: A whole word with a digit; possessive, so that long words cost linear time.
@@ -74,17 +74,19 @@ def line_templates(df: DataFrame, least_docs: int = 5, depth: int = 3, similarit
     """
     lines = _lines(df, depth, id_col, text_col)
     events = written(lines.select("doc", *_hashes(F.col("masked")), "leaf", "width").distinct(), "line-events")
+    parts = tasks_for(events.count())
     # Leaves with several templates, and documents enough for one that recurs.
     crowded = written(
         events.where(F.col("width") >= least_words)
         .groupBy("leaf")
         .agg(F.min("a").alias("some"), F.max("a").alias("other"), F.count("*").alias("n"))
         .where((F.col("some") < F.col("other")) & (F.col("n") >= least_docs))
-        .select("leaf"),
+        .select("leaf")
+        .coalesce(parts),
         "line-leaves",
     )
     inside = _with_some(lines.where(F.col("width") >= least_words).select("leaf", "masked"), crowded, crowded.count(), "leaf")
-    worded = written(inside.distinct(), "line-words")
+    worded = written(inside.distinct().coalesce(parts), "line-words")
     leads = worded.groupBy("leaf").agg(F.min("masked").alias("lead"))
     words, lead_words = F.split("masked", " "), F.split("lead", " ")
     same = F.size(F.filter(F.zip_with(words, lead_words, lambda x, y: x == y), lambda x: x))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, doc_text, fold_case, free_name, map_arrow, text_bytes, written
+from .common import Scratch, doc_text, fold_case, free_name, map_arrow, tasks_for, text_bytes, written
 
 WIDTH = 64
 
@@ -147,7 +147,7 @@ class _Classes:
             x = z
 
 
-def _linked(radius: int, rows_at_once: int, pairs_at_once: int = 4_000_000):
+def _linked(radius: int, rows_at_once: int, pairs_at_once: int = 1_000_000):
     """Edges (fingerprint, smallest of its class in this task); input sorted by its group columns."""
 
     def solve(keys: np.ndarray, codes: np.ndarray, asks: np.ndarray) -> pa.RecordBatch:
@@ -224,24 +224,25 @@ def contract(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps: each hangs neighbours under a node's smallest
     neighbour, so edges never grow in number, and it ends when a round changes nothing.
     """
+
+    def measured(table: DataFrame):
+        return table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
     current = Scratch(edges.select("a", "b"), "edges")
-    before = None
+    mark = measured(current.table)
     for _ in range(most_rounds):
         e = current.table
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lead = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(lead, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        hung = Scratch(large, "large")
-        current.drop()
-        low = hung.table.groupBy("a").agg(F.min("b").alias("m"))
-        small = hung.table.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        current = Scratch(small, "small")
-        hung.drop()
-        mark = current.table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        after = Scratch(small.coalesce(tasks_for(mark[0])), "edges")
+        current.drop()
+        current, before, mark = after, mark, measured(after.table)
         if mark == before:
             return current.table.select("a", F.col("b").alias("root"))
-        before = mark
     raise RuntimeError(f"classes did not settle in {most_rounds} rounds")
 
 
@@ -252,8 +253,9 @@ def near_classes(df: DataFrame, words: int = 3, radius: int = 3, seed: int = 42,
     name a component (null if it has no other).  Repeated rows stay.
     """
     rows = written(fingerprints(df, words, seed, id_col, text_col), "fingerprints")
-    codes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "codes")
-    roots = contract(fingerprint_links(codes.select("fp"), radius))
+    parts = tasks_for(rows.count())
+    codes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).coalesce(parts), "codes")
+    roots = contract(fingerprint_links(codes.select("fp"), radius).coalesce(parts))
     rooted = codes.join(roots, codes["fp"] == roots["a"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("size")).where("size > 1")
     by_code = rooted.join(names, "root").select("fp", "component_id")
