@@ -64,5 +64,5 @@ def packet_counts(parts: DataFrame) -> DataFrame:
 def window_energy(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Count and summed squares of whole-numbered values for each window and kind, closed by a watermark."""
     v = F.floor("value").cast("bigint")
-    timed = events.withWatermark("ts", late)
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum(v * v).alias("energy")).select(F.col("window.start").alias("start"), "event_type", "n", "energy")
