@@ -142,8 +142,8 @@ def _bytes(spark, d):
     return table(spark, d, "events").select(*ints(k=key, i=place, b=value))
 
 
-@query("byte_runs", f"WITH {_BYTES}, {_RUNS} SELECT * FROM runs")
-def byte_runs(spark, d):
+@query("rle_runs", f"WITH {_BYTES}, {_RUNS} SELECT * FROM runs")
+def rle_runs(spark, d):
     return runs.runs(_bytes(spark, d), "k", "i", "b").select(*ints(k="k", run="run", start="start", length="length", b="value"))
 
 
