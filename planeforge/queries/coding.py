@@ -184,14 +184,16 @@ def rle_decode(spark, d):
     return runs.expanded(coded, "k", "run", "length", "value").select(*ints(k="k", i="i", b="value"))
 
 
-@query("text_byte_runs", "WITH c AS (SELECT doc_id, i, text[i + 1] AS b FROM (SELECT doc_id, text, unnest(range(0, length(text))) AS i FROM documents WHERE strlen(text) = length(text) AND strlen(text) > 0)), d AS (SELECT doc_id, CASE WHEN b <> lag(b) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS c FROM c) SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(c) + 1 AS BIGINT) AS runs FROM d GROUP BY doc_id")
+@query(
+    "text_byte_runs",
+    """WITH b AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM documents)
+    SELECT doc_id, CAST(len(l) AS BIGINT) AS n, CAST(CASE WHEN len(l) = 0 THEN 0 ELSE 1 + len(list_filter(range(2, len(l) + 1), lambda i: l[i] <> l[i - 1])) END AS BIGINT) AS runs FROM b""",
+)
 def text_byte_runs(spark, d):
-    """Runs of ASCII texts inside the row: no explode, no exchange."""
-    text = table(spark, d, "documents").where("octet_length(text) = char_length(text) and octet_length(text) > 0")
-    letters = F.expr("encode(text, 'UTF-8')")
-    steps = F.sequence(F.lit(2), F.octet_length("text"))
-    changes = F.aggregate(F.when(F.octet_length("text") > 1, steps).otherwise(F.array().cast("array<int>")), F.lit(0), lambda n, i: n + (F.substring(F.col("_b"), i, F.lit(1)) != F.substring(F.col("_b"), i - 1, F.lit(1))).cast("int"))
-    return text.withColumn("_b", letters).select("doc_id", *ints(n=F.octet_length("text"), runs=changes + 1))
+    """Runs of UTF-8 bytes inside the row, by one pattern over the hex digits: no explode, no exchange."""
+    text = F.coalesce("text", F.lit(""))
+    count = F.regexp_count(F.hex(F.encode(text, "UTF-8")), F.lit(r"(..)\1*+"))
+    return table(spark, d, "documents").select("doc_id", *ints(n=F.octet_length(text), runs=count))
 
 
 @query("png_sub_unfilter", f"WITH {RGB} SELECT y, x, r AS v FROM rgb")

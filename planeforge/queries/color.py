@@ -321,35 +321,38 @@ _BASIS = "(CASE WHEN {f} = 0 THEN sqrt(0.5::DOUBLE) ELSE 1.0::DOUBLE END) * cos(
 
 @query(
     "dct8_inverse",
-    f"""WITH {PLANE}, t AS (SELECT y // 8 AS ty, x // 8 AS tx, y % 8 AS fv, x % 8 AS fu, v * ((y % 8) + (x % 8) + 1) AS c FROM plane WHERE y < 480),
-    h AS (SELECT ty, tx, fv, px, sum(c * {_BASIS(f="fu", p="px")}) AS s FROM t, range(0, 8) r(px) GROUP BY ALL),
-    w AS (SELECT ty, tx, py, px, sum(s * {_BASIS(f="fv", p="py")}) AS s FROM h, range(0, 8) r(py) GROUP BY ALL)
-    SELECT ty * 8 + py AS y, tx * 8 + px AS x, CAST(greatest(0, least(255, floor(s * 0.25::DOUBLE + 128.5::DOUBLE + 1e-9::DOUBLE))) AS BIGINT) AS v FROM w""",
+    f"""WITH {PLANE}, t AS (SELECT y AS blk, x // 8 AS fv, x % 8 AS fu, v * (x // 8 + x % 8 + 1) AS c FROM plane),
+    h AS (SELECT blk, fv, px, sum(c * {_BASIS(f="fu", p="px")}) AS s FROM t, range(0, 8) r(px) GROUP BY ALL),
+    w AS (SELECT blk, py, px, sum(s * {_BASIS(f="fv", p="py")}) AS s FROM h, range(0, 8) r(py) GROUP BY ALL)
+    SELECT blk AS block, CAST(py AS BIGINT) AS y, CAST(px AS BIGINT) AS x, CAST(greatest(0, least(255, floor(s * 0.25::DOUBLE + 128.5::DOUBLE + 1e-9::DOUBLE))) AS BIGINT) AS v FROM w""",
 )
 def dct8_inverse(spark, d):
-    """Dequantised 8x8 blocks to samples: one row a block, both passes inside the row, no basis join."""
+    """Dequantised 8x8 blocks (a row of the plane is one) to samples: both passes inside the row, no basis join."""
     from ..functions.dct import inverse_blocks
     from ..rasters import to_blocks, to_samples
 
-    plane = embedding_plane(spark, d).where("y < 480")
-    scaled = plane.withColumn("v", F.col("v") * (F.col("y") % 8 + F.col("x") % 8 + 1))
-    return to_samples(inverse_blocks(to_blocks(scaled, 8, 8))).select(*ints(y="y", x="x", v="v"))
+    plane = embedding_plane(spark, d).select(F.col("y").alias("block"), F.expr("x div 8").alias("y"), (F.col("x") % 8).alias("x"), "v")
+    scaled = plane.withColumn("v", F.col("v") * (F.col("y") + F.col("x") + 1))
+    return to_samples(inverse_blocks(to_blocks(scaled, 8, 8, ("block",))), ("block",)).select(*ints(block="block", y="y", x="x", v="v"))
+
+
+def _weight(axis: str, near: str) -> str:
+    """1 or 3 quarters of the first and second neighbour by the place's parity."""
+    return f"CASE WHEN {axis} % 2 = 0 THEN {1 if near == 'first' else 3} ELSE {3 if near == 'first' else 1} END"
 
 
 @query(
     "jpeg_upsample",
-    f"""WITH {RGB}, c AS (SELECT y, x, r AS v FROM rgb WHERE y < 10 AND x < 50), g AS (SELECT yy, xx, yy // 2 AS cy, xx // 2 AS cx FROM range(0, 20) t(yy), range(0, 100) u(xx)),
-    k AS (SELECT yy, xx, CASE WHEN yy % 2 = 0 THEN greatest(cy - 1, 0) ELSE cy END AS y0, CASE WHEN yy % 2 = 0 THEN cy ELSE least(cy + 1, 9) END AS y1,
-      CASE WHEN xx % 2 = 0 THEN greatest(cx - 1, 0) ELSE cx END AS x0, CASE WHEN xx % 2 = 0 THEN cx ELSE least(cx + 1, 49) END AS x1 FROM g)
-    SELECT k.yy AS y, k.xx AS x, ((CASE WHEN yy % 2 = 0 THEN 1 ELSE 3 END) * ((CASE WHEN xx % 2 = 0 THEN 1 ELSE 3 END) * a.v + (CASE WHEN xx % 2 = 0 THEN 3 ELSE 1 END) * b.v)
-      + (CASE WHEN yy % 2 = 0 THEN 3 ELSE 1 END) * ((CASE WHEN xx % 2 = 0 THEN 1 ELSE 3 END) * e.v + (CASE WHEN xx % 2 = 0 THEN 3 ELSE 1 END) * f.v) + 8) // 16 AS v
-    FROM k JOIN c a ON a.y = y0 AND a.x = x0 JOIN c b ON b.y = y0 AND b.x = x1 JOIN c e ON e.y = y1 AND e.x = x0 JOIN c f ON f.y = y1 AND f.x = x1""",
+    f"""WITH {RGB}, m AS (SELECT max(y) AS top FROM rgb), g AS (SELECT y * 2 + i AS yy, x * 2 + j AS xx, y AS cy, x AS cx FROM rgb, range(0, 2) t(i), range(0, 2) u(j)),
+    k AS (SELECT yy, xx, CASE WHEN yy % 2 = 0 THEN greatest(cy - 1, 0) ELSE cy END AS y0, CASE WHEN yy % 2 = 0 THEN cy ELSE least(cy + 1, top) END AS y1,
+      CASE WHEN xx % 2 = 0 THEN greatest(cx - 1, 0) ELSE cx END AS x0, CASE WHEN xx % 2 = 0 THEN cx ELSE least(cx + 1, 99) END AS x1 FROM g, m)
+    SELECT k.yy AS y, k.xx AS x, (({_weight("yy", "first")}) * (({_weight("xx", "first")}) * a.r + ({_weight("xx", "second")}) * b.r) + ({_weight("yy", "second")}) * (({_weight("xx", "first")}) * e.r + ({_weight("xx", "second")}) * f.r) + 8) // 16 AS v
+    FROM k JOIN rgb a ON a.y = y0 AND a.x = x0 JOIN rgb b ON b.y = y0 AND b.x = x1 JOIN rgb e ON e.y = y1 AND e.x = x0 JOIN rgb f ON f.y = y1 AND f.x = x1""",
 )
 def jpeg_upsample(spark, d):
     """2x2 chroma upsampling, weights 1/4 and 3/4 on centred samples: along rows, then along columns."""
     from ..functions.dct import upsample_axis
 
-    chroma = rgb_events(spark, d).where("y < 10 and x < 50").select("y", "x", F.col("r").alias("v"))
-    wide = upsample_axis(chroma, "x", ["y"])
-    tall = upsample_axis(wide, "y", ["x"])
+    chroma = rgb_events(spark, d).select("y", "x", F.col("r").alias("v"))
+    tall = upsample_axis(upsample_axis(chroma, "x", ["y"]), "y", ["x"])
     return tall.select(*ints(y="y", x="x", v=F.expr("(v + 8) div 16")))

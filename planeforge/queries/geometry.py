@@ -286,11 +286,11 @@ def tile_work_order(spark, d):
     return geometry.tiles(spark, GRID).select("tile_id", *ints(place=F.row_number().over(Window.orderBy(area.desc(), "tile_id"))))
 
 
-@query("upsample_nearest", f"WITH {PLANE} SELECT CAST(yy AS BIGINT) AS y, CAST(xx AS BIGINT) AS x, v FROM plane JOIN (SELECT yy, xx FROM range(0, 100) t(yy), range(0, 128) u(xx)) ON y = yy // 2 AND x = xx // 2")
+@query("upsample_nearest", f"WITH {PLANE} SELECT y * 2 + i AS y, x * 2 + j AS x, v FROM plane, range(0, 2) t(i), range(0, 2) u(j)")
 def upsample_nearest(spark, d):
     """Every source sample makes its four copies: an explode, not a join."""
     two = F.sequence(F.lit(0), F.lit(1))
-    rows = embedding_plane(spark, d).where("y < 50").withColumn("i", F.explode(two)).withColumn("j", F.explode(two))
+    rows = embedding_plane(spark, d).withColumn("i", F.explode(two)).withColumn("j", F.explode(two))
     return rows.select(*ints(y=F.col("y") * 2 + F.col("i"), x=F.col("x") * 2 + F.col("j"), v="v"))
 
 

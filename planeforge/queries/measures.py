@@ -63,11 +63,11 @@ def pixel_diff(spark, d):
 
 @query(
     "plane_sha256",
-    f"""WITH {PLANE}, t AS (SELECT y // 16 AS ty, x // 16 AS tx, y, x, v FROM plane WHERE y < 480), h AS (SELECT ty, tx, string_agg(printf('%04x', CASE WHEN v < 0 THEN v + 65536 ELSE v END), '' ORDER BY y, x) AS s FROM t GROUP BY ALL)
-    SELECT ty, tx, sha256(unhex('0000001000000010' || s)) AS sha256 FROM h""",
+    f"""WITH {PLANE}, t AS (SELECT y // 16 AS ty, x // 16 AS tx, y, x, v FROM plane), h AS (SELECT ty, tx, count(DISTINCT y) AS h, string_agg(printf('%04x', CASE WHEN v < 0 THEN v + 65536 ELSE v END), '' ORDER BY y, x) AS s FROM t GROUP BY ALL)
+    SELECT ty, tx, sha256(unhex(printf('%08x', h) || '00000010' || s)) AS sha256 FROM h""",
 )
 def plane_sha256(spark, d):
-    return stats.plane_sha256(embedding_plane(spark, d).where("y < 480").select(*_tile(), "y", "x", "v"), ["ty", "tx"])
+    return stats.plane_sha256(embedding_plane(spark, d).select(*_tile(), "y", "x", "v"), ["ty", "tx"])
 
 
 @query(
@@ -102,10 +102,11 @@ def band_weights(spark, d):
 
 @query(
     "tag_tree_levels",
-    f"""WITH {PLANE}, lf AS (SELECT y, x, v FROM plane WHERE y < 50) SELECT CAST(l AS BIGINT) AS level, y >> l AS y, x >> l AS x, min(v) AS v FROM lf, range(0, 7) t(l) GROUP BY ALL""",
+    f"""WITH {PLANE}, n AS (SELECT CAST(ceil(log2(greatest(64, max(y) + 1))) AS BIGINT) AS top FROM plane) SELECT CAST(l AS BIGINT) AS level, y >> l AS y, x >> l AS x, min(v) AS v FROM plane, n, range(0, 40) t(l) WHERE l <= top GROUP BY ALL""",
 )
 def tag_tree_levels(spark, d):
-    return stats.pyramid(embedding_plane(spark, d).where("y < 50"), [], 50, 64)
+    plane = embedding_plane(spark, d)
+    return stats.pyramid(plane, [], int(plane.agg(F.max("y")).first()[0]) + 1, 64)
 
 
 _SIG = "sg AS (SELECT y, x, CASE WHEN abs(v) >= 16 THEN 1 ELSE 0 END AS s, CASE WHEN v < 0 THEN -1 ELSE 1 END AS sign FROM plane)"
