@@ -255,7 +255,11 @@ def near_classes(df: DataFrame, words: int = 3, radius: int = 3, seed: int = 42,
     rows = written(fingerprints(df, words, seed, id_col, text_col), "fingerprints")
     parts = tasks_for(rows.count())
     codes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).coalesce(parts), "codes")
-    roots = contract(fingerprint_links(codes.select("fp"), radius).coalesce(parts))
+    return named_classes(rows, codes, contract(fingerprint_links(codes.select("fp"), radius).coalesce(parts)))
+
+
+def named_classes(rows: DataFrame, codes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``doc_id, fp, component_id`` of rows ``doc_id, fp``; ``codes``: ``fp, least, n``, ``roots``: ``a, root``."""
     rooted = codes.join(roots, codes["fp"] == roots["a"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("size")).where("size > 1")
     by_code = rooted.join(names, "root").select("fp", "component_id")
@@ -274,7 +278,11 @@ def drop_near_copies(df: DataFrame, words: int = 3, radius: int = 3, seed: int =
 
     A ``doc_id`` is one document: rows that repeat it stay or go together.  Rows without an id stay.
     """
-    found = near_classes(df, words, radius, seed, id_col, text_col)
+    return keep_named(df, near_classes(df, words, radius, seed, id_col, text_col), id_col)
+
+
+def keep_named(df: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Without the documents that another names in ``doc_id, component_id``."""
     own = free_name(df, "_gone")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
     return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(own), "left_anti")
