@@ -7,6 +7,9 @@ line that sorts first is the first template; lines that agree with it in at leas
 their places fall under it, its differing places being variable too.  Other lines are templates of
 their own.
 
+With ``all_leads`` a leaf has as many leads as its lines need: each line falls under a lead that it agrees with, and no
+two leads agree.
+
 A template that occurs in ``least_docs`` or more documents recurs.  Its lines are dropped from every
 document but the first (smallest id) in which it occurs.
 
@@ -16,6 +19,8 @@ template.  Texts are moved once, to meet what is dropped from them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +72,75 @@ def _salted(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def line_templates(df: DataFrame, least_docs: int = 5, depth: int = 3, similarity: float = 0.8, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _agree(x: Column, y: Column, similarity: float) -> Column:
+    """Two lines (arrays of words) have as many words, and enough of them in the same places."""
+    same = F.size(F.filter(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), lambda p: p))
+    return (F.size(x) == F.size(y)) & (same >= F.ceil(F.size(x) * F.lit(similarity)))
+
+
+def _met(worded: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """``key, a``: lines of a leaf that agree have a key in common.
+
+    With at most ``d`` places that differ, one of ``d + 1`` runs of the places behind the leading words is equal.
+    """
+    words = F.split("masked", " ")
+    cut = worded.select("leaf", "a", words.alias("words"), F.greatest(F.size(words) - depth, F.lit(0)).alias("rest"), (F.size(words) - F.ceil(F.size(words) * F.lit(similarity)) + 1).cast("int").alias("runs"))
+    start = lambda k: F.floor(k * F.col("rest") / F.col("runs")).cast("int")
+    keys = F.transform(F.sequence(F.lit(0), F.col("runs") - 1), lambda k: F.xxhash64("leaf", k, F.slice("words", start(k) + depth + 1, start(k + 1) - start(k))))
+    whole = F.array(F.col("leaf"))  # so few places behind that they may all differ
+    return cut.select(F.explode(F.when(F.col("runs") > F.col("rest"), whole).otherwise(keys)).alias("key"), "a")
+
+
+def _all_merged(worded: DataFrame, depth: int, similarity: float, most_pairs: int) -> DataFrame:
+    """``a, lead``: every line of a leaf that falls under another.
+
+    By their hashes in rising order, a line is a lead if it agrees with no lead before it, and falls under the
+    first lead that it agrees with otherwise.  A line that is first at all of its keys is a lead; what agrees with it
+    meets it there.  When the pairs that meet are few enough, they are made, and leads are told by the pairs that agree.
+    """
+    lines = worded.select("a", F.split("masked", " ").alias("words"))
+
+    def agreeing(pairs: DataFrame) -> DataFrame:
+        left, right = lines.select("a", F.col("words").alias("x")), lines.select(F.col("a").alias("lead"), F.col("words").alias("y"))
+        return pairs.join(left, "a").join(right, "lead").where(_agree(F.col("x"), F.col("y"), similarity)).select("a", "lead")
+
+    def merge(pairs: DataFrame) -> DataFrame:
+        return written(pairs.groupBy("a").agg(F.min("lead").alias("lead")).coalesce(1), "line-merged")
+
+    spark, found = worded.sparkSession, []
+    open_ = _met(worded, depth, similarity)
+    while True:
+        sizes = open_.groupBy("key").agg(F.min("a").alias("lead"), F.count("*").alias("n")).where("n > 1")
+        shared = open_.join(sizes, "key").select("key", "a", "lead", "n")
+        shared = written(shared, "line-met")
+        pairs = shared.where("a = lead").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+        if pairs <= most_pairs:
+            break
+        leads = shared.groupBy("a").agg(F.max("lead").alias("last")).where("a = last").select(F.col("a").alias("lead"))
+        found.append(merge(agreeing(shared.where("a <> lead").select("a", "lead").join(leads, "lead", "left_semi").distinct())))
+        done = found[-1].select("a").union(leads.select(F.col("lead").alias("a")))
+        open_ = shared.select("key", "a").join(done, "a", "left_anti")
+    other = shared.select("key", F.col("a").alias("lead"))
+    edges = written(agreeing(shared.select("key", "a").join(other, "key").where("lead < a").select("a", "lead").distinct()).coalesce(1), "line-edges")
+    while not edges.isEmpty():
+        leads = edges.select("lead").join(edges.select(F.col("a").alias("lead")), "lead", "left_anti").distinct()
+        found.append(merge(edges.join(leads, "lead")))
+        done = found[-1].select("a")
+        edges = written(edges.join(done, "a", "left_anti").join(done.select(F.col("a").alias("lead")), "lead", "left_anti").select("a", "lead").coalesce(1), "line-edges")
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "a long, lead long")
+
+
+def line_templates(
+    df: DataFrame,
+    least_docs: int = 5,
+    depth: int = 3,
+    similarity: float = 0.8,
+    least_words: int = 5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    all_leads: bool = False,
+    most_pairs: int = 5_000_000,
+) -> DataFrame:
     """``doc, a, b, first_doc, docs``: the lines (by their hashes) of recurring templates.
 
     One row for each document and distinct masked line in it.
@@ -87,28 +160,44 @@ def line_templates(df: DataFrame, least_docs: int = 5, depth: int = 3, similarit
     )
     inside = _with_some(lines.where(F.col("width") >= least_words).select("leaf", "masked"), crowded, crowded.count(), "leaf")
     worded = written(inside.distinct().coalesce(parts), "line-words")
-    leads = worded.groupBy("leaf").agg(F.min("masked").alias("lead"))
-    words, lead_words = F.split("masked", " "), F.split("lead", " ")
-    same = F.size(F.filter(F.zip_with(words, lead_words, lambda x, y: x == y), lambda x: x))
-    merged = (
-        worded.join(leads, "leaf")
-        .where((F.col("masked") != F.col("lead")) & (F.size(words) == F.size(lead_words)) & (same >= F.ceil(F.size(words) * F.lit(similarity))))
-        .select(*_hashes(F.col("masked")), *[h.alias(n) for h, n in zip(_hashes(F.col("lead")), ("lead_a", "lead_b"), strict=True)])
-    )
+    if all_leads:
+        worded = written(worded.select("leaf", "masked", *_hashes(F.col("masked"))), "line-words")
+        names = worded.select("a", "b")
+        under = _all_merged(worded, depth, similarity, most_pairs).join(names, "a")
+        merged = under.join(names.select(F.col("a").alias("lead"), F.col("b").alias("lead_b")), "lead").select("a", "b", F.col("lead").alias("lead_a"), "lead_b")
+    else:
+        leads = worded.groupBy("leaf").agg(F.min("masked").alias("lead"))
+        words, lead_words = F.split("masked", " "), F.split("lead", " ")
+        same = F.size(F.filter(F.zip_with(words, lead_words, lambda x, y: x == y), lambda x: x))
+        merged = (
+            worded.join(leads, "leaf")
+            .where((F.col("masked") != F.col("lead")) & (F.size(words) == F.size(lead_words)) & (same >= F.ceil(F.size(words) * F.lit(similarity))))
+            .select(*_hashes(F.col("masked")), *[h.alias(n) for h, n in zip(_hashes(F.col("lead")), ("lead_a", "lead_b"), strict=True)])
+        )
     tagged = _salted(events.select("doc", "a", "b"), merged, ["a", "b"], "left").select("doc", "a", "b", F.coalesce("lead_a", "a").alias("ta"), F.coalesce("lead_b", "b").alias("tb"))
     per_doc = tagged.select("ta", "tb", "doc").distinct()
     recurring = per_doc.groupBy("ta", "tb").agg(F.count("*").alias("docs"), F.min("doc").alias("first_doc")).where(F.col("docs") >= least_docs)
     return _salted(tagged, recurring, ["ta", "tb"]).select("doc", "a", "b", "first_doc", "docs")
 
 
-def drop_recurring_lines(df: DataFrame, least_docs: int = 5, depth: int = 3, similarity: float = 0.8, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_recurring_lines(
+    df: DataFrame,
+    least_docs: int = 5,
+    depth: int = 3,
+    similarity: float = 0.8,
+    least_words: int = 5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    all_leads: bool = False,
+    most_pairs: int = 5_000_000,
+) -> DataFrame:
     """All columns, the text without dropped lines, and ``lines_dropped, lines_kept`` (int).
 
     Blank lines are no templates and stay.  A null text stays null, with no lines.  Rows that repeat an
     id are one document; rows with a null id are told apart by their text.  Columns of the table that
     are named like the two added ones give way to them.
     """
-    found = line_templates(df, least_docs, depth, similarity, least_words, id_col, text_col)
+    found = line_templates(df, least_docs, depth, similarity, least_words, id_col, text_col, all_leads, most_pairs)
     gone = found.where("doc <> first_doc").groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
     # the row travels as one struct, so that its columns cannot clash with these
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _key(df, id_col, text_col).alias("doc")).join(gone, "doc", "left")
