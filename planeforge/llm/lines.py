@@ -10,7 +10,8 @@ their own.
 With ``all_leads`` a leaf has as many leads as its lines need: each line falls under a lead that it agrees with, and no
 two leads agree.
 
-A template that occurs in ``least_docs`` or more documents recurs.  Its lines are dropped from every
+A template that occurs in ``least_docs`` or more documents recurs; one of ``long_words`` or more words does from
+``long_docs`` on, where ``long_words`` is given.  Its lines are dropped from every
 document but the first (smallest id) in which it occurs.
 
 Only 128-bit hashes of lines are shuffled; words travel only for lines in leaves with more than one
@@ -139,12 +140,15 @@ def line_templates(
     id_col: str = "doc_id",
     text_col: str = "text",
     all_leads: bool = False,
+    long_words: int | None = None,
+    long_docs: int = 2,
     most_pairs: int = 5_000_000,
 ) -> DataFrame:
     """``doc, a, b, first_doc, docs``: the lines (by their hashes) of recurring templates.
 
     One row for each document and distinct masked line in it.
     """
+    fewest = least_docs if long_words is None else min(least_docs, long_docs)
     lines = _lines(df, depth, id_col, text_col)
     events = written(lines.select("doc", *_hashes(F.col("masked")), "leaf", "width").distinct(), "line-events")
     parts = tasks_for(events.count())
@@ -153,7 +157,7 @@ def line_templates(
         events.where(F.col("width") >= least_words)
         .groupBy("leaf")
         .agg(F.min("a").alias("some"), F.max("a").alias("other"), F.count("*").alias("n"))
-        .where((F.col("some") < F.col("other")) & (F.col("n") >= least_docs))
+        .where((F.col("some") < F.col("other")) & (F.col("n") >= fewest))
         .select("leaf")
         .coalesce(parts),
         "line-leaves",
@@ -174,9 +178,10 @@ def line_templates(
             .where((F.col("masked") != F.col("lead")) & (F.size(words) == F.size(lead_words)) & (same >= F.ceil(F.size(words) * F.lit(similarity))))
             .select(*_hashes(F.col("masked")), *[h.alias(n) for h, n in zip(_hashes(F.col("lead")), ("lead_a", "lead_b"), strict=True)])
         )
-    tagged = _salted(events.select("doc", "a", "b"), merged, ["a", "b"], "left").select("doc", "a", "b", F.coalesce("lead_a", "a").alias("ta"), F.coalesce("lead_b", "b").alias("tb"))
-    per_doc = tagged.select("ta", "tb", "doc").distinct()
-    recurring = per_doc.groupBy("ta", "tb").agg(F.count("*").alias("docs"), F.min("doc").alias("first_doc")).where(F.col("docs") >= least_docs)
+    tagged = _salted(events.select("doc", "a", "b", "width"), merged, ["a", "b"], "left").select("doc", "a", "b", "width", F.coalesce("lead_a", "a").alias("ta"), F.coalesce("lead_b", "b").alias("tb"))
+    per_doc = tagged.select("ta", "tb", "width", "doc").distinct()
+    least = F.lit(least_docs) if long_words is None else F.when(F.col("width") >= long_words, long_docs).otherwise(least_docs)
+    recurring = per_doc.groupBy("ta", "tb", "width").agg(F.count("*").alias("docs"), F.min("doc").alias("first_doc")).where(F.col("docs") >= least).drop("width")
     return _salted(tagged, recurring, ["ta", "tb"]).select("doc", "a", "b", "first_doc", "docs")
 
 
@@ -189,6 +194,8 @@ def drop_recurring_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     all_leads: bool = False,
+    long_words: int | None = None,
+    long_docs: int = 2,
     most_pairs: int = 5_000_000,
 ) -> DataFrame:
     """All columns, the text without dropped lines, and ``lines_dropped, lines_kept`` (int).
@@ -197,7 +204,7 @@ def drop_recurring_lines(
     id are one document; rows with a null id are told apart by their text.  Columns of the table that
     are named like the two added ones give way to them.
     """
-    found = line_templates(df, least_docs, depth, similarity, least_words, id_col, text_col, all_leads, most_pairs)
+    found = line_templates(df, least_docs, depth, similarity, least_words, id_col, text_col, all_leads, long_words, long_docs, most_pairs)
     gone = found.where("doc <> first_doc").groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
     # the row travels as one struct, so that its columns cannot clash with these
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _key(df, id_col, text_col).alias("doc")).join(gone, "doc", "left")
