@@ -92,7 +92,7 @@ def _met(worded: DataFrame, depth: int, similarity: float) -> DataFrame:
     return cut.select(F.explode(F.when(F.col("runs") > F.col("rest"), whole).otherwise(keys)).alias("key"), "a")
 
 
-def _all_merged(worded: DataFrame, depth: int, similarity: float, most_pairs: int) -> DataFrame:
+def _all_merged(worded: DataFrame, depth: int, similarity: float, most_pairs: int, parts: int) -> DataFrame:
     """``a, lead``: every line of a leaf that falls under another.
 
     By their hashes in rising order, a line is a lead if it agrees with no lead before it, and falls under the
@@ -106,7 +106,7 @@ def _all_merged(worded: DataFrame, depth: int, similarity: float, most_pairs: in
         return pairs.join(left, "a").join(right, "lead").where(_agree(F.col("x"), F.col("y"), similarity)).select("a", "lead")
 
     def merge(pairs: DataFrame) -> DataFrame:
-        return written(pairs.groupBy("a").agg(F.min("lead").alias("lead")).coalesce(1), "line-merged")
+        return written(pairs.groupBy("a").agg(F.min("lead").alias("lead")).coalesce(parts), "line-merged")
 
     spark, found = worded.sparkSession, []
     open_ = _met(worded, depth, similarity)
@@ -122,12 +122,12 @@ def _all_merged(worded: DataFrame, depth: int, similarity: float, most_pairs: in
         done = found[-1].select("a").union(leads.select(F.col("lead").alias("a")))
         open_ = shared.select("key", "a").join(done, "a", "left_anti")
     other = shared.select("key", F.col("a").alias("lead"))
-    edges = written(agreeing(shared.select("key", "a").join(other, "key").where("lead < a").select("a", "lead").distinct()).coalesce(1), "line-edges")
+    edges = written(agreeing(shared.select("key", "a").join(other, "key").where("lead < a").select("a", "lead").distinct()).coalesce(parts), "line-edges")
     while not edges.isEmpty():
         leads = edges.select("lead").join(edges.select(F.col("a").alias("lead")), "lead", "left_anti").distinct()
         found.append(merge(edges.join(leads, "lead")))
         done = found[-1].select("a")
-        edges = written(edges.join(done, "a", "left_anti").join(done.select(F.col("a").alias("lead")), "lead", "left_anti").select("a", "lead").coalesce(1), "line-edges")
+        edges = written(edges.join(done, "a", "left_anti").join(done.select(F.col("a").alias("lead")), "lead", "left_anti").select("a", "lead").coalesce(parts), "line-edges")
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "a long, lead long")
 
 
@@ -167,7 +167,7 @@ def line_templates(
     if all_leads:
         worded = written(worded.select("leaf", "masked", *_hashes(F.col("masked"))), "line-words")
         names = worded.select("a", "b")
-        under = _all_merged(worded, depth, similarity, most_pairs).join(names, "a")
+        under = _all_merged(worded, depth, similarity, most_pairs, parts).join(names, "a")
         merged = under.join(names.select(F.col("a").alias("lead"), F.col("b").alias("lead_b")), "lead").select("a", "b", F.col("lead").alias("lead_a"), "lead_b")
     else:
         leads = worded.groupBy("leaf").agg(F.min("masked").alias("lead"))
