@@ -49,9 +49,3 @@ def test_pipeline_finds_every_template_of_a_leaf(spark, tables):
     rows += [(20, "fixed words stand aa aa aa aa", "en", "a", 1)]
     left = stage(spark, rows, tables)
     assert sum("fixed words" in t for t in left.values()) == 3
-
-
-def test_pipeline_drops_long_lines_from_two_documents_on(spark, tables):
-    long, short = (" ".join(f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr")[: 3 * n - 1] for n in (50, 49))
-    rows = [(1, f"one\n{long}", "en", "a", 1), (2, f"two\n{long}", "en", "a", 1), (3, f"three\nx{short}", "en", "a", 1), (4, f"four\nx{short}", "en", "a", 1)]
-    assert stage(spark, rows, tables) == {1: f"one\n{long}", 2: "two", 3: f"three\nx{short}", 4: f"four\nx{short}"}
