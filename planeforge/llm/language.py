@@ -2,7 +2,8 @@
 
 Texts become L2-normalised square roots of hashed byte n-gram counts.  Linear SVMs separate each pair
 of language families, and within a family each pair of its languages.  Votes decide, summed margins
-break ties.  Models are fitted on a bounded sample of labelled rows; prediction reads whole texts in
+break ties.  Models are fitted on a bounded sample of labelled texts, drawn for each language by itself from its
+distinct texts, so neither copies nor other languages can crowd it out; prediction reads whole texts in
 one pass without a shuffle.
 """
 
@@ -14,10 +15,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc, map_arrow
+from .common import id_crc, map_arrow, text_bytes
 from .linear import fit_svm, gram_ids, sigmoid
 
 UNKNOWN = "und"
@@ -44,7 +45,7 @@ def family_of(lang: str) -> str:
 class LanguageParams:
     sizes: tuple[int, ...] = (1, 2, 3)
     bits: int = 12
-    #: Bound of the training sample: rows of each language (in expectation, and never twice as many).
+    #: Bound of the training sample: distinct texts of each language.
     sample_per_language: int = 300
 
 
@@ -96,30 +97,43 @@ def _vote(names: tuple[str, ...], duels: tuple[Duel, ...], x: np.ndarray) -> tup
     return best, float(sigmoid(2.0 * least[best]))
 
 
-def fit_languages(labelled: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
-    """Fit on rows ``text, lang``; rows with a null language, or without a letter, are ignored.
+def sampled_texts(labelled: DataFrame, per_language: int) -> DataFrame:
+    """``lang, h, text``: of each language the distinct texts with the smallest hashes, some of them repeated.
 
-    Which rows are sampled depends on text and language alone.
+    Drawn are the texts below a hash that is set for each language by its (approximate) count of distinct texts, twice
+    as many as needed; so what is drawn depends on texts and languages alone, and a copy is drawn with its like.
     """
-    known = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.select(F.col("lang").cast("string").alias("lang")).where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    known = known.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text").alias("h"), "text")
     scale = 1 << 30
-    bar = F.lit(0)
-    for lang, n in sorted(counts.items()):
-        bar = F.when(F.col("lang") == lang, F.lit(int(scale * min(1.0, params.sample_per_language / n)))).otherwise(bar)
-    sample = known.where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(scale)) < bar)
-    letter = r"\p{L}"
+    bars = known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    # one row a language
+    bars = bars.select("lang", F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n")).alias("share"))
+    drawn = known.join(F.broadcast(bars), "lang")
+    return drawn.where(F.pmod("h", F.lit(scale)) < F.col("share") * scale).select("lang", "h", "text")
 
-    def make():
-        has = regex.compile(letter).search
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = [features(t.encode(), params).astype("<f4").tobytes() if has(t) else None for t in batch.column(0).to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], names=["x", "lang"])
+def fit_languages(labelled: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
+    """Fit on rows ``text, lang``; rows with a null language, a null text, or without a letter are ignored.
 
-        return step
+    Of each language the ``sample_per_language`` distinct texts with the smallest hashes are learned from, whatever the
+    order of the rows and however often a text is repeated.
+    """
 
-    got = map_arrow(sample, make, "x binary, lang string").where("x is not null").limit(2 * params.sample_per_language * max(1, len(counts))).collect()
+    def run(batches):
+        seen = set()  # a text is described once a task; below the bar there are boundedly many
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            fresh = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            if fresh:
+                part = batch.take(pa.array(fresh))
+                x = [features(t, params).astype("<f4").tobytes() for t in text_bytes(part.column(2))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.binary())], names=["lang", "h", "x"])
+
+    described = sampled_texts(labelled, params.sample_per_language).mapInArrow(run, "lang string, h long, x binary")
+    once = described.groupBy("lang", "h").agg(F.min("x").alias("x"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    got = once.withColumn("_rank", rank).where(F.col("_rank") <= params.sample_per_language).collect()
     got = sorted((r["lang"], bytes(r["x"])) for r in got)
     names = sorted({lang for lang, _ in got})
     x = np.array([np.frombuffer(b, dtype="<f4") for _, b in got], dtype=np.float32).reshape(len(got), 1 << params.bits)

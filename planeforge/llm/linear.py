@@ -11,7 +11,17 @@ MIX = np.uint32(0x9E3779B1)
 
 def gram_ids(text: bytes, sizes: tuple[int, ...], bits: int) -> np.ndarray:
     """Hashed ids of all byte n-grams of the given ascending sizes, repeats included."""
-    data = np.frombuffer(text, dtype=np.uint8).astype(np.uint32)
+    return _grams(np.frombuffer(text, dtype=np.uint8).astype(np.uint32), sizes, bits)
+
+
+def char_gram_ids(text: bytes, sizes: tuple[int, ...], bits: int) -> np.ndarray:
+    """Hashed ids of all n-grams of characters (code points) of a UTF-8 text, repeats included."""
+    if text.isascii():
+        return gram_ids(text, sizes, bits)
+    return _grams(np.frombuffer(text.decode().encode("utf-32-le"), dtype="<u4").astype(np.uint32), sizes, bits)
+
+
+def _grams(data: np.ndarray, sizes: tuple[int, ...], bits: int) -> np.ndarray:
     out, code, done = [], None, 0
     for size in sizes:
         if len(data) < size:
