@@ -1,7 +1,7 @@
 """Toxicity scores (operator 5): a linear classifier over naive Bayes weighted character n-grams.
 
-Features are the presence of hashed UTF-8 n-grams of the lower-cased (A-Z) text.  On a bounded,
-class-balanced sample of the labelled rows each feature gets its naive Bayes log-count ratio; a
+Features are the presence of hashed character n-grams of the lower-cased (A-Z) text.  On a bounded,
+class-balanced sample of the labelled texts, drawn for each class by itself from distinct ids and texts, each feature gets its naive Bayes log-count ratio; a
 logistic regression is then fitted on the features times these ratios.  Labels are noisy, so the model
 is fitted three times: on either half of the sample, to score the other half, and then on the rows
 whose label the other half's model finds at least ``least_trust`` likely.  The intercept is moved from
@@ -15,18 +15,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_text, fold_case, id_crc, map_arrow, text_bytes
-from .linear import fit_logistic, gram_ids, sigmoid
+from .linear import char_gram_ids, fit_logistic, sigmoid
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
     sizes: tuple[int, ...] = (3, 4, 5)
     bits: int = 18
-    #: Bound of the training sample: rows of each class (in expectation, and never twice as many).
+    #: Bound of the training sample: distinct texts of each class.
     sample_per_class: int = 800
     smoothing: float = 1.0
     #: Features of fewer sample rows are left out.
@@ -44,7 +44,7 @@ class ToxicityModel:
 
     def score(self, text: bytes, flags: np.ndarray) -> float:
         """``flags``: a zeroed float32 array of the feature space, returned zeroed."""
-        ids = gram_ids(fold_case(text), self.params.sizes, self.params.bits)
+        ids = char_gram_ids(fold_case(text), self.params.sizes, self.params.bits)
         flags[ids] = 1.0
         margin = float(flags @ self.weights) + self.intercept
         flags[ids] = 0.0
@@ -55,31 +55,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out_remainder: int = 0
     """Fit on the documents' texts and ``labels`` (``doc_id, toxic``).
 
     Not learned from: held-out rows (crc32 of the id mod 5), rows without an id, labels other than
-    0 and 1.  The labels are sampled before they meet the texts, so the side that is broadcast is
-    bounded by the sample and no text is shuffled.  A document with several labels counts once for each.
-    If a class is missing, every text gets the share of label 1 (one half without any label).
+    0 and 1.  Labels are sampled by id before they meet the texts, so the side that is broadcast is
+    bounded by the sample and no text is shuffled; where too few of them meet a text, more are drawn.  Of an id that
+    repeats, the text with the smallest hash is learned from, once for each class it is labelled with; of each class
+    the ``sample_per_class`` distinct texts with the smallest hashes are.  The sample does not depend on the order of
+    rows.  If a class is missing, every text gets the share of label 1 (one half without any label).
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(id_crc() % 5 != held_out_remainder).where("toxic in (0, 1)")
-    counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     width = 1 << params.bits
     if not n0 or not n1:
         share = np.clip((n1 + 0.5) / (n0 + n1 + 1.0), 1e-6, 1 - 1e-6)
         return ToxicityModel(params, np.zeros(width, dtype=np.float32), float(np.log(share / (1 - share))))
-    scale = 1 << 30
-    bar = F.when(F.col("toxic") == 1, F.lit(int(scale * min(1.0, params.sample_per_class / n1)))).otherwise(F.lit(int(scale * min(1.0, params.sample_per_class / n0))))
-    few = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < bar).limit(4 * params.sample_per_class)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(few), "doc_id").select("text", "toxic")
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [np.unique(gram_ids(fold_case(t), params.sizes, params.bits)).astype("<u4").tobytes() for t in text_bytes(batch.column(0))]
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["ids", "toxic"])
-
-        return step
-
-    got = sorted((r["toxic"], bytes(r["ids"])) for r in map_arrow(sample, make, "ids binary, toxic int").limit(4 * params.sample_per_class).collect())
+    got = sampled_texts(docs, marks, (n0, n1), params)
     y = np.array([t for t, _ in got], dtype=np.float64)
     ids = [np.frombuffer(b, dtype="<u4") for _, b in got]
     if not 0 < y.sum() < len(y):
@@ -103,6 +92,38 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out_remainder: int = 0
     return ToxicityModel(params, weights, float(intercept + prior))
 
 
+def sampled_texts(docs: DataFrame, marks: DataFrame, counts: tuple[int, int], params: ToxicityParams) -> list[tuple[int, bytes]]:
+    """Label and n-gram ids (little-endian unsigned 32-bit, ascending) of the texts to learn from, in order."""
+    scale, most = 1 << 30, params.sample_per_class
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    for widen in (2, 16, 128):
+        shares = [min(1.0, widen * most / n) for n in counts]
+        bar = F.when(F.col("toxic") == 1, F.lit(int(scale * shares[1]))).otherwise(F.lit(int(scale * shares[0])))
+        # about ``widen * most`` ids of each class, whatever the size of the table
+        drawn = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < bar).distinct()
+        met = texts.join(F.broadcast(drawn), "doc_id").groupBy("toxic", "doc_id").agg(F.min(F.xxhash64("text")).alias("h"))
+        rank = F.row_number().over(Window.partitionBy("toxic").orderBy("h"))
+        chosen = met.groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id")).withColumn("_rank", rank).where(F.col("_rank") <= most).select("toxic", "h", "doc_id").collect()
+        found = [sum(r["toxic"] == label for r in chosen) for label in (0, 1)]
+        if all(2 * n >= most or share == 1.0 for n, share in zip(found, shares, strict=True)):
+            break
+
+    def run(batches):
+        seen = set()  # rows that repeat are described once a task
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            fresh = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            if fresh:
+                part = batch.take(pa.array(fresh))
+                ids = [np.unique(char_gram_ids(fold_case(t), params.sizes, params.bits)).astype("<u4").tobytes() for t in text_bytes(part.column(2))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["toxic", "h", "ids"])
+
+    few = marks.sparkSession.createDataFrame([(r["doc_id"], r["h"], r["toxic"]) for r in chosen], "doc_id long, h long, toxic int")
+    rows = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(few), ["doc_id", "h"]).select("toxic", "h", "text")
+    once = rows.mapInArrow(run, "toxic int, h long, ids binary").groupBy("toxic", "h").agg(F.min("ids").alias("ids"))
+    return sorted((r["toxic"], bytes(r["ids"])) for r in once.collect())
+
+
 def _fit(ids: list[np.ndarray], y: np.ndarray, params: ToxicityParams) -> tuple[np.ndarray, float]:
     """Log-count ratios, then the regression; weights hold the ratios."""
     width = 1 << params.bits
