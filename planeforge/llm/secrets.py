@@ -1,11 +1,11 @@
 r"""Secret scans by assignment-aware lexing (operator 7).
 
-Two layers.  The base layer is three patterns (``assign``, ``access``, ``hex``).  The lexer reads the
-text as source or configuration: it takes name-literal pairs (``name = "literal"``, ``"name": value``,
-``name := value``, ``name => value``), keeps a table of constants, follows names that are given as
-values (``KEY = "..."`` then ``password = KEY``) to the literal, and scores each literal by the target
-name's words, by whether it looks random, and by length.  What it finds beyond the base spans is added:
-``named`` for a literal of a sensitive target and ``flow`` for one that reaches it through constants.
+Two layers.  The base layer is three patterns (``assign``, ``access``, ``hex``).  The lexer (``lexer.py``) reads the
+text as source or configuration and hands over name-value pairs; a value is made of literals, which are scored
+by the target name's words, by whether they look random, and by length, and of names, which are followed
+through the constants known by then, however many, to theirs.  What is found beyond the base spans is added:
+``named`` for a literal of a sensitive target (in its value or, if the value is a call, among the arguments) and
+``flow`` for one that reaches it through constants.  Code that is given as a value is never reported.
 """
 
 from __future__ import annotations
@@ -13,12 +13,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import lexer
 from .common import doc_text, map_arrow, replace_text
 
 #: The base patterns (fixed values).  A match of ``assign`` counts if its value has 6 characters.
@@ -36,11 +39,8 @@ SENSITIVE = {
     "signature": 0.4, "salt": 0.4, "session": 0.3, "cookie": 0.3, "dsn": 0.6,
 }
 
-_PAIR = re.compile(
-    r"""(?<![\w.-])(?P<name>[A-Za-z_][\w.-]*+)["']?[\x20\t]*+(?::=|=>|=(?!=)|:(?!:))[\x20\t]*+"""
-    r"""(?:"(?P<double>[^"\\\n]*+)"|'(?P<single>[^'\\\n]*+)'|(?P<bare>[A-Za-z0-9+/_.$={}-]++))""",
-    re.ASCII,
-)
+#: Without one of these a text has no sensitive target.
+_SENSITIVE_WORD = re.compile("|".join(sorted(SENSITIVE)) + "|api.?key", re.IGNORECASE | re.ASCII)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -48,8 +48,6 @@ _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 class SecretParams:
     least_score: float = 0.8
     least_length: int = 6
-    #: How many constants may stand between a literal and its target.
-    hops: int = 8
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -86,42 +84,92 @@ def literal_score(value: str) -> float:
     return min(1.0, bits / 4.0) * (1.0 if mixed else 0.5) * min(1.0, n / 12.0)
 
 
+def _sound(target: float, value: float, length: int, params: SecretParams) -> bool:
+    return length >= params.least_length and target + value >= 1.0 + params.least_score / 2
+
+
+class _Known:
+    """What a constant holds: its own literals with their score, and the constants it is made from."""
+
+    __slots__ = ("spans", "score", "length", "parts", "told")
+
+    def __init__(self, spans: list[tuple[int, int]], value: str, parts: list[_Known]):
+        self.spans, self.parts, self.told = spans, parts, False
+        self.score = max([literal_score(value), *(p.score for p in parts)])
+        self.length = max([len(value), *(p.length for p in parts)])
+
+    def untold(self) -> list[tuple[int, int]]:
+        """The literals in reach that were not handed out before."""
+        out, open_ = [], [self]
+        while open_:
+            at = open_.pop()
+            if not at.told:
+                at.told = True
+                out += at.spans
+                open_ += at.parts
+        return out
+
+
 def lexed_spans(text: str, params: SecretParams = SecretParams()) -> list[tuple[int, int, str]]:
-    """The literals of sensitive targets, direct (``named``) or through constants (``flow``)."""
-    if "=" not in text and ":" not in text:
+    """The literals of sensitive targets, direct (``named``) or through constants (``flow``).
+
+    A target's constants are those assigned before it; names without one by then take the last one assigned behind.
+    The parts of a value that is put together are scored together; constants of which a value is made, each by itself.
+    """
+    if not _SENSITIVE_WORD.search(text):
         return []
-    literals: dict[str, tuple[int, int, str]] = {}
-    names: dict[str, str] = {}
-    found = []
-    for m in _PAIR.finditer(text):
-        name, group = m["name"], m.lastgroup
-        value, start, end = m[group], m.start(group), m.end(group)
-        target = name_score(name)
-        if group == "bare":
-            source = value.strip("${}")
-            if source in literals or source in names:
-                names[name] = source
-                literals.pop(name, None)
-                if target:
-                    at, hops = source, 0
-                    while at in names and at not in literals and hops < params.hops:
-                        at, hops = names[at], hops + 1
-                    if at in literals:
-                        start, end, value = literals[at]
-                        if len(value) >= params.least_length and target + literal_score(value) >= 1.0 + params.least_score / 2:
-                            found.append((start, end, "flow"))
-                continue
-        names.pop(name, None)
-        literals[name] = (start, end, value)
-        if target and len(value) >= params.least_length and target + literal_score(value) >= 1.0 + params.least_score / 2:
-            found.append((start, end, "named"))
+    found: list[tuple[int, int, str]] = []
+    known: dict[str, list[_Known]] = {}  # by name, the innermost block's last
+    blocks: list[list[str]] = [[]]  # the names that each open block has given something
+    late: list[tuple[float, str]] = []
+
+    def look(name: str) -> _Known | None:
+        held = known.get(name)
+        return held[-1] if held else None
+
+    for event in lexer.events(text):
+        if event == "{":
+            blocks.append([])
+            continue
+        if event == "}":
+            if len(blocks) > 1:
+                for name in blocks.pop():
+                    known[name].pop()
+            continue
+        target = name_score(event.name)
+        value = "".join(text[a:b] for a, b in event.literals)
+        if target and event.literals and _sound(target, literal_score(value), len(value), params):
+            found += [(a, b, "named") for a, b in event.literals]
+        parts = []
+        for name in event.names:
+            held = look(name)
+            if held is not None:
+                parts.append(held)
+                if target and _sound(target, held.score, held.length, params):
+                    found += [(a, b, "flow") for a, b in held.untold()]
+            elif target:
+                late.append((target, name))
+        if event.constant:  # a name that is given to itself keeps what it holds
+            known.setdefault(event.name, []).append(_Known(event.literals, value, parts))
+            blocks[-1].append(event.name)
+        for a, b in event.arguments:
+            if _sound(target, literal_score(text[a:b]), b - a, params):
+                found.append((a, b, "named"))
+    for target, name in late:
+        held = look(name)
+        if held is not None and _sound(target, held.score, held.length, params):
+            found += [(a, b, "flow") for a, b in held.untold()]
     return found
 
 
 def secret_spans(text: str, params: SecretParams = SecretParams()) -> list[tuple[int, int, str]]:
     """Base spans, and of the lexer's those that lie in no base span."""
     base = base_spans(text)
-    more = [s for s in lexed_spans(text, params) if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)]
+    more = lexed_spans(text, params)
+    if base and more:
+        starts = [s[0] for s in base]
+        reach = list(accumulate((s[1] for s in base), max))
+        more = [s for s in more if not (k := bisect_right(starts, s[0])) or reach[k - 1] < s[1]]
     return in_order(base + more)
 
 
