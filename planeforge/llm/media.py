@@ -4,13 +4,19 @@ An Aho-Corasick automaton over all magic byte strings finds every place in a blo
 begin, in one pass.  A validator for each format then confirms the structure there (lengths, checksums,
 markers) and gives the medium's end.  What begins at offset 0 and fills the blob is the blob's true
 type, whatever was declared; valid media further in are carved out.
+
+No size is beyond a validator: what is compressed is inflated in constant memory.  Chains of parts are gone through
+once a blob, end marks are listed once, so hostile blobs full of magic bytes cost linear time; the exceptions are
+gzip members and RIFF forms begun over and over inside one another, each of which must be tried by itself.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -32,151 +38,238 @@ class Medium:
     mime: str
 
 
-def _png(blob: memoryview, at: int) -> int | None:
+class Blob:
+    """A blob with what its validators look up more than once, so that many magics cost no more than one.
+
+    ``ends`` keeps, for a format and a place in a chain of its parts, where the chain ends.
+    """
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+        self.ends: dict[tuple, int | None] = {}
+        self._marks: dict[bytes, list[int]] = {}
+        self._zips: dict[int, int] | None = None
+
+    def marks(self, mark: bytes) -> list[int]:
+        """All places of a mark, in order."""
+        if mark not in self._marks:
+            self._marks[mark] = [m.start() for m in re.finditer(re.escape(mark), self.raw)]
+        return self._marks[mark]
+
+    def next_mark(self, mark: bytes, at: int) -> int | None:
+        found = self.marks(mark)
+        k = bisect_left(found, at)
+        return found[k] if k < len(found) else None
+
+    def zips(self) -> dict[int, int]:
+        """Start and end of the archives that end records tell of (the first to name a start)."""
+        if self._zips is None:
+            self._zips = {}
+            for end in self.marks(b"PK\x05\x06"):
+                if end + 22 <= len(self.raw):
+                    size, offset, comment = struct.unpack_from("<IIH", self.raw, end + 12)
+                    start = end - size - offset
+                    sound = start >= 0 and (not size or self.raw[start + offset : start + offset + 4] == b"PK\x01\x02") and end + 22 + comment <= len(self.raw)
+                    if sound:
+                        self._zips.setdefault(start, end + 22 + comment)
+        return self._zips
+
+    def follow(self, kind: str, at: int, step: Callable[[int], tuple[int, bool] | None]) -> int | None:
+        """The end of a chain of parts: ``step`` gives the next place and whether it is the end, None at a fault.
+
+        A place is gone through once, however many chains lead to it.
+        """
+        path, end = [], None
+        while True:
+            if (kind, at) in self.ends:
+                end = self.ends[kind, at]
+                break
+            path.append((kind, at))
+            after = step(at)
+            if after is None:
+                break
+            at, last = after
+            if last:
+                end = at
+                break
+        self.ends.update(dict.fromkeys(path, end))
+        return end
+
+
+def _png(blob: Blob, at: int) -> int | None:
     """Chunks with right checksums from IHDR to IEND."""
-    pos, first = at + 8, True
-    while pos + 12 <= len(blob):
-        size = int.from_bytes(blob[pos : pos + 4], "big")
-        kind, end = bytes(blob[pos + 4 : pos + 8]), pos + 12 + size
-        if end > len(blob) or (first and kind != b"IHDR") or zlib.crc32(blob[pos + 4 : end - 4]) != int.from_bytes(blob[end - 4 : end], "big"):
+    raw = blob.raw
+
+    def chunk(pos: int) -> tuple[int, bool] | None:
+        if pos + 12 > len(raw):
+            return None
+        end = pos + 12 + int.from_bytes(raw[pos : pos + 4], "big")
+        if end > len(raw) or zlib.crc32(memoryview(raw)[pos + 4 : end - 4]) != int.from_bytes(raw[end - 4 : end], "big"):
             return None
-        pos, first = end, False
-        if kind == b"IEND":
-            return pos
-    return None
+        return end, raw[pos + 4 : pos + 8] == b"IEND"
 
+    return blob.follow("png", at + 8, chunk) if raw[at + 12 : at + 16] == b"IHDR" else None
 
-def _jpeg(blob: memoryview, at: int) -> int | None:
-    """Marker segments by their lengths, then scans up to EOI."""
-    pos, framed = at + 2, False
-    while pos + 4 <= len(blob):
-        if blob[pos] != 0xFF:
-            return None
-        marker = blob[pos + 1]
-        if marker == 0xFF:
+
+def _jpeg(blob: Blob, at: int) -> int | None:
+    """Marker segments by their lengths, a frame among them, then scans up to EOI."""
+    raw = blob.raw
+
+    def segment(pos: int) -> tuple[int, bool] | None:
+        while raw[pos : pos + 2] == b"\xff\xff":
             pos += 1
-            continue
+        if pos + 2 > len(raw) or raw[pos] != 0xFF:
+            return None
+        marker = raw[pos + 1]
         if marker == 0xD9:
-            return pos + 2 if framed else None
-        size = int.from_bytes(blob[pos + 2 : pos + 4], "big")
-        if marker < 0xC0 or size < 2 or pos + 2 + size > len(blob):
+            return pos + 2, True
+        size = int.from_bytes(raw[pos + 2 : pos + 4], "big")
+        if marker < 0xC0 or 0xD0 <= marker <= 0xD8 or size < 2 or pos + 2 + size > len(raw):
             return None
-        framed |= marker in (0xC0, 0xC1, 0xC2)
         pos += 2 + size
-        if marker == 0xDA:
-            raw = bytes(blob[pos:])
-            seek = 0
-            while (seek := raw.find(b"\xff", seek)) >= 0 and seek + 1 < len(raw) and (raw[seek + 1] == 0 or 0xD0 <= raw[seek + 1] <= 0xD7):
-                seek += 2
-            if seek < 0 or seek + 1 >= len(raw):
-                return None
-            pos += seek
-            if raw[seek + 1] == 0xD9:
-                return pos + 2 if framed else None
-    return None
-
-
-def _gif(blob: memoryview, at: int) -> int | None:
+        if marker != 0xDA:
+            return pos, False
+        behind = _SCAN_END.search(raw, pos)  # neither a stuffed byte nor a restart
+        return (behind.start(), False) if behind else None
+
+    def framed(pos: int) -> tuple[int, bool] | None:
+        while raw[pos : pos + 2] == b"\xff\xff":
+            pos += 1
+        if raw[pos + 1 : pos + 2] in (b"\xc0", b"\xc1", b"\xc2"):
+            return pos, True
+        after = segment(pos)
+        return None if after is None or after[1] else after
+
+    frame = blob.follow("jpeg before the frame", at + 2, framed)
+    return None if frame is None else blob.follow("jpeg", frame, segment)
+
+
+def _gif(blob: Blob, at: int) -> int | None:
     """Logical screen, colour tables, blocks with their sub-blocks, trailer."""
+    raw = blob.raw
 
-    def blocks(pos: int) -> int | None:
-        while pos < len(blob) and blob[pos]:
-            pos += blob[pos] + 1
-        return pos + 1 if pos < len(blob) else None
+    def colours(flags: int) -> int:
+        return 3 << ((flags & 7) + 1) if flags & 0x80 else 0
 
-    if at + 13 > len(blob):
-        return None
-    flags = blob[at + 10]
-    pos: int | None = at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
-    while pos is not None and pos < len(blob):
-        kind = blob[pos]
-        if kind == 0x3B:
-            return pos + 1
-        if kind == 0x21:
-            pos = blocks(pos + 2)
-        elif kind == 0x2C and pos + 10 < len(blob):
-            local = blob[pos + 9]
-            pos = blocks(pos + 11 + (3 << ((local & 7) + 1) if local & 0x80 else 0))
+    def sub_block(pos: int) -> tuple[int, bool] | None:
+        if pos >= len(raw):
+            return None
+        return pos + 1 + raw[pos], not raw[pos]
+
+    def block(pos: int) -> tuple[int, bool] | None:
+        kind = raw[pos : pos + 1]
+        if kind == b"\x3b":
+            return pos + 1, True
+        if kind == b"\x21":
+            pos += 2
+        elif kind == b"\x2c" and pos + 10 < len(raw):
+            pos += 11 + colours(raw[pos + 9])
         else:
             return None
-    return None
+        end = blob.follow("gif sub-blocks", pos, sub_block)
+        return None if end is None else (end, False)
+
+    return blob.follow("gif", at + 13 + colours(raw[at + 10]), block) if at + 13 <= len(raw) else None
 
 
-def _bmp(blob: memoryview, at: int) -> int | None:
-    if at + 30 > len(blob):
+def _bmp(blob: Blob, at: int) -> int | None:
+    raw = blob.raw
+    if at + 30 > len(raw):
         return None
-    size, _, data, header = struct.unpack_from("<IIII", blob, at + 2)
-    planes, bits = struct.unpack_from("<HH", blob, at + 26)
+    size, _, data, header = struct.unpack_from("<IIII", raw, at + 2)
+    planes, bits = struct.unpack_from("<HH", raw, at + 26)
     sound = header in (40, 52, 56, 108, 124) and planes == 1 and bits in (1, 4, 8, 16, 24, 32) and 14 + header <= data <= size
-    return at + size if sound and at + size <= len(blob) else None
+    return at + size if sound and at + size <= len(raw) else None
 
 
-def _riff(blob: memoryview, at: int) -> int | None:
+def _riff(blob: Blob, at: int) -> int | None:
     """RIFF chunks that fill the stated length exactly."""
-    if at + 12 > len(blob) or bytes(blob[at + 8 : at + 12]) not in (b"WAVE", b"WEBP", b"AVI "):
+    raw = blob.raw
+    if at + 12 > len(raw) or raw[at + 8 : at + 12] not in _RIFF_TYPES:
         return None
-    end = at + 8 + int.from_bytes(blob[at + 4 : at + 8], "little")
-    if end > len(blob):
+    end = at + 8 + int.from_bytes(raw[at + 4 : at + 8], "little")
+    if end > len(raw):
         return None
-    pos = at + 12
-    while pos + 8 <= end:
-        size = int.from_bytes(blob[pos + 4 : pos + 8], "little")
+
+    def chunk(pos: int) -> tuple[int, bool] | None:
+        if pos + 8 > end:
+            return None
+        size = int.from_bytes(raw[pos + 4 : pos + 8], "little")
         pos += 8 + size + (size & 1)
-    return end if pos in (end, end + 1) and pos > at + 12 else None
+        return pos, pos in (end, end + 1)
+
+    return end if blob.follow(f"riff up to {end}", at + 12, chunk) is not None else None
 
 
-def _gzip(blob: memoryview, at: int) -> int | None:
-    """A whole member: inflates, and its checksum and length agree."""
-    if at + 18 > len(blob) or blob[at + 3] & 0xE0:
+def _gzip(blob: Blob, at: int) -> int | None:
+    """A whole member of any size: inflates, in constant memory, and its checksum and length agree."""
+    raw = memoryview(blob.raw)
+    if at + 18 > len(raw) or raw[at + 3] & 0xE0:
         return None
-    inflate = zlib.decompressobj(31)
+    inflate, pos, rest = zlib.decompressobj(31), at, b""
     try:
-        pos, left = at, 1 << 28
-        while pos < len(blob) and not inflate.eof and left > 0:
-            left -= len(inflate.decompress(blob[pos : pos + 65536]))
-            pos += 65536
+        while not inflate.eof:
+            if not rest:
+                if pos >= len(raw):
+                    return None
+                rest = raw[pos : pos + 65536]
+                pos += len(rest)
+            inflate.decompress(rest, 1 << 20)
+            rest = inflate.unconsumed_tail
     except zlib.error:
         return None
-    return min(pos, len(blob)) - len(inflate.unused_data) if inflate.eof else None
+    return pos - len(inflate.unused_data)
 
 
-def _pdf(blob: memoryview, at: int) -> int | None:
-    """Up to the last end mark of the blob, if a cross-reference pointer stands between."""
-    raw = blob.obj
-    end = raw.rfind(b"%%EOF", at)
-    return end + 5 if end > at and raw.rfind(b"startxref", at, end) > at else None
+def _pdf(blob: Blob, at: int) -> int | None:
+    """Up to the first end mark with a cross-reference pointer before it."""
+    pointer = blob.next_mark(b"startxref", at)
+    end = None if pointer is None else blob.next_mark(b"%%EOF", pointer + 9)
+    return None if end is None else end + 5
 
 
-def _zip(blob: memoryview, at: int) -> int | None:
-    """Up to the first end record; its directory must lie right before it and start with its signature."""
-    raw = blob.obj
-    end = raw.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(raw):
-        return None
-    size, offset, comment = struct.unpack_from("<IIH", raw, end + 12)
-    sound = at + offset + size == end and (not size or raw[at + offset : at + offset + 4] == b"PK\x01\x02") and end + 22 + comment <= len(raw)
-    return end + 22 + comment if sound else None
+def _zip(blob: Blob, at: int) -> int | None:
+    """Up to the end record that names this place as its archive's start; archives may lie in archives."""
+    return blob.zips().get(at)
 
 
-def _pnm(blob: memoryview, at: int) -> int | None:
-    """Binary grey or RGB: width, height, maximum, then exactly that many samples."""
-    head = bytes(blob[at + 2 : at + 80]).split(None, 3)
-    if len(head) < 3 or not all(x.isdigit() for x in head[:3]):
-        return None
-    width, height, most = map(int, head[:3])
-    if not 0 < most < 65536 or not width or not height:
+def _pnm(blob: Blob, at: int) -> int | None:
+    """Binary grey or RGB: width, height, maximum with blanks and comments between, then exactly that many samples."""
+    raw = blob.raw
+
+    def blank(pos: int) -> tuple[int, bool] | None:
+        """Over blanks or one comment; the end is where something else starts."""
+        kind = raw[pos : pos + 1]
+        if kind == b"#":
+            ends = [e for e in (blob.next_mark(b"\n", pos), blob.next_mark(b"\r", pos)) if e is not None]
+            return (min(ends) + 1, False) if ends else None
+        if kind.isspace():
+            return _NOT_BLANK.match(raw, pos).end(), False
+        return pos, True
+
+    pos, values = at + 2, []
+    for _ in range(3):
+        before, pos = pos, blob.follow("pnm", pos, blank)
+        digits = _DIGITS.match(raw, pos) if pos is not None and pos > before else None
+        if digits is None:
+            return None
+        number = digits[0].lstrip(b"0") or b"0"
+        if len(number) > 18:
+            return None
+        values.append(int(number))
+        pos = digits.end()
+    width, height, most = values
+    if not 0 < most < 65536 or not width or not height or not raw[pos : pos + 1].isspace():
         return None
-    pos = at + 2
-    for value in head[:3]:
-        while blob[pos : pos + 1].tobytes().isspace():
-            pos += 1
-        pos += len(value)
-    end = pos + 1 + width * height * (3 if blob[at + 1] == 0x36 else 1) * (2 if most > 255 else 1)
-    return end if end <= len(blob) and blob[pos : pos + 1].tobytes().isspace() else None
+    end = pos + 1 + width * height * (3 if raw[at + 1] == 0x36 else 1) * (2 if most > 255 else 1)
+    return end if end <= len(raw) else None
 
 
+_SCAN_END = re.compile(rb"\xff(?![\x00\xd0-\xd7])(?=[\x00-\xff])", re.DOTALL)
+_NOT_BLANK = re.compile(rb"[ \t-\r]*+")
+_DIGITS = re.compile(rb"[0-9]++")
 #: Magic bytes, type and validator (fixed values).
-SIGNATURES: tuple[tuple[bytes, str, Callable[[memoryview, int], int | None]], ...] = (
+SIGNATURES: tuple[tuple[bytes, str, Callable[[Blob, int], int | None]], ...] = (
     (PNG_MAGIC, "image/png", _png),
     (b"\xff\xd8\xff", "image/jpeg", _jpeg),
     (b"GIF87a", "image/gif", _gif),
@@ -186,8 +279,8 @@ SIGNATURES: tuple[tuple[bytes, str, Callable[[memoryview, int], int | None]], ..
     (b"\x1f\x8b\x08", "application/gzip", _gzip),
     (b"%PDF-", "application/pdf", _pdf),
     (b"PK\x03\x04", "application/zip", _zip),
-    (b"P5\n", "image/x-portable-graymap", _pnm),
-    (b"P6\n", "image/x-portable-pixmap", _pnm),
+    (b"P5", "image/x-portable-graymap", _pnm),
+    (b"P6", "image/x-portable-pixmap", _pnm),
 )
 #: Marks without which a type cannot end (fixed values); looked up once a blob.
 END_MARKS = ((b"%%EOF", "application/pdf"), (b"PK\x05\x06", "application/zip"))
@@ -205,12 +298,12 @@ class Sniffer:
 
     def media(self, blob: bytes) -> list[Medium]:
         """All valid media that lie in no other one, in order."""
-        view, out, covered = memoryview(blob), [], 0
+        whole, out, covered = Blob(blob), [], 0
         hopeless = {mime for mark, mime in END_MARKS if mark not in blob}
         for last, k in self._automaton.iter(blob.decode("latin-1")):
             magic, mime, valid = SIGNATURES[k]
             at = last - len(magic) + 1
-            if at >= covered and mime not in hopeless and (end := valid(view, at)) is not None:
+            if at >= covered and mime not in hopeless and (end := valid(whole, at)) is not None:
                 out.append(Medium(at, end, mime or _RIFF_TYPES[blob[at + 8 : at + 12]]))
                 covered = end
         return out
