@@ -1,11 +1,14 @@
 """Vector bin packing of token sequences (operator 1).
 
-A sequence is a bin with three capacities: tokens, segments, and tokens that bear loss.  A document
-is cut into chunks that fill a bin, and a rest.  Rests wait in a pool of bounded size.  A bin is
-filled by the dot-product heuristic: of the rests that fit, it takes the one with the largest dot
-product of its vector and the bin's remaining capacities, both in units of the capacities.  When none
-fits and room is left, one rest is cut to fill it.  A bin that cannot be filled is cut to a power of
-two, and what is cut off goes back to the pool; so no sequence needs padding.
+A sequence is a bin with three capacities: tokens, segments, and tokens that bear loss.  An example
+is cut into parts of at most half a bin, which wait in a pool of bounded size.  A bin is
+filled by the dot-product heuristic: of the parts that fit, it takes the one with the largest dot
+product of its vector (tokens, one segment, loss) and the bin's remaining capacities, all in units of the
+capacities.  When none fits and room is left, the part of which most fits is cut to fill it.  A bin that
+cannot be filled is cut to a power of two, and what is cut off goes back to the pool; so no sequence needs padding.
+
+A plain document is taken as an instruction example: the first half of its ids (rounded up) is the prompt,
+which bears no loss, the rest is the answer, which does.
 
 Each task packs the documents it reads.  There is no shuffle, a task holds ``pool`` rests at most,
 and a task that is run again gives the same sequences.
@@ -32,8 +35,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 1024
-    segments: int = 64
-    loss: int = 1024
+    segments: int = 32
+    loss: int = 640
 
 
 @dataclass
@@ -48,7 +51,15 @@ class Rest:
 
     @property
     def loss(self) -> int:
-        return len(self.ids) if self.bears is None else int(self.bears.sum())
+        return len(self.ids) if self.bears is None else int(np.count_nonzero(self.bears))
+
+    @property
+    def lead(self) -> int:
+        """How many ids from the start on bear no loss."""
+        if self.bears is None:
+            return 0
+        first = int(self.bears.argmax())
+        return first if self.bears[first] else len(self.ids)
 
     def fitting(self, tokens: int, loss: int) -> int:
         """The longest prefix within both limits."""
@@ -75,23 +86,19 @@ class VectorPacker:
     def __post_init__(self) -> None:
         self._items: list[Rest | None] = []
         self._size = np.zeros((0, 2))
+        self._lead = np.zeros(0)
         self._free: list[int] = []
         self._n = 0
         self._next = self.first_id
 
     def add(self, rest: Rest) -> None:
-        """Cut off what fills a bin by itself; keep the rest."""
+        """Cut into parts of half a bin at most; bins are filled while the pool holds too many."""
         limits = self.limits
+        half = max(1, limits.tokens // 2), max(1, limits.loss // 2)
         while len(rest.ids):
-            at = rest.fitting(limits.tokens, limits.loss)
-            if at == len(rest.ids) and at < limits.tokens:
-                break
-            if at < limits.tokens:  # stopped by loss: a power of two needs no padding
-                at = _power(at)
-            whole, rest = rest.cut(at)
-            self._emit([whole])
-        if len(rest.ids):
-            self._keep(rest)
+            at = rest.fitting(*half)
+            part, rest = rest.cut(at) if at < len(rest.ids) else (rest, rest.cut(at)[1])
+            self._keep(part)
             while self._n > self.pool:
                 self._fill()
 
@@ -108,10 +115,12 @@ class VectorPacker:
             at = len(self._items)
             self._items += [None] * 256
             self._size = np.vstack([self._size, np.full((256, 2), np.inf)])
+            self._lead = np.r_[self._lead, np.zeros(256)]
             self._free = list(range(at + 255, at - 1, -1))
         at = self._free.pop()
         self._items[at] = rest
         self._size[at] = len(rest.ids), rest.loss
+        self._lead[at] = rest.lead
         self._n += 1
 
     def _drop(self, at: int) -> Rest:
@@ -140,7 +149,9 @@ class VectorPacker:
             if at is not None:
                 rest = self._drop(at)
             else:
-                at = int(np.where(np.isfinite(self._size[:, 0]), self._size[:, 0], -1).argmax())
+                # at least so many ids of each part fit
+                sure = np.minimum(np.minimum(self._size[:, 0], left[0]), self._lead + left[1])
+                at = int(np.where(np.isfinite(self._size[:, 0]), sure, -1).argmax())
                 fitting = self._items[at].fitting(int(left[0]), int(left[1]))
                 if not fitting:
                     break
@@ -177,10 +188,10 @@ def _power(n: int) -> int:
 
 
 class VocabularyEncoder:
-    """Ids of a tokenizer file (a byte-level BPE), its special tokens' strings being ordinary text.
+    """Ids of a tokenizer file (a byte-level BPE), as the tokenizers library gives them by default.
 
-    The ids are those of the tokenizers library (a test compares them); the merges of the same file
-    run in tiktoken, which is several times faster on whole texts.
+    Strings of the file's added tokens become these tokens' ids.  A test compares with the library; the merges of
+    the same file run in tiktoken, which is several times faster on whole texts.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -188,14 +199,20 @@ class VocabularyEncoder:
 
         with open(path, encoding="utf-8") as file:
             found = json.load(file)
-        special = {x["content"] for x in found.get("added_tokens", [])}
+        added = found.get("added_tokens", [])
+        if any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that depend on what is around them are not known here")
+        special = {x["content"]: x["id"] for x in added}
         plain = [b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)]
         others = (b for b in range(256) if b not in plain)
         letters = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
         ranks = {bytes(map(letters.__getitem__, token)): rank for token, rank in found["model"]["vocab"].items() if token not in special}
-        self._encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self._special = tuple(special)
+        self._encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(self, text: str) -> np.ndarray:
+        if any(x in text for x in self._special):
+            return np.array(self._encoding.encode(text, allowed_special="all"), dtype=np.uint32)
         return np.array(self._encoding.encode_ordinary(text), dtype=np.uint32)
 
 
@@ -224,8 +241,8 @@ def pack_documents(
 ) -> DataFrame:
     """Pack whole texts; returns the pieces (``PIECES``), every id in exactly one of them.
 
-    A document is its ids and ``end_id``, so null and empty texts are one id long.  All tokens of a
-    text bear loss.  Repeated rows are packed as often as they occur.  No rows: no pieces.
+    A document is its ids and ``end_id``, so null and empty texts are one id long, which bears no loss.  Of ``n`` ids
+    the first ``n - n // 2`` bear no loss.  Repeated rows are packed as often as they occur.  No rows: no pieces.
     """
     import public_tokenizers
 
@@ -238,7 +255,7 @@ def pack_documents(
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.concatenate([encoder.ids(text), end]) if text else end
-                packer.add(Rest(doc, 0, ids, len(ids)))
+                packer.add(Rest(doc, 0, ids, len(ids), np.arange(len(ids)) >= len(ids) - len(ids) // 2))
             if len(packer.rows) > 20_000:
                 yield _output(packer.take_rows())
         packer.finish()
