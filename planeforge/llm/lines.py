@@ -2,19 +2,16 @@ r"""Line dedup by a log-template tree (operator 6), DataFrame functions only.
 
 A line's fields are its space-separated words; a word with a digit is a variable field and becomes
 ``<*>``.  The tree has a fixed depth: the first level is the count of words, the next levels are the
-leading words, and a leaf holds the lines that agree in these.  In a leaf that enough documents use, the
-line that sorts first is the first template; lines that agree with it in at least ``similarity`` of
-their places fall under it, its differing places being variable too.  Other lines are templates of
-their own.
-
-With ``all_leads`` a leaf has as many leads as its lines need: each line falls under a lead that it agrees with, and no
-two leads agree.
+leading words, and a leaf holds the lines that agree in these.  A leaf has as many templates as its lines need.
+Its lines are taken in the order of their MD5 digests: a line that agrees in at least ``similarity`` of its places with
+a line that leads a template falls under the first such template, its differing places being variable too; any other
+line leads a template of its own.  Lines of fewer than ``least_words`` words are templates of their own.
 
 A template that occurs in ``least_docs`` or more documents recurs.  Its lines are dropped from every
 document but the first (smallest id) in which it occurs.
 
-Only 128-bit hashes of lines are shuffled; words travel only for lines in leaves with more than one
-template.  Texts are moved once, to meet what is dropped from them.
+Only hashes and places of lines are shuffled; words travel only for lines in leaves with more than one
+line.  Texts are moved once, to meet the places of what is dropped from them.
 """
 
 from __future__ import annotations
@@ -29,10 +26,12 @@ from .common import tasks_for, written
 FIELD = "<*>"
 #: A whole word with a digit; possessive, so that long words cost linear time.
 _VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
-#: Crowded leaves are broadcast up to this many (16 bytes each), and joined by shuffle beyond.
+#: Tables are broadcast up to this many rows (40 bytes each at most), and joined by shuffle beyond.
 MOST_BROADCAST = 500_000
 #: Parts into which the rows of one line or template are dealt.
 SALTS = 16
+#: Parts into which rows with the same id and text are dealt.
+ROW_SALTS = 4
 
 
 def _hashes(masked: Column) -> list[Column]:
@@ -52,21 +51,22 @@ def _key(df: DataFrame, id_col: str, text_col: str) -> Column:
     return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
 
 
-def _lines(df: DataFrame, depth: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc, masked, width, leaf`` for each line that is not blank."""
+def _lines(df: DataFrame, depth: int, least_words: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc, body, pos, masked, leaf`` for each line that is not blank; lines too short for a leaf have a null one."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = df.select(_key(df, id_col, text_col).alias("doc"), F.explode(F.split(text, "\n")).alias("line")).select("doc", _masked(F.col("line")).alias("masked")).where("masked <> ''")
+    rows = df.select(_key(df, id_col, text_col).alias("doc"), F.xxhash64(text).alias("body"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    rows = rows.select("doc", "body", "pos", _masked(F.col("line")).alias("masked")).where("masked <> ''")
     width = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    return rows.withColumn("width", width).withColumn("leaf", F.xxhash64("width", F.substring_index("masked", " ", depth)))
-
+    return rows.withColumn("leaf", F.when(width >= least_words, F.xxhash64(width, F.substring_index("masked", " ", depth))))
 
-def _with_some(rows: DataFrame, few: DataFrame, count: int, on: str) -> DataFrame:
-    """Inner join with a table of known size."""
-    return rows.join(F.broadcast(few) if count <= MOST_BROADCAST else few, on)
 
+def _met_by(many: DataFrame, few: DataFrame, count: int, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with a table of known size, on hashes of which a few may hold a large share of ``many``.
 
-def _salted(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join on hashes of which a few may hold a large share of ``many``: these are spread by document."""
+    Small tables are broadcast; for larger ones the rows of ``many`` are spread by document.
+    """
+    if count <= MOST_BROADCAST:
+        return many.join(F.broadcast(few), on, how)
     left = many.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
     right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
@@ -91,10 +91,15 @@ def _met(worded: DataFrame, depth: int, similarity: float) -> DataFrame:
     return cut.select(F.explode(F.when(F.col("runs") > F.col("rest"), whole).otherwise(keys)).alias("key"), "a")
 
 
+def _digest(masked: Column) -> Column:
+    """The first 64 bits of the MD5 digest as a long; the order of longs is that of the digests."""
+    return (F.conv(F.substring(F.md5(masked), 1, 16), 16, 10).cast("decimal(20,0)") - F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long")
+
+
 def _all_merged(worded: DataFrame, depth: int, similarity: float, most_pairs: int, parts: int) -> DataFrame:
-    """``a, lead``: every line of a leaf that falls under another.
+    """``a, lead``: every line of a leaf that falls under another; ``worded``: ``leaf, a, masked``, ``a`` being the digest.
 
-    By their hashes in rising order, a line is a lead if it agrees with no lead before it, and falls under the
+    By their digests in rising order, a line is a lead if it agrees with no lead before it, and falls under the
     first lead that it agrees with otherwise.  A line that is first at all of its keys is a lead; what agrees with it
     meets it there.  When the pairs that meet are few enough, they are made, and leads are told by the pairs that agree.
     """
@@ -130,7 +135,7 @@ def _all_merged(worded: DataFrame, depth: int, similarity: float, most_pairs: in
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "a long, lead long")
 
 
-def line_templates(
+def recurring_lines(
     df: DataFrame,
     least_docs: int = 5,
     depth: int = 3,
@@ -138,19 +143,19 @@ def line_templates(
     least_words: int = 5,
     id_col: str = "doc_id",
     text_col: str = "text",
-    all_leads: bool = False,
     most_pairs: int = 5_000_000,
 ) -> DataFrame:
-    """``doc, a, b, first_doc, docs``: the lines (by their hashes) of recurring templates.
+    """``doc, body, pos, docs, first_doc``: the lines of recurring templates, a row for each place of one.
 
-    One row for each document and distinct masked line in it.
+    ``doc`` is the id (for a null one a hash of the text), ``body`` a hash of the text that has the line, ``pos`` the
+    line's number from 0; ``docs`` and ``first_doc`` are those of the template.
     """
-    lines = _lines(df, depth, id_col, text_col)
-    events = written(lines.select("doc", *_hashes(F.col("masked")), "leaf", "width").distinct(), "line-events")
+    lines = _lines(df, depth, least_words, id_col, text_col)
+    events = written(lines.select("doc", "body", "pos", *_hashes(F.col("masked")), "leaf"), "line-events")
     parts = tasks_for(events.count())
-    # Leaves with several templates, and documents enough for one that recurs.
+    # Leaves with several lines, and lines enough for a template that recurs.
     crowded = written(
-        events.where(F.col("width") >= least_words)
+        events.where("leaf is not null")
         .groupBy("leaf")
         .agg(F.min("a").alias("some"), F.max("a").alias("other"), F.count("*").alias("n"))
         .where((F.col("some") < F.col("other")) & (F.col("n") >= least_docs))
@@ -158,26 +163,21 @@ def line_templates(
         .coalesce(parts),
         "line-leaves",
     )
-    inside = _with_some(lines.where(F.col("width") >= least_words).select("leaf", "masked"), crowded, crowded.count(), "leaf")
-    worded = written(inside.distinct().coalesce(parts), "line-words")
-    if all_leads:
-        worded = written(worded.select("leaf", "masked", *_hashes(F.col("masked"))), "line-words")
-        names = worded.select("a", "b")
-        under = _all_merged(worded, depth, similarity, most_pairs, parts).join(names, "a")
-        merged = under.join(names.select(F.col("a").alias("lead"), F.col("b").alias("lead_b")), "lead").select("a", "b", F.col("lead").alias("lead_a"), "lead_b")
-    else:
-        leads = worded.groupBy("leaf").agg(F.min("masked").alias("lead"))
-        words, lead_words = F.split("masked", " "), F.split("lead", " ")
-        same = F.size(F.filter(F.zip_with(words, lead_words, lambda x, y: x == y), lambda x: x))
-        merged = (
-            worded.join(leads, "leaf")
-            .where((F.col("masked") != F.col("lead")) & (F.size(words) == F.size(lead_words)) & (same >= F.ceil(F.size(words) * F.lit(similarity))))
-            .select(*_hashes(F.col("masked")), *[h.alias(n) for h, n in zip(_hashes(F.col("lead")), ("lead_a", "lead_b"), strict=True)])
-        )
-    tagged = _salted(events.select("doc", "a", "b"), merged, ["a", "b"], "left").select("doc", "a", "b", F.coalesce("lead_a", "a").alias("ta"), F.coalesce("lead_b", "b").alias("tb"))
-    per_doc = tagged.select("ta", "tb", "doc").distinct()
+    count = crowded.count()
+    inside = lines.where("leaf is not null").select("leaf", "masked")
+    inside = inside.join(F.broadcast(crowded) if count <= MOST_BROADCAST else crowded, "leaf")
+    worded = written(inside.distinct().select("leaf", "masked", _digest(F.col("masked")).alias("a"), F.struct(*_hashes(F.col("masked"))).alias("line")).coalesce(parts), "line-words")
+    names = worded.select("a", "line")
+    under = _all_merged(worded, depth, similarity, most_pairs, parts).join(names, "a").select("lead", "line")
+    merged = under.join(names.select(F.col("a").alias("lead"), F.col("line").alias("top")), "lead")
+    merged = written(merged.select("line.a", "line.b", F.col("top.a").alias("ta"), F.col("top.b").alias("tb")).coalesce(parts), "line-templates")
+    tagged = _met_by(events.select("doc", "body", "pos", "a", "b"), merged, merged.count(), ["a", "b"], "left")
+    tagged = tagged.select("doc", "body", "pos", F.coalesce("ta", "a").alias("ta"), F.coalesce("tb", "b").alias("tb"))
+    # the first count spreads a template's rows by document
+    per_doc = tagged.groupBy("ta", "tb", "doc").agg(F.lit(1).alias("one"))
     recurring = per_doc.groupBy("ta", "tb").agg(F.count("*").alias("docs"), F.min("doc").alias("first_doc")).where(F.col("docs") >= least_docs)
-    return _salted(tagged, recurring, ["ta", "tb"]).select("doc", "a", "b", "first_doc", "docs")
+    recurring = written(recurring.coalesce(parts), "line-recurring")
+    return _met_by(tagged, recurring, recurring.count(), ["ta", "tb"]).select("doc", "body", "pos", "docs", "first_doc")
 
 
 def drop_recurring_lines(
@@ -188,7 +188,6 @@ def drop_recurring_lines(
     least_words: int = 5,
     id_col: str = "doc_id",
     text_col: str = "text",
-    all_leads: bool = False,
     most_pairs: int = 5_000_000,
 ) -> DataFrame:
     """All columns, the text without dropped lines, and ``lines_dropped, lines_kept`` (int).
@@ -197,14 +196,21 @@ def drop_recurring_lines(
     id are one document; rows with a null id are told apart by their text.  Columns of the table that
     are named like the two added ones give way to them.
     """
-    found = line_templates(df, least_docs, depth, similarity, least_words, id_col, text_col, all_leads, most_pairs)
-    gone = found.where("doc <> first_doc").groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
-    # the row travels as one struct, so that its columns cannot clash with these
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _key(df, id_col, text_col).alias("doc")).join(gone, "doc", "left")
-    text = F.col("row").getField(text_col).cast("string")
-    lines = F.split(text, "\n")
-    kept = F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("gone", F.struct(*_hashes(_masked(x))))))
-    out = rows.select("row", lines.alias("lines"), kept.alias("kept"))
-    added = {"lines_dropped": F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)), "lines_kept": F.when(F.col("lines").isNull(), 0).otherwise(F.size("kept"))}
+    found = recurring_lines(df, least_docs, depth, similarity, least_words, id_col, text_col, most_pairs)
+    # a place is a row's once, however many rows have the same id and text
+    gone = found.where("doc <> first_doc").groupBy("doc", "body").agg(F.collect_set("pos").alias("gone"))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(ROW_SALTS - 1).cast("bigint"))
+    gone = gone.select("doc", "body", "gone", F.explode(salts).alias("salt"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    # the row travels as one struct, so that its columns cannot clash with these; rows alike are dealt out by their place
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _key(df, id_col, text_col).alias("doc"), F.xxhash64(text).alias("body"), F.pmod(F.monotonically_increasing_id(), F.lit(ROW_SALTS)).alias("salt"))
+    rows = rows.join(gone, ["doc", "body", "salt"], "left")
+    lines = F.split(F.col("row").getField(text_col).cast("string"), "\n")
+    out = rows.select("row", "gone", lines.alias("lines"))
+    # arrays are told apart by hashing, so this is linear in the lines
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(places, lambda k: F.get("lines", k)))
+    out = out.select("row", F.size("lines").alias("n"), kept.alias("kept"))
+    added = {"lines_dropped": F.when(F.col("kept").isNull(), 0).otherwise(F.col("n") - F.size("kept")), "lines_kept": F.when(F.col("kept").isNull(), 0).otherwise(F.size("kept"))}
     plain = [F.array_join("kept", "\n").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in added]
     return out.select(*plain, *[c.cast("int").alias(n) for n, c in added.items()])

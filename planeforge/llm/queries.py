@@ -81,11 +81,14 @@ _OP6 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, 1 + len(string_split(t, chr(10))))) AS pos FROM d),
 w AS (SELECT doc_id, pos, line, list_transform(string_split(trim(translate(line, chr(9) || chr(13), '  ')), ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS ws FROM l),
-m AS (SELECT doc_id, pos, line, ws, array_to_string(ws, ' ') AS masked, len(ws) AS width, ws[1:3] AS lead3 FROM w),
-e AS (SELECT DISTINCT doc_id, masked, ws, width, lead3 FROM m WHERE masked <> ''),
-leaf AS (SELECT width, lead3, min(masked) AS lead FROM e WHERE width >= 5 GROUP BY width, lead3 HAVING count(DISTINCT masked) > 1 AND count(*) >= 5),
-t AS (SELECT e.doc_id, e.masked, CASE WHEN leaf.lead IS NOT NULL AND list_sum(list_transform(range(1, 1 + e.width), lambda i: CASE WHEN e.ws[i] = string_split(leaf.lead, ' ')[i] THEN 1 ELSE 0 END)) >= ceil(e.width * 0.8) THEN leaf.lead ELSE e.masked END AS template
-      FROM e LEFT JOIN leaf ON e.width = leaf.width AND e.lead3 = leaf.lead3),
+m AS MATERIALIZED (SELECT doc_id, pos, line, array_to_string(ws, ' ') AS masked, len(ws) AS width, ws[1:3] AS lead3 FROM w),
+e AS MATERIALIZED (SELECT DISTINCT doc_id, masked, width, lead3 FROM m WHERE masked <> ''),
+leaf AS MATERIALIZED (SELECT width, lead3, list(DISTINCT masked) AS members FROM e WHERE width >= 5 GROUP BY width, lead3 HAVING count(DISTINCT masked) > 1),
+sorted AS (SELECT width, list_transform(list_sort(list_transform(members, lambda x: md5(x) || x)), lambda x: [string_split(x[33:], ' ')]) AS rows FROM leaf),
+leads AS MATERIALIZED (SELECT rows, list_reduce(rows, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: list_sum(list_transform(list_zip(y, x[1]), lambda p: CASE WHEN p[1] = p[2] THEN 1 ELSE 0 END)) >= ceil(width * 0.8))) > 0 THEN acc ELSE list_concat(acc, x) END) AS leads, width FROM sorted),
+under AS MATERIALIZED (SELECT array_to_string(r[1], ' ') AS masked, array_to_string(list_filter(leads, lambda y: list_sum(list_transform(list_zip(y, r[1]), lambda p: CASE WHEN p[1] = p[2] THEN 1 ELSE 0 END)) >= ceil(width * 0.8))[1], ' ') AS template
+      FROM (SELECT unnest(rows) AS r, leads, width FROM leads)),
+t AS MATERIALIZED (SELECT e.doc_id, e.masked, coalesce(under.template, e.masked) AS template FROM e LEFT JOIN under USING (masked)),
 r AS (SELECT template, min(doc_id) AS first_doc FROM t GROUP BY template HAVING count(DISTINCT doc_id) >= 5),
 gone AS (SELECT DISTINCT t.doc_id, t.masked FROM t JOIN r USING (template) WHERE t.doc_id <> r.first_doc)
 SELECT m.doc_id, coalesce(string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (WHERE g.masked IS NULL), '') AS text,

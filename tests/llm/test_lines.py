@@ -1,11 +1,12 @@
 """Line dedup as the pipeline runs it."""
 
+import hashlib
 import random
+import time
 from collections import defaultdict
 
 import brute
 import pytest
-import xxhash
 
 from planeforge.llm import lines
 
@@ -26,7 +27,7 @@ def test_leaf_holds_all_its_templates(spark, most_pairs):
         texts += [f"the guest called {n} {rng.choice(names)} {tail}" for n in names for _ in range(2)]
     texts += [f"the guest called {' '.join(rng.choice(names) for _ in range(8))}" for _ in range(30)] + ["the guest called aa aa aa aa aa aa aa aa"]
     rows = [(k, t, "en", "a", 1) for k, t in enumerate(texts)]
-    code = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), 42))
+    code = lambda t: hashlib.md5(t.encode()).digest()
     under, leads = {}, []
     for line in sorted(set(texts), key=code):
         words = line.split(" ")
@@ -37,7 +38,7 @@ def test_leaf_holds_all_its_templates(spark, most_pairs):
     for k, t in enumerate(texts):
         docs[under[t]].add(k)
     want = {k: t if len(docs[under[t]]) < 5 or min(docs[under[t]]) == k else "" for k, t in enumerate(texts)}
-    found = lines.drop_recurring_lines(brute.frame(spark, rows), all_leads=True, most_pairs=most_pairs)
+    found = lines.drop_recurring_lines(brute.frame(spark, rows), most_pairs=most_pairs)
     assert {r["doc_id"]: r["text"] for r in found.collect()} == want
     assert not any(word in found._jdf.queryExecution().toString() for word in ("Python", "Arrow", "Pandas"))
 
@@ -49,3 +50,42 @@ def test_pipeline_finds_every_template_of_a_leaf(spark, tables):
     rows += [(20, "fixed words stand aa aa aa aa", "en", "a", 1)]
     left = stage(spark, rows, tables)
     assert sum("fixed words" in t for t in left.values()) == 3
+
+
+def test_a_line_that_sorts_first_does_not_switch_generalising_off(spark):
+    names = ["red", "blue", "green", "white", "black", "grey", "teal"]
+    rows = [(k, f"fixed words stand here except {n} one", "en", "a", 1) for k, n in enumerate(names)]
+    for other in ([], ["fixed words stand aa aa aa aa"], [f"fixed words stand {x} {x} {x} {x}" for x in ("aa", "bb", "cc", "zz")]):
+        table = rows + [(100 + k, x, "en", "a", 1) for k, x in enumerate(other)]
+        out = {r["doc_id"]: r["lines_dropped"] for r in lines.drop_recurring_lines(brute.frame(spark, table)).collect()}
+        assert [out[k] for k in range(7)] == [0] + [1] * 6 and not any(out[100 + k] for k in range(len(other)))
+
+
+def test_many_recurring_lines_cost_linear_time(spark):
+    """Documents of many lines that all recur."""
+    times = []
+    for n in (4_000, 32_000):
+        text = "\n".join(f"line of many words {chr(97 + k % 26)}{'xyz'[k % 3]}q{'abcdefgh'[k // 78 % 8]} {hashlib.md5(str(k).encode()).hexdigest().translate(str.maketrans('0123456789', 'ghijklmnop'))}" for k in range(n))
+        began = time.time()
+        out = lines.drop_recurring_lines(brute.frame(spark, [(k, text, "en", "a", 1) for k in range(6)])).collect()
+        times.append(time.time() - began)
+        assert sorted(r["lines_dropped"] for r in out) == [0] + [n] * 5
+    assert times[1] < 4 * times[0] + 5
+
+
+def test_rows_alike_and_hot_ids(spark):
+    """Null rows alike, one id with many texts, and places that differ between the texts of an id."""
+    rows = [(None, "same here\nbelow it", "en", "a", 1)] * 40 + [(7, f"own {'abcdefghij'[k]}\n" * (k % 3) + "a line that recurs everywhere now", "en", "a", 1) for k in range(10)]
+    rows += [(k, "a line that recurs everywhere now", "en", "a", 1) for k in range(20, 26)]
+    out = lines.drop_recurring_lines(brute.frame(spark, rows)).collect()
+    assert len(out) == len(rows)
+    assert all(r["text"] == "same here\nbelow it" for r in out if r["doc_id"] is None)
+    assert all("recurs" in r["text"] for r in out if r["doc_id"] == 7)
+    assert all(r["text"] == "" for r in out if (r["doc_id"] or 0) >= 20)
+
+
+def test_large_tables_are_joined_by_shuffle_alike(spark, monkeypatch):
+    rows = brute.docs()
+    want = sorted(map(str, lines.drop_recurring_lines(brute.frame(spark, rows)).collect()))
+    monkeypatch.setattr(lines, "MOST_BROADCAST", -1)
+    assert sorted(map(str, lines.drop_recurring_lines(brute.frame(spark, rows)).collect())) == want
