@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import tasks_for, written
@@ -30,6 +30,8 @@ _VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 MOST_BROADCAST = 500_000
 #: Parts into which the rows of one line or template are dealt.
 SALTS = 16
+#: So many open lines of a key are compared with each other in a round.
+FIRSTS = 32
 #: Parts into which rows with the same id and text are dealt.
 ROW_SALTS = 4
 
@@ -100,39 +102,48 @@ def _all_merged(worded: DataFrame, depth: int, similarity: float, most_pairs: in
     """``a, lead``: every line of a leaf that falls under another; ``worded``: ``leaf, a, masked``, ``a`` being the digest.
 
     By their digests in rising order, a line is a lead if it agrees with no lead before it, and falls under the
-    first lead that it agrees with otherwise.  A line that is first at all of its keys is a lead; what agrees with it
-    meets it there.  When the pairs that meet are few enough, they are made, and leads are told by the pairs that agree.
+    first lead that it agrees with otherwise.  What agrees has a key in common.  A line is open until it is known to be
+    a lead or to fall under one.  In a round, the first ``FIRSTS`` open lines of each key are compared: a line that is
+    among them at all of its keys and agrees with none before it is a lead, and all lines of its keys are held against
+    it.  When the pairs with open lines are few enough, they are made, and the rest is told by those that agree.
     """
     lines = worded.select("a", F.split("masked", " ").alias("words"))
+    spark = worded.sparkSession
 
     def agreeing(pairs: DataFrame) -> DataFrame:
         left, right = lines.select("a", F.col("words").alias("x")), lines.select(F.col("a").alias("lead"), F.col("words").alias("y"))
-        return pairs.join(left, "a").join(right, "lead").where(_agree(F.col("x"), F.col("y"), similarity)).select("a", "lead")
+        return pairs.distinct().join(left, "a").join(right, "lead").where(_agree(F.col("x"), F.col("y"), similarity)).select("a", "lead")
 
-    def merge(pairs: DataFrame) -> DataFrame:
-        return written(pairs.groupBy("a").agg(F.min("lead").alias("lead")).coalesce(parts), "line-merged")
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return written(df.coalesce(parts), name)
 
-    spark, found = worded.sparkSession, []
-    open_ = _met(worded, depth, similarity)
+    met = _met(worded, depth, similarity)
+    met = written(met.join(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "line-met")
+    met, lead_met, found = met.select("key", "a", "n"), met.select("key", F.col("a").alias("lead")), []
+    open_ = met
     while True:
-        sizes = open_.groupBy("key").agg(F.min("a").alias("lead"), F.count("*").alias("n")).where("n > 1")
-        shared = open_.join(sizes, "key").select("key", "a", "lead", "n")
-        shared = written(shared, "line-met")
-        pairs = shared.where("a = lead").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
-        if pairs <= most_pairs:
+        crowd = open_.groupBy("key").agg((F.count("*") * F.max("n")).alias("pairs"))
+        if (crowd.agg(F.sum("pairs")).first()[0] or 0) <= most_pairs:
             break
-        leads = shared.groupBy("a").agg(F.max("lead").alias("last")).where("a = last").select(F.col("a").alias("lead"))
-        found.append(merge(agreeing(shared.where("a <> lead").select("a", "lead").join(leads, "lead", "left_semi").distinct())))
-        done = found[-1].select("a").union(leads.select(F.col("lead").alias("a")))
-        open_ = shared.select("key", "a").join(done, "a", "left_anti")
-    other = shared.select("key", F.col("a").alias("lead"))
-    edges = written(agreeing(shared.select("key", "a").join(other, "key").where("lead < a").select("a", "lead").distinct()).coalesce(parts), "line-edges")
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("a"))
+        firsts = written(open_.select("key", "a").withColumn("rank", rank).where(F.col("rank") <= FIRSTS).select("key", "a"), "line-firsts")
+        at_all = firsts.groupBy("a").agg(F.count("*").alias("at")).join(open_.groupBy("a").agg(F.count("*").alias("of")), "a").where("at = of").select("a")
+        before = firsts.select("key", F.col("a").alias("lead"))
+        blocked = agreeing(firsts.join(before, "key").where("lead < a").select("a", "lead").join(at_all, "a", "left_semi")).select("a")
+        leads = kept(at_all.join(blocked, "a", "left_anti").select(F.col("a").alias("lead")), "line-leads")
+        under = met.join(lead_met.join(leads, "lead"), "key").where("lead < a").select("a", "lead")
+        found.append(kept(agreeing(under), "line-merged"))
+        closed = found[-1].select("a").union(leads.select(F.col("lead").alias("a"))).distinct()
+        open_ = written(open_.join(closed, "a", "left_anti"), "line-open")
+    edges = kept(agreeing(met.join(open_.select("key", F.col("a").alias("lead")), "key").where("lead < a").select("a", "lead")), "line-edges")
     while not edges.isEmpty():
         leads = edges.select("lead").join(edges.select(F.col("a").alias("lead")), "lead", "left_anti").distinct()
-        found.append(merge(edges.join(leads, "lead")))
-        done = found[-1].select("a")
-        edges = written(edges.join(done, "a", "left_anti").join(done.select(F.col("a").alias("lead")), "lead", "left_anti").select("a", "lead").coalesce(parts), "line-edges")
-    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "a long, lead long")
+        found.append(kept(edges.join(leads, "lead").select("a", "lead"), "line-merged"))
+        closed = found[-1].select(F.col("a").alias("lead")).union(found[-1].select("lead")).distinct()
+        edges = kept(edges.join(closed, "lead", "left_anti").select("a", "lead"), "line-edges")
+    if not found:
+        return spark.createDataFrame([], "a long, lead long")
+    return reduce(DataFrame.union, found).groupBy("a").agg(F.min("lead").alias("lead"))
 
 
 def recurring_lines(
