@@ -198,11 +198,82 @@ def test_shards(spark, n):
     assert {r["law"] for r in found} <= {"rows"} and all(r["grown_shard"] is None for r in found)
 
 
+def slow_hilbert(cell, bits):
+    """The curve's index of a cell, corner by corner (coordinate k is bit k of a corner)."""
+    n = len(cell)
+    gray = [i ^ (i >> 1) for i in range(1 << n)]
+    turn = lambda v, k: (v >> k | v << (n - k)) & ((1 << n) - 1)
+    entry, axis, out = 0, 0, 0
+    for level in range(bits - 1, -1, -1):
+        corner = sum((c >> level & 1) << k for k, c in enumerate(cell))
+        digit = gray.index(turn(corner ^ entry, (axis + 1) % n))
+        first = 0 if digit == 0 else gray[2 * ((digit - 1) // 2)]
+        entry ^= turn(first, -(axis + 1) % n)
+        low = 0 if digit == 0 else digit - 1 if digit % 2 == 0 else digit
+        ones = 0
+        while low >> ones & 1:
+            ones += 1
+        axis = (axis + (ones % n) + 1) % n
+        out = out << n | digit
+    return out
+
+
+def test_shard_of_every_row_against_brute_force(spark):
+    rows = [r for r in brute.docs(60)]
+
+    def starts(values):
+        names = sorted({v for v in values if v is not None}, key=str.encode)
+        return {v: 1 + k * 31 // len(names) for k, v in enumerate(names)} | {None: 0}
+
+    lang, source = starts([r[2] for r in rows]), starts([r[3] for r in rows])
+    keyed = []
+    for doc, text, a, b, _ in rows:
+        data = (text or "").encode()
+        size = len(data) + 1
+        cell = (lang[a], source[b], min(31, int(np.floor(np.log2(size) * 2))))
+        keyed.append((slow_hilbert(cell, 5), size, zlib.crc32(data), doc is not None, doc or 0))
+    total = len(keyed)
+    want = Counter()
+    for place, (curve, size, crc, known, doc) in enumerate(sorted(keyed)):
+        shard = place * 8 // total
+        want[doc if known else None, size, crc, shard, place - -(-shard * total // 8), curve] += 1
+    found = sharding.shard_rows(brute.crowded(brute.frame(spark, rows))).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"], r["curve"]) for r in found) == want
+
+
 def test_written_shards_prune(spark, tmp_path):
-    rows = [r for r in brute.docs(60) if r[0] is not None and r[0] < 60]
-    sharding.write_shards(brute.crowded(brute.frame(spark, rows)), str(tmp_path / "out"), shards=4)
+    """By the minima and maxima of the files, a predicate on any dimension skips files; in arrival order none can be."""
+    import pyarrow.dataset as ds
+
+    rng = np.random.default_rng(3)
+    names = ["de", "en", "es", "fr", "it", "nl", "pl", "sv"]
+    rows = [(k, "x" * int(2 ** rng.uniform(0, 12)), names[rng.integers(8)], f"site{rng.integers(40):02d}", 1) for k in range(2000)]
+    table = brute.frame(spark, rows, 1)
+    sharding.write_shards(table, str(tmp_path / "out"), shards=32)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 60 and [r[0] for r in back.groupBy("shard").count().orderBy("shard").select("count").collect()] == [15] * 4
+    assert back.count() == 2000 and {r[0] for r in back.groupBy("shard").count().select("count").collect()} <= {62, 63}
+
+    def touched(path, column, low, high):
+        boxes = []
+        for fragment in ds.dataset(path, partitioning="hive").get_fragments():
+            values = fragment.to_table(columns=[column]).column(column).to_pylist()
+            values = [len(v) for v in values] if column == "text" else values
+            boxes.append(min(values) <= high and max(values) >= low)
+        return sum(boxes) / len(boxes)
+
+    predicates = [("lang", n, n) for n in names] + [("source", f"site{k:02d}", f"site{k + 4:02d}") for k in range(0, 40, 5)] + [("text", 1 << k, 2 << k) for k in range(12)]
+    for column in ("lang", "source", "text"):
+        shares = [touched(str(tmp_path / "out"), c, low, high) for c, low, high in predicates if c == column]
+        assert sum(shares) / len(shares) < 0.55, column
+
+
+def test_categories_without_number(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST_VALUES", 64)
+    frame = spark.createDataFrame([(k, "x", f"v{k:05d}", None, 1) for k in range(3000)], brute.SCHEMA)
+    starts = sharding.category_starts(frame, "lang", 5)
+    assert 25 <= len(starts) <= 31 and starts == sorted(starts) and not sharding.category_starts(frame, "source", 5)
+    cells = [r[0] for r in frame.orderBy("doc_id").select(sharding.category_cell(frame["lang"], starts)).collect()]
+    assert cells == sorted(cells) and len(set(cells)) >= 25
 
 
 # ---- pipeline ----
