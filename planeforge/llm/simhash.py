@@ -2,10 +2,11 @@
 
 *Fingerprints.*  XXH64 of every word shingle; a bit is set if it is set in over half of the hashes.
 
-*Blocks.*  Two fingerprints at ``radius`` or fewer bits agree in one of ``radius + 1`` blocks of bits.
-Distinct fingerprints are dealt out by (block, its bits), so that every link is found where its
-two ends meet.  A group of over ``group`` fingerprints is searched in parts: each part asks for its
-share of the group against all of it.
+*Blocks.*  Two fingerprints at ``radius`` or fewer bits agree in all but ``radius`` of any number of blocks of bits.
+Distinct fingerprints are dealt out by the bits of each choice of so many blocks, so that every link is found where its
+two ends meet.  There are ``radius + 1`` blocks, one of which is chosen, as long as evenly spread fingerprints make
+groups of ``group`` at most, and more blocks beyond: keys then have more bits, and groups stay as small.  A group that is
+larger all the same is searched in parts: each part asks for its share of the group against all of it.
 
 *Index.*  A task sorts what it got by group and by Gray rank, which puts fingerprints that differ in
 few bits side by side.  Upper nodes hold the bits that all below share, as mask and value, without
@@ -20,11 +21,12 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, doc_text, fold_case, free_name, map_arrow, tasks_for, text_bytes, written
@@ -194,16 +196,31 @@ def _linked(radius: int, rows_at_once: int, pairs_at_once: int = 1_000_000):
     return run
 
 
-def fingerprint_links(codes: DataFrame, radius: int = 3, group: int = 20_000, rows_at_once: int = 200_000) -> DataFrame:
+def blocks_for(count: int, radius: int, group: int) -> int:
+    """The least number of blocks with which evenly spread fingerprints make groups of ``group`` at most."""
+    blocks = radius + 1
+    while count >> (WIDTH * (blocks - radius) // blocks) > group and blocks < radius + 5:
+        blocks += 1
+    return blocks
+
+
+def fingerprint_links(codes: DataFrame, radius: int = 3, group: int = 20_000, rows_at_once: int = 200_000, blocks: int | None = None) -> DataFrame:
     """Edges ``a, b`` (b < a) whose classes are those of all pairs at ``radius`` or fewer bits.
 
     ``codes``: ``fp long``, distinct.
     """
-    blocks = radius + 1
+    blocks = blocks or blocks_for(codes.count(), radius, group)
     edges = [round(k * WIDTH / blocks) for k in range(blocks + 1)]
-    key = F.array(*[
-        F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) * blocks + k for k in range(blocks)
-    ])
+    choices = list(combinations(range(blocks), blocks - radius))
+
+    def packed(choice: tuple[int, ...]) -> Column:
+        out = F.lit(0).cast("long")
+        for k in choice:
+            width = edges[k + 1] - edges[k]
+            out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << width) - 1)))
+        return out
+
+    key = F.array(*[packed(choice) * len(choices) + k for k, choice in enumerate(choices)])
     dealt = codes.select("fp", F.explode(key).alias("key"))
     crowds = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     parts = F.ceil(F.col("n") / group).cast("int")
@@ -218,7 +235,7 @@ def fingerprint_links(codes: DataFrame, radius: int = 3, group: int = 20_000, ro
     return spread.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(radius, rows_at_once), "a long, b long").distinct()
 
 
-def contract(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def contract(edges: DataFrame) -> DataFrame:
     """``a, root``: the smallest node of the class of every node that is not smallest itself.
 
     Alternating large-star and small-star steps: each hangs neighbours under a node's smallest
@@ -230,7 +247,7 @@ def contract(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     current = Scratch(edges.select("a", "b"), "edges")
     mark = measured(current.table)
-    for _ in range(most_rounds):
+    while True:
         e = current.table
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lead = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -243,7 +260,6 @@ def contract(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         current, before, mark = after, mark, measured(after.table)
         if mark == before:
             return current.table.select("a", F.col("b").alias("root"))
-    raise RuntimeError(f"classes did not settle in {most_rounds} rounds")
 
 
 def near_classes(df: DataFrame, words: int = 3, radius: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -91,9 +91,9 @@ def test_simhash_against_brute_force(spark):
     assert simhash.simhash_components(brute.frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("group", [5, 20_000])
-def test_links_of_crowded_codes(spark, group):
-    """Dense clusters and loners; small groups are searched in parts."""
+@pytest.mark.parametrize("group, blocks", [(5, 4), (20_000, None), (20_000, 5), (7, 6)])
+def test_links_of_crowded_codes(spark, group, blocks):
+    """Dense clusters and loners; small groups are searched in parts, and longer keys find the same."""
     rng = np.random.default_rng(1)
     codes = {int(x) for x in rng.integers(0, 1 << 63, 300)}
     for _ in range(4):
@@ -106,7 +106,7 @@ def test_links_of_crowded_codes(spark, group):
     codes |= {0, (1 << 64) - 1, 7}
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
     frame = spark.createDataFrame([(c,) for c in signed], "fp long")
-    edges = simhash.fingerprint_links(frame, 3, group=group, rows_at_once=200)
+    edges = simhash.fingerprint_links(frame, 3, group=group, rows_at_once=200, blocks=blocks)
     roots = {r["a"]: r["root"] for r in simhash.contract(edges).collect()}
     want = brute.Classes()
     for a, b in combinations(signed, 2):
@@ -115,6 +115,10 @@ def test_links_of_crowded_codes(spark, group):
     assert {c: roots.get(c, c) for c in signed} == {c: want.root(c) for c in signed}
 
 
+def test_keys_grow_with_the_table():
+    assert [simhash.blocks_for(n, 3, 20_000) for n in (0, 10**6, 10**9, 5 * 10**10, 10**12)] == [4, 4, 4, 5, 6]
+
+
 def test_index_prunes_and_finds_all():
     rng = np.random.default_rng(2)
     codes = np.unique(np.concatenate([rng.integers(0, 1 << 63, 500, dtype=np.uint64), np.uint64(5) ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64))]))
