@@ -1,27 +1,32 @@
 """Encoding and decoding as a plan: tiles, then code blocks, then packets, then files.
 
 Block coding is nine tenths of the work and goes block by block, so blocks are dealt out evenly over the
-cluster whatever image they come from.  What belongs together again meets by (image, tile): a tile's
+cluster whatever image they come from, and coded in the JVM (``planeforge/jvm``).  Tiles of an image are dealt out
+before their transforms.  What belongs together again meets by (image, tile): a tile's
 blocks are bounded by its size.  Selections are applied where blocks are listed, before any is coded.
+
+A tile's header travels with one of its blocks only.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import jvm
 from ..operators import t1
 from ..sources import codestream, images, jp2
-from ..sources.codestream import Options, Place, Selection
+from ..sources.codestream import Head, Options, Place, Selection
+from ..sources.raster import Raster
 
 _PLACE = "component int, band int, precinct int, bx int, by int, left int, top int, w int, h int"
 _BLOCKS = f"path string, tile int, head binary, {_PLACE}, kind string, samples binary"
+_RAW_TILES = "path string, tile int, head binary, samples binary"
 _CODED = f"path string, tile int, head binary, {_PLACE}, planes int, passes int, payload binary, segments binary, cum_bytes binary, gains binary"
 
 
@@ -49,53 +54,91 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
 
 
-def image_blocks(table: DataFrame, options: Options = Options()) -> DataFrame:
-    """Colour transform, wavelet, quantiser and partition: one row a code block."""
-    schema = _arrow(_BLOCKS)
+def _sample_type(head: Head) -> str:
+    return "<i4" if max(p for p, _, _, _ in head.components) < 32 else "<i8"
 
-    def rows(batches):
+
+def _raw_tiles(path: str, raster: Raster, options: Options) -> Iterator[dict]:
+    """A row a tile: its components' samples behind each other."""
+    head = codestream.head_for(raster, options)
+    packed, kind = pickle.dumps(head), _sample_type(head)
+    for tile in range(head.tiles):
+        parts = [np.ascontiguousarray(s, dtype=kind).tobytes() for s in codestream.tile_samples(head, tile, raster)]
+        yield {"path": path, "tile": tile, "head": packed, "samples": b"".join(parts)}
+
+
+def _tile_blocks(row: dict) -> Iterator[dict]:
+    head, tile = pickle.loads(row["head"]), row["tile"]
+    flat, at, samples = np.frombuffer(row["samples"], _sample_type(head)), 0, []
+    for c in range(len(head.components)):
+        x0, y0, x1, y1 = head.tile_component(tile, c)
+        size = (y1 - y0) * (x1 - x0)
+        samples.append(flat[at : at + size].reshape(y1 - y0, x1 - x0))
+        at += size
+    packed = row["head"]
+    for place, kind, block in codestream.tile_blocks(head, tile, samples):
+        yield {"path": row["path"], "tile": tile, "head": packed, **_fields(place), "kind": kind, "samples": np.ascontiguousarray(block, dtype="<i4").tobytes()}
+        packed = None
+
+
+def _blocks(table: DataFrame, rasters: Callable[[pa.RecordBatch], Iterator[tuple[str, Raster]]], options: Options) -> DataFrame:
+    schema, raw = _arrow(_BLOCKS), _arrow(_RAW_TILES)
+
+    def tiles(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                raster = images.from_row(row)
-                head = codestream.head_for(raster, options)
-                packed = pickle.dumps(head)
-                for tile in range(head.tiles):
-                    for place, kind, block in codestream.tile_blocks(head, tile, codestream.tile_samples(head, tile, raster)):
-                        yield {"path": row["path"], "tile": tile, "head": packed, **_fields(place), "kind": kind, "samples": np.ascontiguousarray(block, dtype="<i4").tobytes()}
+            for path, raster in rasters(batch):
+                yield from _raw_tiles(path, raster, options)
+
+    if not (options.tile_w or options.tile_h):  # one tile an image: there is nothing to deal out
+        return table.mapInArrow(lambda batches: _batches((row for tile in tiles(batches) for row in _tile_blocks(tile)), schema), _BLOCKS)
+    dealt = table.mapInArrow(lambda batches: _batches(tiles(batches), raw, 16), _RAW_TILES).repartition("path", "tile")
+    return dealt.mapInArrow(lambda batches: _batches((row for batch in batches for tile in batch.to_pylist() for row in _tile_blocks(tile)), schema), _BLOCKS)
+
+
+def image_blocks(table: DataFrame, options: Options = Options()) -> DataFrame:
+    """Colour transform, wavelet, quantiser and partition of images (``images.SCHEMA``): one row a code block."""
+    return _blocks(table, images.rasters, options)
+
 
-    return table.mapInArrow(lambda batches: _batches(rows(batches), schema), _BLOCKS)
+def file_blocks(files: DataFrame, options: Options = Options(), kind: str | None = None) -> DataFrame:
+    """The same from files (``path, content``) of any format that can be read; their samples never are rows."""
+
+    def rasters(batch):
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            yield path, images.READERS[kind or images.extension(path)](content)
+
+    return _blocks(files.select("path", "content"), rasters, options)
 
 
 def code_blocks(blocks: DataFrame, style: int = 0) -> DataFrame:
     """Entropy coding, block by block; the rows are dealt out anew, so that large images spread."""
-    schema = _arrow(_CODED)
+    jvm.register(blocks.sparkSession)
     dealt = blocks.repartition("path", "tile", "component", "band", "precinct", "bx", "by")
+    done = dealt.withColumn("done", jvm.encode_block(F.col("samples"), F.col("h"), F.col("w"), F.col("kind"), F.lit(style)))
+    kept = [part.split()[0] for part in _CODED.split(", ")]
+    return done.select(*[F.col(n if n in blocks.columns else f"done.{n}") for n in kept])
 
-    def rows(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = np.frombuffer(row["samples"], "<i4").reshape(row["h"], row["w"]).astype(np.int64)
-                done = t1.encode_block(block, row["kind"], style)
-                kept = {k: row[k] for k in schema.names if k in row}
-                yield kept | {"planes": done.planes, "passes": done.passes, "payload": done.payload, "segments": np.array(done.segments, "<i4").tobytes(), "cum_bytes": np.array(done.cum_bytes, "<i4").tobytes(), "gains": np.array(done.gains, "<f8").tobytes()}
 
-    return dealt.mapInArrow(lambda batches: _batches(rows(batches), schema), _CODED)
+def _head_of(rows: pa.Table) -> Head:
+    return pickle.loads(rows["head"].drop_null()[0].as_py())
 
 
 def tile_parts(coded: DataFrame, options: Options = Options()) -> DataFrame:
     """Layers and packets of each tile: ``path, tile, head, part``."""
+    out = "path string, tile int, head binary, part binary, packets int"
+    schema = _arrow(out)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pickle.loads(pdf["head"].iloc[0])
+    def run(rows: pa.Table) -> pa.Table:
+        head, tile = _head_of(rows), rows["tile"][0].as_py()
         blocks = []
-        for row in pdf.to_dict("records"):
-            segments = [tuple(map(int, s)) for s in np.frombuffer(row["segments"], "<i4").reshape(-1, 2)]
-            blocks.append((_place(row), t1.CodedBlock(row["planes"], row["payload"], row["passes"], segments, np.frombuffer(row["cum_bytes"], "<i4").tolist(), np.frombuffer(row["gains"], "<f8").tolist())))
-        tile = int(pdf["tile"].iloc[0])
+        for row in rows.to_pylist():
+            segments = np.frombuffer(row["segments"], "<i4").reshape(-1, 2).tolist()
+            blocks.append((_place(row), t1.CodedBlock(row["planes"], row["payload"], row["passes"], list(map(tuple, segments)), np.frombuffer(row["cum_bytes"], "<i4").tolist(), np.frombuffer(row["gains"], "<f8").tolist())))
         packets = codestream.tile_packets(head, tile, blocks, options.rates)
-        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "tile": [tile], "head": [pdf["head"].iloc[0]], "part": [codestream.tile_part(tile, packets, options.packet_lengths)], "packets": [len(packets)]})
+        row = {"path": rows["path"][0].as_py(), "tile": tile, "head": pickle.dumps(head), "part": codestream.tile_part(tile, packets, options.packet_lengths), "packets": len(packets)}
+        return pa.Table.from_pylist([row], schema=schema)
 
-    return coded.groupBy("path", "tile").applyInPandas(run, "path string, tile int, head binary, part binary, packets int")
+    return coded.groupBy("path", "tile").applyInArrow(run, out)
 
 
 def codestreams(parts: DataFrame, options: Options = Options()) -> DataFrame:
@@ -116,7 +159,12 @@ def encode(table: DataFrame, options: Options = Options()) -> DataFrame:
     return codestreams(tile_parts(code_blocks(image_blocks(table, options), options.style), options), options)
 
 
-_READ = f"path string, tile int, head binary, {_PLACE}, planes int, payload binary, segments binary"
+def encode_files(files: DataFrame, options: Options = Options(), kind: str | None = None) -> DataFrame:
+    """Files (``path, content``) of any format that can be read to codestreams: ``path, content``."""
+    return codestreams(tile_parts(code_blocks(file_blocks(files, options, kind), options.style), options), options)
+
+
+_READ = f"path string, tile int, head binary, {_PLACE}, kind string, style int, planes int, payload binary, segments binary"
 _DECODED = f"path string, tile int, head binary, {_PLACE}, q binary, low binary"
 _TILES = "path string, tile int, component int, y0 int, x0 int, h int, w int, samples array<bigint>"
 
@@ -131,7 +179,6 @@ def stream_blocks(files: DataFrame, selection: Selection = Selection()) -> DataF
                 data = row["content"]
                 data = jp2.parse(data).codestream if data[:4] == b"\0\0\0\x0c" else data
                 head = codestream.read_head(data)
-                packed = pickle.dumps(head)
                 for tile, body in codestream.tile_parts(data, head).items():
                     if selection.tile is not None and tile != selection.tile:
                         continue
@@ -140,49 +187,48 @@ def stream_blocks(files: DataFrame, selection: Selection = Selection()) -> DataF
                         x, y, w, h = selection.region
                         if x1 <= x or x + w <= x0 or y1 <= y or y + h <= y0:
                             continue
+                    packed = pickle.dumps(head)
                     for place, band, planes, segments, payload in codestream.read_blocks(head, tile, body, selection.layers):
                         if band.resolution <= head.levels - selection.reduce:
-                            yield {"path": row["path"], "tile": tile, "head": packed, **_fields(place), "planes": planes, "payload": payload, "segments": np.array(segments, "<i4").tobytes()}
+                            yield {"path": row["path"], "tile": tile, "head": packed, **_fields(place), "kind": band.kind, "style": head.style, "planes": planes, "payload": payload, "segments": np.array(segments, "<i4").tobytes()}
+                            packed = None
 
     return files.select("path", "content").mapInArrow(lambda batches: _batches(rows(batches), schema), _READ)
 
 
 def decode_blocks(blocks: DataFrame) -> DataFrame:
-    schema = _arrow(_DECODED)
+    jvm.register(blocks.sparkSession)
     dealt = blocks.repartition("path", "tile", "component", "band", "precinct", "bx", "by")
-
-    def rows(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                head = pickle.loads(row["head"])
-                band = head.bands(row["tile"], row["component"])[row["band"]]
-                segments = [tuple(map(int, s)) for s in np.frombuffer(row["segments"], "<i4").reshape(-1, 2)]
-                q, low = t1.decode_block(row["payload"], segments, row["planes"], row["h"], row["w"], band.kind, head.style)
-                kept = {k: row[k] for k in schema.names if k in row}
-                yield kept | {"q": q.astype("<i4").tobytes(), "low": low.astype("<i4").tobytes()}
-
-    return dealt.mapInArrow(lambda batches: _batches(rows(batches), schema), _DECODED)
+    done = dealt.withColumn("done", jvm.decode_block(*map(F.col, ("payload", "segments", "planes", "h", "w", "kind", "style"))))
+    kept = [part.split()[0] for part in _DECODED.split(", ")]
+    return done.select(*[F.col(n if n in blocks.columns else f"done.{n}") for n in kept])
 
 
 def rebuild_tiles(decoded: DataFrame, reduce: int = 0) -> DataFrame:
     """Inverse transforms: one row a tile and component, in block form (a tile without blocks has no row)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head, tile = pickle.loads(pdf["head"].iloc[0]), int(pdf["tile"].iloc[0])
+    schema = pa.schema([("path", pa.string()), *((n, pa.int32()) for n in ("tile", "component", "y0", "x0", "h", "w")), ("samples", pa.list_(pa.int64()))])
+
+    def run(rows: pa.Table) -> pa.Table:
+        head, tile, path = _head_of(rows), rows["tile"][0].as_py(), rows["path"][0].as_py()
+        bands = [head.bands(tile, c) for c in range(len(head.components))]
         found = []
-        for row in pdf.to_dict("records"):
+        for row in rows.to_pylist():
             place = _place(row)
             shape = (place.h, place.w)
-            band = head.bands(tile, place.component)[place.band]
-            found.append((place, band, np.frombuffer(row["q"], "<i4").reshape(shape).astype(np.int64), np.frombuffer(row["low"], "<i4").reshape(shape)))
-        out = []
+            found.append((place, bands[place.component][place.band], np.frombuffer(row["q"], "<i4").reshape(shape), np.frombuffer(row["low"], np.uint8).reshape(shape).astype(np.int64)))
+        out, flat = [], []
         for c, samples in enumerate(codestream.rebuild_tile(head, tile, found, reduce)):
             x0, y0, _, _ = head.tile_component(tile, c)
             scale = 1 << reduce
-            out.append((pdf["path"].iloc[0], tile, c, -(-y0 // scale), -(-x0 // scale), *samples.shape, samples.ravel()))
-        return pd.DataFrame(out, columns=["path", "tile", "component", "y0", "x0", "h", "w", "samples"])
-
-    return decoded.groupBy("path", "tile").applyInPandas(run, _TILES)
+            out.append((path, tile, c, -(-y0 // scale), -(-x0 // scale), *samples.shape))
+            flat.append(samples.ravel())
+        ends = np.cumsum([0, *map(len, flat)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
+        plain = [pa.array(column, schema.field(k).type) for k, column in enumerate(zip(*out, strict=True))]
+        return pa.Table.from_arrays([*plain, lists], schema=schema)
+
+    return decoded.groupBy("path", "tile").applyInArrow(run, _TILES)
 
 
 def decode(files: DataFrame, selection: Selection = Selection()) -> DataFrame:

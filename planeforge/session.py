@@ -25,7 +25,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
         for folder, _, names in os.walk(root):
             for name in sorted(names):
-                if name.endswith(".py"):
+                if name.endswith((".py", ".java")):
                     whole = os.path.join(folder, name)
                     archive.write(whole, os.path.join("planeforge", os.path.relpath(whole, root)))
     context.addPyFile(path)

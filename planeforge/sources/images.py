@@ -56,6 +56,21 @@ def from_row(row) -> Raster:
     return Raster(planes, row["layout"], row["alpha_mode"], bool(row["white_is_zero"]), row["icc"], row["exif"], row["xmp"], row["iptc"], origin=(row["origin_x"] or 0, row["origin_y"] or 0))
 
 
+def rasters(batch: pa.RecordBatch) -> Iterator[tuple[str, Raster]]:
+    """Path and raster of each row; samples are read where Arrow holds them."""
+    at = batch.schema.names.index("planes")
+    rows = batch.drop_columns(["planes"]).to_pylist()
+    for k, row in enumerate(rows):
+        found = batch.column(at)[k].values
+        planes = []
+        names = [f.name for f in found.type if f.name != "samples"]
+        fields = [dict(zip(names, values, strict=True)) for values in zip(*(found.field(n).to_pylist() for n in names), strict=True)]
+        for i, p in enumerate(fields):
+            samples = found.field("samples")[i].values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+            planes.append(Plane(samples.reshape(p["height"], p["width"]), p["precision"], p["signed"], p["x_step"], p["y_step"], p["x0"], p["y0"]))
+        yield row["path"], Raster(planes, row["layout"], row["alpha_mode"], bool(row["white_is_zero"]), row["icc"], row["exif"], row["xmp"], row["iptc"], origin=(row["origin_x"] or 0, row["origin_y"] or 0))
+
+
 def decoded(path: str, data: bytes, permissive: bool, kind: str | None = None) -> dict:
     """A row; a bad file raises, or in permissive mode gives a row that only says why."""
     kind = kind or extension(path)

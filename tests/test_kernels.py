@@ -171,3 +171,28 @@ def test_running_sum_has_no_single_task(spark):
     for k in range(1000):
         total += k % 7
         assert got[k] == total
+
+
+def test_jvm_block_coder_is_the_same(spark):
+    """Decision for decision: payload, segments, lengths, gains and what is read back, in every style."""
+    from planeforge import jvm
+
+    jvm.register(spark)
+    rng, rows, want = np.random.default_rng(1), [], {}
+    for kind in ("LL", "HL", "LH", "HH"):
+        for style in (0, 1, 2, 4, 5, 8, 13, 16, 20, 32, 61, 63):
+            for h, w in ((1, 1), (5, 7), (16, 16), (3, 30)):
+                block = rng.laplace(0, rng.choice([0, 3, 60, 2000]), (h, w)).astype(np.int64)
+                want[len(rows)] = block, t1.encode_block(block, kind, style)
+                rows.append((len(rows), bytearray(block.astype("<i4").tobytes()), h, w, kind, style))
+    blocks = spark.createDataFrame(rows, "k int, samples binary, h int, w int, kind string, style int")
+    coded = blocks.select("k", "h", "w", "kind", "style", jvm.encode_block(*map(F.col, ("samples", "h", "w", "kind", "style"))).alias("c")).select("*", "c.*")
+    back = coded.withColumn("d", jvm.decode_block(*map(F.col, ("payload", "segments", "planes", "h", "w", "kind", "style"))))
+    for r in back.collect():
+        block, one = want[r["k"]]
+        assert (r["planes"], r["passes"], bytes(r["payload"])) == (one.planes, one.passes, one.payload)
+        assert [tuple(x) for x in np.frombuffer(r["segments"], "<i4").reshape(-1, 2).tolist()] == one.segments
+        assert np.frombuffer(r["cum_bytes"], "<i4").tolist() == one.cum_bytes and np.allclose(np.frombuffer(r["gains"], "<f8"), one.gains)
+        q, low = t1.decode_block(one.payload, one.segments, one.planes, *block.shape, r["kind"], r["style"])
+        assert np.array_equal(np.frombuffer(r["d"]["q"], "<i4").reshape(block.shape), block) and np.array_equal(q, block)
+        assert np.array_equal(np.frombuffer(r["d"]["low"], np.uint8).reshape(block.shape) * (block != 0), low * (block != 0))
