@@ -15,8 +15,12 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-#: Name of a function, its class, and what it returns.
+#: Name of a function, its class, and what it returns: the fields of a struct, or one type.
 FUNCTIONS = (
+    ("planeforge_mq_encode", "planeforge.jvm.Blocks$MqEncode", "binary"),
+    ("planeforge_mq_decode", "planeforge.jvm.Blocks$MqDecode", "binary"),
+    ("planeforge_arith_encode", "planeforge.jvm.Blocks$ArithEncode", "binary"),
+    ("planeforge_arith_decode", "planeforge.jvm.Blocks$ArithDecode", "binary"),
     ("planeforge_encode_block", "planeforge.jvm.Blocks$Encode", "planes int, passes int, payload binary, segments binary, cum_bytes binary, gains binary"),
     ("planeforge_decode_block", "planeforge.jvm.Blocks$Decode", "q binary, low binary"),
 )
@@ -60,3 +64,19 @@ def encode_block(samples: Column, height: Column, width: Column, kind: Column, s
 
 def decode_block(payload: Column, segments: Column, planes: Column, height: Column, width: Column, kind: Column, style: Column) -> Column:
     return F.call_udf("planeforge_decode_block", payload, segments, planes, height, width, kind, style)
+
+
+def mq_encode(data: Column, predictable: bool = False) -> Column:
+    return F.call_udf("planeforge_mq_encode", data, F.lit(int(predictable)))
+
+
+def mq_decode(code: Column, size: Column) -> Column:
+    return F.call_udf("planeforge_mq_decode", code, size)
+
+
+def arith_encode(data: Column) -> Column:
+    return F.call_udf("planeforge_arith_encode", data)
+
+
+def arith_decode(code: Column, size: Column) -> Column:
+    return F.call_udf("planeforge_arith_decode", code, size)

@@ -7,6 +7,9 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import jvm
 
 METHODS = ("raw", "rle", "bit_rle", "arith")
 HALVE_ABOVE = 4096  # sum of the adaptive counts (fixed value)
@@ -178,7 +181,14 @@ def decode(method: str, code: bytes, size: int) -> bytes:
 
 
 def encode_column(df: DataFrame, key: str, column: str, method: str | None = None) -> DataFrame:
-    """``key, method, raw_len, code`` of a binary column; null counts as empty."""
+    """``key, method, raw_len, code`` of a binary column; null counts as empty.
+
+    The arithmetic coder goes bit by bit and runs in the JVM; the others are numpy over whole strings.
+    """
+    if method == "arith":
+        jvm.register(df.sparkSession)
+        data = F.coalesce(F.col(column), F.lit(b""))
+        return df.select(F.col(key), F.lit(method).alias("method"), F.octet_length(data).cast("bigint").alias("raw_len"), jvm.arith_encode(data).alias("code"))
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
@@ -190,12 +200,16 @@ def encode_column(df: DataFrame, key: str, column: str, method: str | None = Non
 
 
 def decode_column(df: DataFrame, key: str) -> DataFrame:
-    """``key, data`` from ``key, method, raw_len, code``."""
+    """``key, data`` from ``key, method, raw_len, code``; arithmetic codes are read in the JVM."""
+    jvm.register(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in range(1, 4)), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(m, c, n) for m, n, c in rows], pa.binary())], names=[key, "data"])
+            rows = zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d if m == "arith" else decode(m, c, n) for m, n, c, d in rows], pa.binary())], names=[key, "data"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, "method", "raw_len", "code").mapInArrow(run, f"`{key}` {kind}, data binary")
+    arith = F.col("method") == "arith"
+    read = F.when(arith, jvm.arith_decode(F.when(arith, F.col("code")), F.col("raw_len")))
+    code = F.when(~arith, F.col("code")).alias("code")  # an arithmetic code need not go to Python
+    return df.select(key, "method", "raw_len", code, read.alias("read")).mapInArrow(run, f"`{key}` {kind}, data binary")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +45,12 @@ def error(a: DataFrame, b: DataFrame, keys: list[str], depth: int = 8) -> DataFr
     return found.withColumn("mse", mse).withColumn("psnr", F.when(F.col("sse") > 0, F.lit(10.0) * F.log10(F.lit(top * top) / mse)))
 
 
+def timings(rows: DataFrame, stage: str, time: str) -> DataFrame:
+    """``stage, runs, total, least, most, permille``: each stage's times and its share of all (rounded down)."""
+    per = rows.groupBy(F.col(stage).alias("stage")).agg(F.count("*").alias("runs"), F.sum(time).alias("total"), F.min(time).alias("least"), F.max(time).alias("most"))
+    return per.withColumn("permille", F.expr("total * 1000 div sum(total) over ()"))
+
+
 def coverage(samples: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
     """One row: places covered once, several times, and never."""
     per = samples.groupBy(*keys, "y", "x").agg(F.count("*").alias("n"))
@@ -114,19 +120,25 @@ def sign_context(h: Column, v: Column) -> tuple[Column, Column]:
 def plane_sha256(planes: DataFrame, keys: list[str], sample_bytes: int = 2) -> DataFrame:
     """Digest of each plane: size header, then big-endian samples in row-major order.
 
-    A digest is sequential: rows of a plane are gathered as one binary a row first, so that what
-    meets in a group is bytes and not samples.
+    A digest is sequential, so a plane meets in one group; what meets there are bytes, one binary a row,
+    and a plane of up to 2 GB of samples fits.
     """
     schema = planes.select(*keys).schema
     rows = planes.groupBy(*keys, "y").agg(F.sort_array(F.collect_list(F.struct("x", "v"))).alias("s"))
-    rows = rows.select(*keys, "y", F.transform("s", lambda s: s["v"]).alias("v"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("y")
-        digest = hashlib.sha256(struct.pack(">II", len(pdf), len(pdf["v"].iloc[0]) if len(pdf) else 0))
-        for v in pdf["v"]:
-            digest.update(b"".join(int(x).to_bytes(sample_bytes, "big", signed=True) for x in v))
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), digest.hexdigest()]], columns=[*keys, "sha256"])
-
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["sha256 string"])
-    return rows.groupBy(*keys).applyInPandas(run, out)
+    low, high = -(1 << (8 * sample_bytes - 1)), (1 << (8 * sample_bytes - 1)) - 1
+    out = F.exists("s", lambda s: ~s["v"].between(low, high))
+    hexed = F.array_join(F.transform("s", lambda s: F.substring(F.lpad(F.hex(s["v"]), 16, "0"), 17 - 2 * sample_bytes, 2 * sample_bytes)), "")
+    data = F.when(out, F.raise_error(F.lit("sample out of range")).cast("binary")).otherwise(F.unhex(hexed))
+    rows = rows.select(*keys, "y", F.size("s").alias("n"), data.alias("data"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("y")
+        digest = hashlib.sha256(struct.pack(">II", table.num_rows, table["n"][0].as_py()))
+        for chunk in table["data"].chunks:
+            for value in chunk:
+                digest.update(value.as_buffer())
+        first = table.select(keys).slice(0, 1)
+        return first.append_column("sha256", pa.array([digest.hexdigest()]))
+
+    made = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["sha256 string"])
+    return rows.groupBy(*keys).applyInArrow(run, made)

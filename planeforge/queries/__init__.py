@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codec, coding, color, geometry, measures, streams, wavelets  # noqa: F401  (they register themselves)
+from . import codec, coding, color, formats, geometry, measures, streams, wavelets  # noqa: F401  (they register themselves)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -102,7 +102,8 @@ def f32(value: float | Column) -> Column:
 
 
 def signed_ramp(spark: SparkSession, width: int, height: int, precision: int = 12) -> DataFrame:
-    """A signed test plane that wraps through the whole range of its precision."""
-    span, low = 1 << precision, -(1 << (precision - 1))
-    n = spark.range(width * height).select(F.expr(f"id div {width}").alias("y"), F.expr(f"id % {width}").alias("x"))
-    return n.select("y", "x", (F.pmod(F.col("x") * 37 + F.col("y") * 101, F.lit(span)) + low).alias("v"))
+    """A signed test plane that rises evenly through the whole range of its precision and ends at the top of it."""
+    count, half = width * height, 1 << (precision - 1)
+    rise = F.expr(f"id * {2 * half}L div {count}") - half
+    v = F.when(F.col("id") == count - 1, F.lit(half - 1)).otherwise(rise).cast("bigint")
+    return spark.range(count).select(F.expr(f"id div {width}").alias("y"), F.expr(f"id % {width}").alias("x"), v.alias("v"))

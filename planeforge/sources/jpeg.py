@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -265,3 +266,39 @@ def _photoshop(body: bytes) -> bytes | None:
             return body[at + 4 : at + 4 + size]
         at += 4 + (size + 1 & ~1)
     return None
+
+
+def write_flat(levels: np.ndarray, quantiser: int = 1, restart: int = 0, metadata: dict[str, bytes] | None = None) -> bytes:
+    """A gray JPEG of flat 8x8 blocks with the given DC levels: a test image whose every sample is known.
+
+    Its tables hold DC sizes 0 to 11 and the end of block; ``restart`` blocks stand between restart marks.
+    """
+    segment = lambda m, b: struct.pack(">BBH", 0xFF, m, len(b) + 2) + b
+    rows, cols = levels.shape
+    out = b"\xff\xd8" + segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")
+    for name, body in (metadata or {}).items():
+        if name == "iptc":
+            out += segment(0xED, b"Photoshop 3.0\x008BIM\x04\x04\0\0" + struct.pack(">I", len(body)) + body + bytes(len(body) & 1))
+        else:
+            out += segment(0xE1, {"exif": b"Exif\0\0", "xmp": b"http://ns.adobe.com/xap/1.0/\0"}[name] + body)
+    out += segment(0xDB, b"\0" + bytes([quantiser] * 64)) + segment(0xC0, struct.pack(">BHHB", 8, rows * 8, cols * 8, 1) + b"\x01\x11\0")
+    out += segment(0xC4, b"\0" + bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12))) + segment(0xC4, b"\x10" + bytes([1] + [0] * 15) + b"\0")
+    out += (segment(0xDD, struct.pack(">H", restart)) if restart else b"") + segment(0xDA, b"\x01\x01\0\0\x3f\0")
+    bits: list[str] = []
+
+    def flushed() -> bytes:
+        line = "".join(bits)
+        bits.clear()
+        line += "1" * (-len(line) % 8)
+        return int(line, 2).to_bytes(len(line) // 8, "big").replace(b"\xff", b"\xff\0") if line else b""
+
+    before = 0
+    for n, level in enumerate(levels.ravel().tolist()):
+        if restart and n and n % restart == 0:
+            out += flushed() + bytes([0xFF, 0xD0 + (n // restart - 1) % 8])
+            before = 0
+        step = level - before
+        size = abs(step).bit_length()
+        bits.append(f"{size:04b}" + (f"{step if step > 0 else step + (1 << size) - 1:0{size}b}" if size else "") + "0")
+        before = level
+    return out + flushed() + b"\xff\xd9"

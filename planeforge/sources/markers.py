@@ -112,12 +112,41 @@ class _Collector:
 
 
 class PlmCollector(_Collector):
-    """Packet lengths of all tile-parts, each group framed by one byte."""
+    """Packet lengths of all tile-parts, each group framed by one byte.
+
+    A group may run over from one segment to the next, a packet length may not; there is at least one segment, and none is empty.
+    """
+
+    def append(self, body: bytes) -> None:
+        need(len(body) >= 2, "PLM segment is empty")
+        super().append(body)
+        # the part of a group that has come ends with whole lengths
+        need(not self.hold or not self.missing or not self.hold[-1] & 128, "packet length runs over a segment's end")
+
+    def finish(self) -> list[bytes]:
+        need(self.next > 0, "no PLM segment")
+        return super().finish()
 
     def lengths(self) -> list[list[int]]:
         return [parse_varints(g) for g in self.finish()]
 
 
+def write_plm(groups: list[list[int]], most: int = 65532) -> list[bytes]:
+    """Bodies of the segments for the packet lengths of each tile-part; a length is not split."""
+    bodies, body = [], b""
+    for lengths in groups:
+        codes = [varint(n) for n in lengths]
+        need(sum(map(len, codes)) < 256, "too many packet lengths for one group")
+        # the count of a group and its first length stay together, so no segment ends within a length
+        for part in [bytes([sum(map(len, codes))]) + (codes[0] if codes else b""), *codes[1:]]:
+            if len(body) + len(part) > most:
+                bodies.append(body)
+                body = b""
+            body += part
+    need(len(bodies) < 256, "too many segments")
+    return [bytes([k]) + b for k, b in enumerate([*bodies, body]) if b]
+
+
 class PpmCollector(_Collector):
     """Packet headers of all tile-parts, each group framed by four bytes."""
 

@@ -183,6 +183,17 @@ def read_dng(data: bytes) -> Raster:
     return out
 
 
+def write_linear_dng(samples: np.ndarray, black: int, white: int) -> bytes:
+    """A 16-bit LinearRaw DNG of ``height x width x 3`` samples with its levels."""
+    height, width, _ = samples.shape
+    body = samples.astype("<u2").tobytes()
+    short = lambda *v: struct.pack(f"<{len(v)}H", *v)
+    long = lambda *v: struct.pack(f"<{len(v)}I", *v)
+    entries = [(254, 4, 1, long(0)), (256, 4, 1, long(width)), (257, 4, 1, long(height)), (258, 3, 3, short(16, 16, 16)), (259, 3, 1, short(1)), (262, 3, 1, short(34892)), (273, 4, 1, long(0))]
+    entries += [(277, 3, 1, short(3)), (278, 4, 1, long(height)), (279, 4, 1, long(len(body))), (50706, 1, 4, bytes([1, 4, 0, 0])), (50714, 3, 1, short(black)), (50717, 4, 1, long(white))]
+    return tiff_bytes(entries, body)
+
+
 def _levels(ifd: dict[int, Field], tag: int, default: float) -> np.ndarray:
     if tag not in ifd:
         return np.full(3, default)

@@ -6,9 +6,11 @@ A whole raster is the same loop with one sink, so batch and stream cannot differ
 from __future__ import annotations
 
 from collections.abc import Callable
+from io import BytesIO
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.raster import need
@@ -102,6 +104,62 @@ def write_bands(rows: DataFrame, sink: BandSink, height: int, width: int, channe
     sink.finish()
 
 
+def write_tiff_parts(rows: DataFrame, target: str, height: int, width: int, channels: int, depth: int = 8, alpha_mode: str | None = None, palette: np.ndarray | None = None) -> None:
+    """Rows ``y, samples`` (interleaved) as the parts ``start, data`` of one TIFF, written where the rows are.
+
+    Rows have a fixed size, so each part's place in the file is known; ``start`` -1 holds the header.  With a palette
+    the rows hold indexes and the file colours.  Each row must be there once.
+    """
+    out = channels if palette is None else palette.shape[1]
+    head = BytesIO()
+    header = TiffBands(head, alpha_mode)
+    header.begin(height, width, out, depth)
+    row_bytes = width * out * depth // 8
+
+    def run(batches):
+        held, start, after = [], 0, -1
+
+        def part():
+            return pa.RecordBatch.from_arrays([pa.array([start * row_bytes], pa.int64()), pa.array([b"".join(held)], pa.binary())], names=["start", "data"])
+
+        for batch in batches:
+            ys = batch.column(0).to_pylist()
+            for k, y in enumerate(ys):
+                line = batch.column(1)[k].values.to_numpy(zero_copy_only=False).reshape(1, width, channels)
+                need(0 <= y < height and y != after - 1, "row repeats or lies outside")
+                need(line.min() >= 0 and line.max() < (1 << depth if palette is None else len(palette)), "sample out of range")
+                if palette is not None:
+                    line = palette[line[:, :, 0]]
+                if held and (y != after or len(held) * row_bytes > 1 << 24):
+                    yield part()
+                    held = []
+                if not held:
+                    start = y
+                held.append(line.astype("u1" if depth == 8 else "<u2").tobytes())
+                after = y + 1
+        if held:
+            yield part()
+
+    ordered = rows.select(F.col("y").cast("bigint").alias("y"), F.col("samples").cast("array<bigint>").alias("samples")).repartitionByRange("y").sortWithinPartitions("y")
+    parts = ordered.mapInArrow(run, "start bigint, data binary")
+    first = rows.sparkSession.createDataFrame([(-1, bytearray(head.getvalue()))], "start bigint, data binary")
+    parts.unionByName(first).write.parquet(target)
+    found = rows.sparkSession.read.parquet(target).where("start >= 0").agg(F.sum(F.octet_length("data")), F.count_distinct("start"), F.count("*")).first()
+    need(found[0] == height * row_bytes and found[1] == found[2], "rows missing")
+
+
+def join_parts(spark: SparkSession, target: str, out) -> None:
+    """The parts of one file to a stream, one at a time and in order."""
+    for row in spark.read.parquet(target).repartitionByRange("start").sortWithinPartitions("start").toLocalIterator():
+        out.write(bytes(row["data"]))
+
+
+def assembled(spark: SparkSession, target: str) -> DataFrame:
+    """``path, content`` of a file in parts, if it is small enough for a row (2 GB); see ``join_parts`` for larger ones."""
+    whole = spark.read.parquet(target).agg(F.sort_array(F.collect_list(F.struct("start", "data"))).alias("p"))
+    return whole.select(F.lit(target.rstrip("/").split("/")[-1]).alias("path"), F.concat(F.lit(b""), F.aggregate(F.transform("p", lambda x: x["data"]), F.lit(b""), lambda a, b: F.concat(a, b))).alias("content"))
+
+
 def tile_rows(pixels: DataFrame, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
     """Pixels to ``y, samples``, ready for a band sink."""
     parts = F.array(*[F.col(c) for c in channels])

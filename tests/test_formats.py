@@ -76,37 +76,10 @@ def test_exr():
     assert back.matrix == pytest.approx(np.array([[0.4361, 0.3851, 0.1431], [0.2225, 0.7169, 0.0606], [0.0139, 0.0971, 0.7141]]), abs=1e-3)
 
 
-def _jpeg(blocks, quality=1, restart=0):
-    """A gray JPEG of flat 8x8 blocks, its code tables holding DC sizes 0 to 11 and end of block."""
-    codes = bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12))
-    ac = bytes([1] + [0] * 15) + b"\0"
-    segment = lambda m, b: struct.pack(">BBH", 0xFF, m, len(b) + 2) + b
-    rows, cols = len(blocks), len(blocks[0])
-    out = b"\xff\xd8" + segment(0xDB, b"\0" + bytes([quality] * 64)) + segment(0xC0, struct.pack(">BHHB", 8, rows * 8, cols * 8, 1) + b"\x01\x11\0")
-    out += segment(0xC4, b"\0" + codes) + segment(0xC4, b"\x10" + ac) + (segment(0xDD, struct.pack(">H", restart)) if restart else b"") + segment(0xDA, b"\x01\x01\0\0\x3f\0")
-    bits, last, parts, n = "", 0, b"", 0
-
-    def flush():
-        nonlocal bits
-        padded = bits + "1" * (-len(bits) % 8)
-        bits = ""
-        return bytes(int(padded[k : k + 8], 2) for k in range(0, len(padded), 8)).replace(b"\xff", b"\xff\0")
-
-    for value in (v for row in blocks for v in row):
-        if restart and n and n % restart == 0:
-            parts += flush() + bytes([0xFF, 0xD0 + (n // restart - 1) % 8])
-            last = 0
-        d = value - last
-        size = abs(d).bit_length()
-        bits += f"{size:04b}" + (f"{d if d > 0 else d + (1 << size) - 1:0{size}b}" if size else "") + "0"
-        last, n = value, n + 1
-    return out + parts + flush() + b"\xff\xd9"
-
-
 @pytest.mark.parametrize("restart", [0, 2])
 def test_jpeg_flat_blocks(restart):
     blocks = [[0, 80, -400], [8, -1000, 1016]]
-    found = jpeg.read_jpeg(_jpeg(blocks, restart=restart)).planes[0].samples
+    found = jpeg.read_jpeg(jpeg.write_flat(np.array(blocks), restart=restart)).planes[0].samples
     for y in range(2):
         for x in range(3):
             want = min(255, max(0, int(np.floor(blocks[y][x] / 8 + 128.5))))
