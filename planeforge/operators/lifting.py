@@ -60,16 +60,39 @@ def forward_53(df: DataFrame, axis: str, lines: list[str], value: str = "v", ori
     return step.withColumn(value, smooth).withColumn(axis, packed_place(F.col(axis), F.col("_n"), origin)).drop("_n", "_d")
 
 
-def inverse_53(df: DataFrame, axis: str, lines: list[str], value: str = "v", origin: int = 0) -> DataFrame:
+def fits32(v: Column) -> Column:
+    return v.between(F.lit(-(1 << 31)), F.lit((1 << 31) - 1))
+
+
+def _checked32(v: Column) -> Column:
+    """The value, or an error where 32 bits cannot hold it; sums are 64-bit."""
+    return F.when(fits32(v), v).otherwise(F.raise_error(F.concat(F.lit("5/3 inverse leaves 32 bits: "), v.cast("string"))).cast("bigint"))
+
+
+def inverse_53(df: DataFrame, axis: str, lines: list[str], value: str = "v", origin: int = 0, checked: bool = False) -> DataFrame:
+    """The inverse of ``forward_53``; ``checked``: a sample that leaves 32 bits at any step is an error."""
+    sound = _checked32 if checked else (lambda v: v)
     line = _Line(lines, axis)
     step = df.withColumn("_n", F.count("*").over(line.whole)).withColumn(axis, interleaved_place(F.col(axis), F.col("_n"), origin))
     odd = (F.col(axis) + origin) % 2 == 1
     left, right = line.both(value)
     smooth = F.when(odd | left.isNull(), F.col(value)).otherwise(F.col(value) - F.shiftright(left + right + 2, 2))
-    step = step.withColumn("_s", smooth)
+    step = step.withColumn("_s", sound(smooth))
     left, right = line.both("_s")
     plain = F.when(~odd, F.col("_s")).when(left.isNull(), F.shiftright("_s", 1)).otherwise(F.col("_s") + F.shiftright(left + right, 1))
-    return step.withColumn(value, plain).drop("_n", "_s")
+    return step.withColumn(value, sound(plain)).drop("_n", "_s")
+
+
+def forward_53_float(df: DataFrame, axis: str, lines: list[str], value: str = "v") -> DataFrame:
+    """The 5/3 line in single precision, as the simple container has it; origins are even."""
+    line, odd = _Line(lines, axis), F.col(axis) % 2 == 1
+    whole = lambda v: F.floor(v).cast("float")
+    left, right = line.both(value)
+    detail = F.when(~odd | left.isNull(), f32(F.col(value))).otherwise(f32(F.col(value)) - whole((left + right) / f32(2.0)))
+    step = df.withColumn("_n", F.count("*").over(line.whole)).withColumn("_d", detail.cast("float"))
+    left, right = line.both("_d")
+    smooth = F.when(odd | left.isNull(), F.col("_d")).otherwise(F.col("_d") + whole((left + right + f32(2.0)) / f32(4.0)))
+    return step.withColumn(value, smooth.cast("float")).withColumn(axis, packed_place(F.col(axis), F.col("_n"))).drop("_n", "_d")
 
 
 def _lift(df: DataFrame, line: _Line, where: Column, factor: float, value: str) -> DataFrame:
@@ -109,9 +132,20 @@ def forward_level(df: DataFrame, keys: list[str], kind: str = "5/3", y_origin: i
     return lift(lift(df, "y", [*keys, "x"], origin=y_origin), "x", [*keys, "y"], origin=x_origin)
 
 
-def inverse_level(df: DataFrame, keys: list[str], kind: str = "5/3", y_origin: int = 0, x_origin: int = 0) -> DataFrame:
+def inverse_level(df: DataFrame, keys: list[str], kind: str = "5/3", y_origin: int = 0, x_origin: int = 0, checked: bool = False) -> DataFrame:
     lift = INVERSE[kind]
-    return lift(lift(df, "x", [*keys, "y"], origin=x_origin), "y", [*keys, "x"], origin=y_origin)
+    more = {"checked": True} if checked else {}
+    return lift(lift(df, "x", [*keys, "y"], origin=x_origin, **more), "y", [*keys, "x"], origin=y_origin, **more)
+
+
+def decomposes(x0: Column, y0: Column, x1: Column, y1: Column, levels: Column) -> Column:
+    """Whether an area still has samples after so many levels; an area without any does not get more."""
+    def left(lo: Column, hi: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1).cast("bigint"), levels.cast("int"))
+        up = lambda v: F.call_function("shiftright", v.cast("bigint") + step - 1, levels.cast("int"))
+        return up(hi) > up(lo)
+
+    return left(x0, x1) & left(y0, y1)
 
 
 def can_decompose(x0: int, y0: int, x1: int, y1: int, levels: int) -> bool:

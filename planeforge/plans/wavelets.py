@@ -10,40 +10,51 @@ from pyspark.sql import functions as F
 from ..operators import kernels, lifting
 
 
+def _outside(h: int, w: int) -> Column:
+    return (F.col("y") >= h) | (F.col("x") >= w)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
 def forward_levels(df: DataFrame, height: int, width: int, levels: int, keys: list[str], kind: str = "5/3", y0: int = 0, x0: int = 0) -> DataFrame:
-    """Long form.  Each level transforms the low-pass corner; the rest is passed by untouched.
+    """Long form.  Each level transforms the low-pass corner; its detail bands are done and leave.
 
-    ``_in`` keeps the corner's lines apart from what lies beside it, so there is one lineage and no
-    union; a plane costs one exchange an axis and level.
+    A level shuffles its corner only, once an axis, so all levels together move less than 2.7 times the plane.
+    The union reads a level's exchange for its details and for the next level; it is made once.
     """
-    for oy, ox, h, w in kernels.shapes(height, width, levels, y0, x0)[:-1]:
+    dims = kernels.shapes(height, width, levels, y0, x0)
+    names, done = [*keys, "y", "x", "v"], []
+    df = df.select(*names)
+    for (oy, ox, h, w), (_, _, low_h, low_w) in zip(dims, dims[1:], strict=False):
         if h and w:
-            df = _within(df, h, w, keys, lambda d, k, oy=oy, ox=ox: lifting.forward_level(d, k, kind, oy, ox))
-    return df
+            df = lifting.forward_level(df, keys, kind, oy, ox).select(*names)
+            done.append(df.where(_outside(low_h, low_w)))
+            df = df.where(~_outside(low_h, low_w))
+    return _union([df, *done])
 
 
 def inverse_levels(df: DataFrame, height: int, width: int, levels: int, keys: list[str], kind: str = "5/3", y0: int = 0, x0: int = 0, reduce: int = 0) -> DataFrame:
-    """Long form; what reduction leaves out is filtered before the first window."""
+    """Long form, from the coarsest level up; a level joins its details to what is there, so it shuffles its corner only.
+
+    What reduction leaves out is never read.
+    """
     dims = kernels.shapes(height, width, levels, y0, x0)
-    _, _, h, w = dims[reduce]
-    df = df.where((F.col("y") < h) & (F.col("x") < w))
+    names = [*keys, "y", "x", "v"]
+    source = df.select(*names)
+    _, _, h, w = dims[levels]
+    out = source.where(~_outside(h, w))
     for k in range(levels - 1, reduce - 1, -1):
+        low_h, low_w = h, w
         oy, ox, h, w = dims[k]
         if h and w:
-            df = _within(df, h, w, keys, lambda d, by, oy=oy, ox=ox: lifting.inverse_level(d, by, kind, oy, ox), whole=k == reduce)
-    return df
-
-
-def _within(df: DataFrame, h: int, w: int, keys: list[str], step, whole: bool = False) -> DataFrame:
-    if whole:
-        return step(df, keys)
-    inside = df.withColumn("_in", (F.col("y") < h) & (F.col("x") < w)).withColumn("_y", F.col("y")).withColumn("_x", F.col("x")).withColumn("_v", F.col("v"))
-    # beside the corner, a line of its own for each sample: windows leave it as it is, places are put back
-    apart = F.when(F.col("_in"), F.lit(-1)).otherwise(F.col("y") * F.lit(1 << 31) + F.col("x")).cast("bigint")
-    out = step(inside.withColumn("_apart", apart), [*keys, "_in", "_apart"])
-    for name in ("y", "x", "v"):
-        out = out.withColumn(name, F.when(F.col("_in"), F.col(name)).otherwise(F.col(f"_{name}")))
-    return out.drop("_in", "_apart", "_y", "_x", "_v")
+            details = source.where(~_outside(h, w) & _outside(low_h, low_w))
+            out = lifting.inverse_level(out.union(details), keys, kind, oy, ox).select(*names)
+    return out
 
 
 def band_of(y: Column, x: Column, height: int, width: int, levels: int) -> Column:
@@ -93,32 +104,30 @@ def region_windows(y0: int, x0: int, y1: int, x1: int, height: int, width: int,
     return out
 
 
-def region_filter(height: int, width: int, levels: int, region: tuple[int, int, int, int], kind: str = "5/3") -> Column:
-    """Which packed coefficients a region of the plane depends on: a filter to put below the inverse."""
-    y, x = F.col("y"), F.col("x")
-    dims = kernels.shapes(height, width, levels)
-    keep = F.lit(False)
-    for k, (y0, x0, y1, x1) in enumerate(region_windows(*region, height, width, levels, kind)):
-        h, w = dims[k + 1][2:]
-        in_y_low, in_x_low = (y >= y0) & (y < y1) & (y < h), (x >= x0) & (x < x1) & (x < w)
-        in_y_high, in_x_high = (y >= h + y0) & (y < h + y1), (x >= w + x0) & (x < w + x1)
-        inside = (y < dims[k][2]) & (x < dims[k][3])
-        detail = (in_y_low & in_x_high) | (in_y_high & in_x_low) | (in_y_high & in_x_high)
-        keep = keep | (inside & detail)
-        if k == levels - 1:
-            keep = keep | (in_y_low & in_x_low)
-    return keep
-
-
 def decode_region(coefficients: DataFrame, height: int, width: int, levels: int, region: tuple[int, int, int, int], keys: list[str], kind: str = "5/3") -> DataFrame:
-    """The samples of a region, from the coefficients it depends on only.
+    """The samples of a region (y0, x0, y1, x1), from the coefficients it depends on and no others.
 
-    Pruned places are filled with zeros on the low-pass grid they belong to, so that windows find their
-    neighbours; their values cannot reach the region.
+    At each level the low-pass part and the details of the level's window are put into a frame of the window's size, which
+    is inverted like a small plane; what the frame's edges falsify lies outside the next window.  The filters stand
+    on the coefficients themselves, so a scan gets them.
     """
-    kept = coefficients.where(region_filter(height, width, levels, region, kind))
-    zero = F.lit(0).cast("float") if kind == "9/7" else F.lit(0).cast("bigint")
-    grid = coefficients.select(*keys, "y", "x").join(kept, [*keys, "y", "x"], "left").withColumn("v", F.coalesce("v", zero))
-    y0, x0, y1, x1 = region
-    plain = inverse_levels(grid, height, width, levels, keys, kind)
-    return plain.where((F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1))
+    names = [*keys, "y", "x", "v"]
+    dims, windows = kernels.shapes(height, width, levels), region_windows(*region, height, width, levels, kind)
+    within = lambda c, lo, hi: (F.col(c) >= lo) & (F.col(c) < hi)
+    y0, x0, y1, x1 = region if not levels else windows[-1]
+    out = coefficients.where(within("y", y0, y1) & within("x", x0, x1)).select(*names)
+    for k in range(levels, 0, -1):
+        y0, x0, y1, x1 = windows[k - 1]
+        (_, _, h, w), (_, _, ph, pw) = dims[k], dims[k - 1]
+        high_y, high_x = (h + y0, h + min(y1, ph - h)), (w + x0, w + min(x1, pw - w))
+        in_y, in_x = within("y", y0, y1), within("x", x0, x1)
+        details = coefficients.where((in_y & within("x", *high_x)) | (within("y", *high_y) & in_x) | (within("y", *high_y) & within("x", *high_x))).select(*names)
+        # packed places of the frame: its low-pass places first
+        framed = lambda c, size, lo, hi: F.when(F.col(c) < size, F.col(c) - lo).otherwise(F.col(c) - size - lo + (hi - lo))
+        low = out.withColumn("y", F.col("y") - y0).withColumn("x", F.col("x") - x0)
+        frame = low.union(details.withColumn("y", framed("y", h, y0, y1)).withColumn("x", framed("x", w, x0, x1)))
+        made = lifting.inverse_level(frame, keys, kind)
+        top, left, bottom, right = region if k == 1 else windows[k - 2]
+        made = made.withColumn("y", F.col("y") + 2 * y0).withColumn("x", F.col("x") + 2 * x0).select(*names)
+        out = made.where(within("y", top, bottom) & within("x", left, right))
+    return out

@@ -113,7 +113,7 @@ def pcrd_threshold(spark, d):
 
 @query(
     "truncation_backoff",
-    f"""WITH {PASSES}, q AS (SELECT block_id, pass_count - 1 AS req, CASE WHEN pass_count > 3 THEN 1 ELSE 0 END AS bp, byte_length FROM blocks),
+    f"""WITH {PASSES.replace('passes AS (', 'passes AS MATERIALIZED (')}, q AS MATERIALIZED (SELECT block_id, pass_count - 1 AS req, CASE WHEN pass_count > 3 THEN 1 ELSE 0 END AS bp, byte_length FROM blocks),
     qq AS (SELECT q.*, coalesce(p.cum_bytes, 0) AS bb FROM q LEFT JOIN passes p ON p.block_id = q.block_id AND p.pass_index = q.bp),
     ok AS (SELECT qq.block_id, max(p.pass_index) AS passes, max(p.cum_bytes) AS bytes FROM qq JOIN passes p ON p.block_id = qq.block_id WHERE p.pass_index <= req AND p.pass_index > bp AND p.cum_bytes > bb AND p.cum_bytes < byte_length GROUP BY 1)
     SELECT qq.block_id, CAST(coalesce(passes, bp) AS BIGINT) AS passes, CAST(coalesce(bytes, bb) AS BIGINT) AS bytes FROM qq LEFT JOIN ok USING (block_id)""",

@@ -18,6 +18,7 @@ from ..functions import curves
 from ..operators import geometry, t2
 from ..plans import codec
 from ..rasters import embedding_plane, rgb_events, signed_ramp, table, to_blocks, to_planes
+from ..session import scratch
 from ..sources import codestream, images, jp2, jpeg, markers, png, tiff
 from ..sources.codestream import Options
 from .codec import STRIP
@@ -670,11 +671,10 @@ def timing_summary(spark, d):
 def band_sink_tiff(spark, d):
     """The whole raster through the band sink into one TIFF, parts written where the rows are."""
     from ..streaming import bands
-    from .streams import _scratch
 
     pixels = rgb_events(spark, d)
     height = pixels.agg(F.max("y")).first()[0] + 1
-    target = _scratch(spark, "bands")
+    target = scratch(spark, "bands")
     bands.write_tiff_parts(bands.tile_rows(pixels), target, height, 100, 3)
     files = bands.assembled(spark, target)
     return images.samples_of(images.decode_images(files, kind="tif")).select(*ints(y="y", x="x", component="component", v="v"))
@@ -684,11 +684,10 @@ def band_sink_tiff(spark, d):
 def palette_band_sink(spark, d):
     """Index bands in, colour bands out."""
     from ..streaming import bands
-    from .streams import _scratch
 
     pixels = rgb_events(spark, d).withColumn("i", F.col("r") % 16)
     height = pixels.agg(F.max("y")).first()[0] + 1
-    target = _scratch(spark, "bands")
+    target = scratch(spark, "bands")
     palette = np.array([[16 * k, 255 - 16 * k, k * k] for k in range(16)])
     bands.write_tiff_parts(bands.tile_rows(pixels, ("i",)), target, height, 100, 1, palette=palette)
     return images.samples_of(images.decode_images(bands.assembled(spark, target), kind="tif")).select(*ints(y="y", x="x", component="component", v="v"))
@@ -698,9 +697,8 @@ def palette_band_sink(spark, d):
 def command_line_convert(spark, d):
     """Files of one format converted to two others in turn by the command line, in a shared folder."""
     from ..__main__ import main
-    from .streams import _scratch
 
-    base = _scratch(spark, "files")
+    base = scratch(spark, "files")
     base = base if re.match(r"[a-z0-9]+:", base) else f"file://{base}"
     images.write_files(images.encode_images(strips(spark, d, _RGB8, "rgb"), "tif"), f"{base}/tif")
     main(["convert", f"{base}/tif", f"{base}/bmp", "--to", "bmp"])
@@ -712,9 +710,8 @@ def command_line_convert(spark, d):
 def command_line_codec(spark, d):
     """Files encoded and decoded by the command line."""
     from ..__main__ import main
-    from .streams import _scratch
 
-    base = _scratch(spark, "files")
+    base = scratch(spark, "files")
     base = base if re.match(r"[a-z0-9]+:", base) else f"file://{base}"
     images.write_files(images.encode_images(strips(spark, d, _RGB8, "rgb"), "tif"), f"{base}/tif")
     main(["encode", f"{base}/tif", f"{base}/j2k", "--levels", "2", "--tile", "64x32"])
@@ -731,11 +728,11 @@ def command_line_codec(spark, d):
 def packet_counts_stream(spark, d):
     """Packets before each tile-part, counted as the parts come."""
     from ..streaming import state
-    from .streams import _finished, _scratch
+    from .streams import _finished
 
     order = Window.partitionBy("user_id").orderBy("event_id")
     parts = table(spark, d, "events").select(F.col("user_id").alias("tile"), (F.row_number().over(order) - 1).alias("part"), (1 + F.col("event_id") % 7).cast("int").alias("packets"))
-    folder = _scratch(spark, "parts")
+    folder = scratch(spark, "parts")
     parts.write.parquet(folder)
     found = _finished(spark, state.packet_counts(spark.readStream.schema(parts.schema).parquet(folder)), "append", "counts")
     return found.select(*ints(tile="tile", part="part", before="before"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import color
 from ..operators import lifting, stats
 from ..plans import wavelets
-from ..rasters import embedding_plane, rgb_events, to_blocks, to_planes, to_samples
+from ..rasters import embedding_plane, rgb_events, table, to_blocks, to_planes, to_samples
+from ..session import written
 from .registry import PLANE, RGB, ints, query, reals
 
 _A, _B, _C, _D, _K = lifting.ALPHA, lifting.BETA, lifting.GAMMA, lifting.DELTA, lifting.K
@@ -111,7 +114,8 @@ def _levels53(levels: int, heights: str, width: int) -> tuple[str, str]:
         out.append(f"p{k} AS (SELECT y, x, v FROM f{k} UNION ALL SELECT y, x, v FROM {src} WHERE NOT (y < {h} AND x < {w}))")
         src, w = f"p{k}", (w + 1) // 2
         sizes.append(f"(({h} + 1) // 2)")
-    return ",\n".join(out), src
+    # each step once, not once for every use of it
+    return re.sub(r"(\w+) AS \((?=SELECT)", r"\1 AS MATERIALIZED (", ",\n".join(out)), src
 
 
 _ML, _LAST = _levels53(3, _H, 64)
@@ -141,14 +145,23 @@ def dwt53_reduced(spark, d):
     return wavelets.inverse_levels(wavelets.forward_levels(plane, h, 64, 3, []), h, 64, 3, [], reduce=1).select(*ints(y="y", x="x", v="v"))
 
 
+@query("dwt53_checked", f"WITH {PLANE} SELECT y, x, v FROM plane")
+def dwt53_checked(spark, d):
+    """The inverse that errs where a sample leaves 32 bits: on coefficients of a plane it gives the plane."""
+    return lifting.inverse_level(lifting.forward_level(embedding_plane(spark, d), []), [], checked=True).select(*ints(y="y", x="x", v="v"))
+
+
 @query(
-    "dwt53_checked",
-    f"""WITH {PLANE}, {level53('plane', 't')} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (v NOT BETWEEN -2147483648 AND 2147483647) AS BIGINT) AS overflows, min(v) AS low, max(v) AS high FROM t""",
+    "dwt53_overflow",
+    f"""WITH {PLANE}, p AS (SELECT y, x % 2 AS x, x // 2 AS pair, v * 16777216 AS v FROM plane), q AS (SELECT y, pair, max(CASE WHEN x = 0 THEN v END) AS lo, max(CASE WHEN x = 1 THEN v END) AS hi FROM p GROUP BY 1, 2),
+    r AS (SELECT y, pair, lo - ((2 * hi + 2) >> 2) AS s, hi FROM q)
+    SELECT y, pair, s BETWEEN -2147483648 AND 2147483647 AND hi + s BETWEEN -2147483648 AND 2147483647 AS fits FROM r""",
 )
-def dwt53_checked(spark, d):
-    """Sums are 64-bit; the audit counts what a 32-bit sample could not hold."""
-    moved = lifting.forward_level(embedding_plane(spark, d), [])
-    return moved.agg(F.count("*").alias("n"), F.count_if(~F.col("v").between(-(1 << 31), (1 << 31) - 1)).alias("overflows"), F.min("v").alias("low"), F.max("v").alias("high"))
+def dwt53_overflow(spark, d):
+    """Pairs of large coefficients as lines of two: whether their inverse fits 32 bits, without the error."""
+    rows = embedding_plane(spark, d).select("y", F.expr("x div 2").alias("pair"), (F.col("x") % 2).alias("x"), (F.col("v") * 16777216).alias("v"))
+    made = lifting.inverse_53(rows, "x", ["y", "pair"])
+    return made.groupBy("y", "pair").agg(F.bool_and(lifting.fits32(F.col("v"))).alias("fits")).select(*ints(y="y", pair="pair"), "fits")
 
 
 _TILED = "tl AS (SELECT y // 32 AS ty, x // 32 AS tx, y % 32 AS y, x % 32 AS x, v FROM plane)"
@@ -199,8 +212,16 @@ _LF = """{dst}_1 AS (SELECT y, x, v::FLOAT AS v, coalesce(lag(v) OVER w0, lead(v
 
 @query("dwt53_float_line", f"WITH {PLANE}, {_LF(src='plane', dst='t')} SELECT y, CAST(x AS BIGINT) AS x, v::DOUBLE AS v FROM t")
 def dwt53_float_line(spark, d):
-    """The single-precision 5/3 line: floors of float sums, equal to the integer line on integer samples."""
-    return lifting.forward_53(embedding_plane(spark, d), "x", ["y"]).select(*ints(y="y", x="x"), *reals(v=F.col("v").cast("float")))
+    """The single-precision 5/3 line of the simple container: floors of float sums."""
+    lines = embedding_plane(spark, d).withColumn("v", F.col("v").cast("float"))
+    return lifting.forward_53_float(lines, "x", ["y"]).select(*ints(y="y", x="x"), *reals(v="v"))
+
+
+@query("dwt53_float_columns", f"WITH {PLANE}, h AS (SELECT y, x, v::FLOAT + 0.25::FLOAT * (x % 4)::FLOAT AS v FROM plane), {_LF(src='h', dst='t')} SELECT y, CAST(x AS BIGINT) AS x, v::DOUBLE AS v FROM t")
+def dwt53_float_columns(spark, d):
+    """The same on samples with fractions, where the float line is not the integer one."""
+    lines = embedding_plane(spark, d).withColumn("v", F.col("v").cast("float") + F.lit(0.25).cast("float") * (F.col("x") % 4).cast("float"))
+    return lifting.forward_53_float(lines, "x", ["y"]).select(*ints(y="y", x="x"), *reals(v="v"))
 
 
 @query("pack_unpack", "SELECT CAST(n AS BIGINT) AS n, CAST(o AS BIGINT) AS origin, CAST(i AS BIGINT) AS place, CAST(row_number() OVER (PARTITION BY n, o ORDER BY (i + o) % 2, i) - 1 AS BIGINT) AS packed, CAST((o + n + 1) // 2 - (o + 1) // 2 AS BIGINT) AS lows FROM range(1, 18) t(n), range(0, 6) u(o), range(0, 18) w(i) WHERE i < n")
@@ -213,9 +234,16 @@ def pack_unpack(spark, d):
     return out
 
 
-@query("decomposable", "SELECT CAST(l AS BIGINT) AS levels, (37 + (1 << l) - 1) // (1 << l) - (5 + (1 << l) - 1) // (1 << l) > 0 AND (29 + (1 << l) - 1) // (1 << l) - (3 + (1 << l) - 1) // (1 << l) > 0 AS possible FROM range(0, 9) t(l)")
+@query(
+    "decomposable",
+    """SELECT p_partkey AS part, CAST(l AS BIGINT) AS levels, (w + x0 + (1 << l) - 1) // (1 << l) - (x0 + (1 << l) - 1) // (1 << l) > 0 AND (h + y0 + (1 << l) - 1) // (1 << l) - (y0 + (1 << l) - 1) // (1 << l) > 0 AS possible
+    FROM (SELECT p_partkey, p_partkey % 13 AS x0, p_size % 7 AS y0, 1 + p_partkey % 37 AS w, 1 + p_size % 29 AS h FROM part), range(0, 9) t(l)""",
+)
 def decomposable(spark, d):
-    return spark.createDataFrame([(k, lifting.can_decompose(5, 3, 37, 29, k)) for k in range(9)], "levels bigint, possible boolean")
+    """Whether an area has samples left after so many levels."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("part"), *ints(x0=F.col("p_partkey") % 13, y0=F.col("p_size") % 7, w=1 + F.col("p_partkey") % 37, h=1 + F.col("p_size") % 29))
+    rows = rows.withColumn("levels", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    return rows.select("part", *ints(levels="levels"), lifting.decomposes(F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h"), F.col("levels")).alias("possible"))
 
 
 @query(
@@ -240,10 +268,10 @@ def simple_codec_roundtrip(spark, d):
 
 @query("region_through_dwt", f"WITH {PLANE} SELECT y, x, v FROM plane WHERE y >= 100 AND y < 140 AND x >= 20 AND x < 37")
 def region_through_dwt(spark, d):
-    """A region decoded from the coefficients it depends on."""
+    """A region decoded from stored coefficients: the scans read what it depends on."""
     plane = embedding_plane(spark, d)
     h = _height(plane)
-    coded = wavelets.forward_levels(plane, h, 64, 2, [])
+    coded = written(wavelets.forward_levels(plane, h, 64, 2, []), "coefficients")
     return wavelets.decode_region(coded, h, 64, 2, (100, 20, 140, 37), []).select(*ints(y="y", x="x", v="v"))
 
 

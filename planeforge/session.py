@@ -1,12 +1,13 @@
-"""Getting the package to the workers."""
+"""Getting the package to the workers, and the folder that driver and workers share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -30,3 +31,30 @@ def ship(spark: SparkSession) -> None:
                     archive.write(whole, os.path.join("planeforge", os.path.relpath(whole, root)))
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where that is unset (a local session, as in tests) a folder below the warehouse is taken.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return (root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/planeforge-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table into the shared folder and read it back: cuts lineage, survives executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Where ``checkpoint()`` writes, unless that is set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
