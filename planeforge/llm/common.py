@@ -11,13 +11,14 @@ Conventions, valid for every operator of the subpackage unless its docstring say
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -69,18 +70,6 @@ def replace_text(df: DataFrame, make: Callable[[], Callable[[list[str | None]],
     return df.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir``.  Only where that is unset (a local session, as in tests)
-    a folder below the warehouse is taken.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return root.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: cuts lineage, survives executors."""
     return Scratch(df, name).table
@@ -91,7 +80,7 @@ class Scratch:
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/planeforge-{name}-{uuid.uuid4().hex}"
+        self.path = scratch(self.spark, name)
         df.write.parquet(self.path)
         self.table = self.spark.read.schema(df.schema).parquet(self.path)
 
