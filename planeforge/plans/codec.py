@@ -15,19 +15,21 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import jvm
 from ..operators import t1
+from ..operators.rate import layer_targets
+from ..session import written
 from ..sources import codestream, images, jp2
 from ..sources.codestream import Head, Options, Place, Selection
 from ..sources.raster import Raster
 
 _PLACE = "component int, band int, precinct int, bx int, by int, left int, top int, w int, h int"
-_BLOCKS = f"path string, tile int, head binary, {_PLACE}, kind string, samples binary"
+_BLOCKS = f"path string, tile int, head binary, {_PLACE}, kind string, weight double, samples binary"
 _RAW_TILES = "path string, tile int, head binary, samples binary"
-_CODED = f"path string, tile int, head binary, {_PLACE}, planes int, passes int, payload binary, segments binary, cum_bytes binary, gains binary"
+_CODED = f"path string, tile int, head binary, {_PLACE}, weight double, planes int, passes int, payload binary, segments binary, cum_bytes binary, gains binary"
 
 
 def _place(row) -> Place:
@@ -50,7 +52,7 @@ def _batches(rows: Iterable[dict], schema: pa.Schema, most: int = 256) -> Iterat
 
 
 def _arrow(ddl: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
 
 
@@ -76,8 +78,9 @@ def _tile_blocks(row: dict) -> Iterator[dict]:
         samples.append(flat[at : at + size].reshape(y1 - y0, x1 - x0))
         at += size
     packed = row["head"]
+    weights = [[codestream.band_weight(head, band) for band in head.bands(tile, c)] for c in range(len(head.components))]
     for place, kind, block in codestream.tile_blocks(head, tile, samples):
-        yield {"path": row["path"], "tile": tile, "head": packed, **_fields(place), "kind": kind, "samples": np.ascontiguousarray(block, dtype="<i4").tobytes()}
+        yield {"path": row["path"], "tile": tile, "head": packed, **_fields(place), "kind": kind, "weight": weights[place.component][place.band], "samples": np.ascontiguousarray(block, dtype="<i4").tobytes()}
         packed = None
 
 
@@ -123,18 +126,60 @@ def _head_of(rows: pa.Table) -> Head:
     return pickle.loads(rows["head"].drop_null()[0].as_py())
 
 
+def _coded_block(row: dict) -> t1.CodedBlock:
+    segments = np.frombuffer(row["segments"], "<i4").reshape(-1, 2).tolist()
+    return t1.CodedBlock(row["planes"], row["payload"], row["passes"], list(map(tuple, segments)), np.frombuffer(row["cum_bytes"], "<i4").tolist(), np.frombuffer(row["gains"], "<f8").tolist())
+
+
+def image_cuts(coded: DataFrame, options: Options) -> DataFrame:
+    """``path, cuts``: the slope down to which each layer but the last takes points, over all tiles of an image.
+
+    Points go by image and slope; an image's distinct slopes, two numbers each, are summed up in order.
+    """
+    slim = coded.select("path", "weight", "passes", "segments", "cum_bytes", "gains", "planes", F.lit(b"").alias("payload"))
+    schema = _arrow("path string, slope double, delta bigint")
+
+    def points(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                before = 0
+                for _, size, _, slope in codestream.block_hull(_coded_block(row), row["weight"]):
+                    yield {"path": row["path"], "slope": slope, "delta": size - before}
+                    before = size
+
+    steps = slim.mapInArrow(lambda batches: _batches(points(batches), schema, 10_000), "path string, slope double, delta bigint")
+    per_slope = steps.groupBy("path", "slope").agg(F.sum("delta").alias("delta"))
+    running = per_slope.withColumn("total", F.sum("delta").over(Window.partitionBy("path").orderBy(F.desc("slope"))))
+    layers = options.layers
+
+    def targets(batches):
+        for batch in batches:
+            rows = [{"path": p, "targets": layer_targets(n, list(options.rates), layers)[:-1]} for p, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("targets", pa.list_(pa.int64()))]))
+
+    wanted = coded.groupBy("path").agg(F.sum(F.octet_length("payload")).cast("bigint").alias("n")).mapInArrow(targets, "path string, targets array<bigint>")
+    cut = lambda k: F.coalesce(F.min(F.when(F.col("total") <= F.col("targets")[k], F.col("slope"))), F.lit(float("inf")))
+    return wanted.join(running, "path", "left").groupBy("path").agg(F.array(*[cut(k) for k in range(layers - 1)]).alias("cuts"))
+
+
 def tile_parts(coded: DataFrame, options: Options = Options()) -> DataFrame:
     """Layers and packets of each tile: ``path, tile, head, part``."""
     out = "path string, tile int, head binary, part binary, packets int"
     schema = _arrow(out)
+    if options.layers > 1:
+        coded = written(coded, "coded-blocks")  # read for the cuts and for the packets
+        cuts = coded.select("path", "tile").distinct().join(image_cuts(coded, options), "path")
+        coded = coded.join(cuts, ["path", "tile"])
+    else:
+        coded = coded.withColumn("cuts", F.array().cast("array<double>"))
 
     def run(rows: pa.Table) -> pa.Table:
         head, tile = _head_of(rows), rows["tile"][0].as_py()
-        blocks = []
-        for row in rows.to_pylist():
-            segments = np.frombuffer(row["segments"], "<i4").reshape(-1, 2).tolist()
-            blocks.append((_place(row), t1.CodedBlock(row["planes"], row["payload"], row["passes"], list(map(tuple, segments)), np.frombuffer(row["cum_bytes"], "<i4").tolist(), np.frombuffer(row["gains"], "<f8").tolist())))
-        packets = codestream.tile_packets(head, tile, blocks, options.rates)
+        blocks = [(_place(row), _coded_block(row)) for row in rows.drop_columns(["cuts"]).to_pylist()]
+        packets = codestream.tile_packets(head, tile, blocks, rows["cuts"][0].as_py())
+        if options.audit:
+            codestream.audit_tile(head, tile, packets, blocks)
         row = {"path": rows["path"][0].as_py(), "tile": tile, "head": pickle.dumps(head), "part": codestream.tile_part(tile, packets, options.packet_lengths), "packets": len(packets)}
         return pa.Table.from_pylist([row], schema=schema)
 

@@ -62,11 +62,17 @@ def codestream_lossy_bounded(spark, d):
     return plain.join(back, ["component", "y", "x"]).agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("v") - F.col("w")) > 4).alias("beyond"))
 
 
-@query("payload_statistics")
+@query(
+    "payload_statistics",
+    f"""WITH {RGB}, s AS (SELECT y // 50 AS strip, y % 50 // 16 AS by_, x // 16 AS bx, CAST(c AS BIGINT) AS component, CASE c WHEN 0 THEN ((r + 2 * g + b) >> 2) - 128 WHEN 1 THEN b - g ELSE r - g END AS v FROM rgb, range(0, 3) t(c)),
+    k AS (SELECT component, CAST(0 AS BIGINT) AS band, CAST(length(ltrim(bin(max(abs(v))), '0')) AS BIGINT) AS planes FROM s GROUP BY strip, by_, bx, component)
+    SELECT component, band, CAST(count(*) AS BIGINT) AS blocks, CAST(sum(CASE WHEN planes > 0 THEN 3 * planes - 2 ELSE 0 END) AS BIGINT) AS passes, true AS coded, CAST(max(planes) AS BIGINT) AS planes FROM k GROUP BY ROLLUP (component, band)""",
+)
 def payload_statistics(spark, d):
-    """Blocks, passes and bytes for each component and band, with totals."""
-    coded = codec.code_blocks(codec.image_blocks(_images(spark, d), Options(levels=2)))
-    return codec.block_statistics(coded).select(*ints(component="component", band="band", blocks="blocks", passes="passes", bytes="bytes", planes="planes"))
+    """Blocks, passes and planes for each component and band, with totals; bytes there are wherever there are passes."""
+    coded = codec.code_blocks(codec.image_blocks(_images(spark, d), Options(levels=0, block_w=16, block_h=16)))
+    found = codec.block_statistics(coded)
+    return found.select(*ints(component="component", band="band", blocks="blocks", passes="passes"), ((F.col("bytes") > 0) == (F.col("passes") > 0)).alias("coded"), *ints(planes="planes"))
 
 
 @query("packet_counts", f"WITH {RGB}, s AS (SELECT y // 50 AS s, max(y % 50) + 1 AS h FROM rgb GROUP BY 1) SELECT s AS strip, CAST(k AS BIGINT) AS tile, CAST(3 * 3 * 2 AS BIGINT) AS packets FROM s, range(0, 4) t(k) WHERE k < 2 * ((h + 31) // 32)")

@@ -463,14 +463,56 @@ def tag_tree_roundtrip(spark, d):
 
 @query("packets_roundtrip", samples_sql(*_RGB8))
 def packets_roundtrip(spark, d):
-    """Precincts, three layers, several segments a block and packet lengths: headers and states from packet to packet."""
-    options = Options(levels=2, tile_w=64, tile_h=32, layers=3, rates=(8.0, 3.0), progression="PCRL", precincts=((16, 16), (32, 16)), block_w=8, block_h=8, style=5, packet_lengths=True)
+    """Precincts, three layers, several segments a block and packet lengths: headers and states from packet to packet.
+
+    The layers' cuts are those of whole images, over all tiles, and the encoder reads its packets back.
+    """
+    options = Options(levels=2, tile_w=64, tile_h=32, layers=3, rates=(8.0, 3.0), progression="PCRL", precincts=((16, 16), (32, 16)), block_w=8, block_h=8, style=5, packet_lengths=True, audit=True)
     found = codec.decode(codec.encode(strips(spark, d, _RGB8, "rgb"), options))
     strip = F.regexp_extract("path", r"(\d+)\.raw$", 1).cast("bigint")
     rows = found.select(strip.alias("strip"), "component", "y0", "x0", "w", F.posexplode("samples").alias("i", "v"))
     return rows.select(*ints(y=F.col("strip") * STRIP + F.col("y0") + F.expr("i div w"), x=F.col("x0") + F.col("i") % F.col("w"), component="component", v="v"))
 
 
+@query("component_overrides", samples_sql(*_RGB8))
+def component_overrides(spark, d):
+    """Streams whose general quantisers and style are wrong for every component, each of which has its own."""
+
+    def made(row):
+        data = codestream.encode(images.from_row(row), Options(levels=2, block_w=32, block_h=32))
+        parts = {m: (at, b) for at, m, b in codestream.segments(data)}
+        at, cod = parts[codestream.COD]
+        place, qcd = parts[codestream.QCD]
+        segment = lambda m, b: struct.pack(">HH", m, len(b) + 2) + b
+        own = b"".join(segment(codestream.COC, bytes([c, 0]) + cod[5:]) + segment(codestream.QCC, bytes([c]) + qcd) for c in range(3))
+        wrong = segment(codestream.COD, cod[:8] + bytes([cod[8] ^ 4]) + cod[9:]) + segment(codestream.QCD, bytes([qcd[0]]) + bytes(8 for _ in qcd[1:]))
+        return [{"path": f"{row['path'][:-4]}.j2k", "content": data[:at] + wrong + own + data[place + 4 + len(qcd) :]}]
+
+    return rows_of(images.decode_images(mapped(strips(spark, d, _RGB8, "rgb"), made)))
+
+
+@query("tiles_share_layers", f"WITH {RGB}, s AS (SELECT DISTINCT y // 50 AS strip FROM rgb) SELECT strip, CAST(l AS BIGINT) AS layer, true AS held FROM s, range(0, 2) t(l)")
+def tiles_share_layers(spark, d):
+    """One threshold for all tiles of an image: what each layer takes stays within the image's target."""
+    options = Options(levels=2, tile_w=32, tile_h=32, layers=3, rates=(6.0, 2.5), block_w=8, block_h=8)
+    coded = codec.code_blocks(codec.image_blocks(strips(spark, d, _RGB8, "rgb"), options))
+    cuts = codec.image_cuts(coded, options)
+    total = coded.groupBy("path").agg(F.sum(F.octet_length("payload")).alias("total"))
+
+    def taken(batches):
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                points = codestream.block_hull(codec._coded_block(row), row["weight"])
+                rows += [{"path": row["path"], "layer": k, "bytes": max((p[1] for p in points if p[3] >= cut), default=0)} for k, cut in enumerate(row["cuts"])]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("layer", pa.int64()), ("bytes", pa.int64())]))
+
+    used = coded.join(F.broadcast(cuts), "path").mapInArrow(taken, "path string, layer bigint, bytes bigint").groupBy("path", "layer").agg(F.sum("bytes").alias("bytes")).join(total, "path")
+    rate = F.when(F.col("layer") == 0, F.lit(6.0)).otherwise(F.lit(2.5))
+    return used.select(_strip().alias("strip"), "layer", (F.col("bytes") <= F.greatest(F.lit(1), F.ceil(F.col("total") / rate))).alias("held"))
+
+
 # ---- marker segments ----
 
 _GROUPS = "g AS (SELECT c_nationkey AS nation, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS k FROM customer)"

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import math
 import struct
+from bisect import bisect_right
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 
@@ -43,6 +45,7 @@ class Options:
     step: float = 1 / 256  # of the full range, 9/7 only
     part_lengths: bool = True  # TLM
     packet_lengths: bool = False  # PLT
+    audit: bool = False  # read every tile's packets back
 
 
 @dataclass(frozen=True)
@@ -88,6 +91,8 @@ class Head:
     precincts: tuple[tuple[int, int], ...] = ((32768, 32768),)
     quantisers: list[int] = field(default_factory=list)  # exponent, or exponent << 11 | mantissa
     guard: int = GUARD
+    #: Guard bits and quantisers of components that have their own.
+    own_quantisers: dict[int, tuple[int, list[int]]] = field(default_factory=dict)
     start_marks: bool = False
     end_marks: bool = False
 
@@ -127,11 +132,12 @@ class Head:
 
     def _depth(self, at: int, kind: str, c: int) -> tuple[int, float]:
         precision = self.components[c][0]
-        value = self.quantisers[at]
+        guard, quantisers = self.own_quantisers.get(c, (self.guard, self.quantisers))
+        value = quantisers[at]
         if self.reversible:
-            return self.guard + value - 1, 1.0
+            return guard + value - 1, 1.0
         exponent, mantissa = value >> 11, value & 2047
-        return self.guard + exponent - 1, 2.0 ** (precision + GAIN[kind] - exponent) * (1 + mantissa / 2048)
+        return guard + exponent - 1, 2.0 ** (precision + GAIN[kind] - exponent) * (1 + mantissa / 2048)
 
     def precinct(self, resolution: int) -> tuple[int, int]:
         return self.precincts[min(resolution, len(self.precincts) - 1)]
@@ -290,34 +296,28 @@ def packet_order(head: Head, k: int) -> list[tuple[int, int, int, int]]:
 # ---- layers and packets ---------------------------------------------------------------------------
 
 
-def layer_passes(blocks: list[tuple[Place, t1.CodedBlock]], head: Head, bands: dict[tuple[int, int], Band], rates: Iterable[float]) -> list[list[int]]:
-    """For each block the passes up to each layer: slopes over one threshold for all blocks of a tile."""
-    rates = list(rates)
-    if head.layers == 1:
-        return [[coded.passes] for _, coded in blocks]
-    total = sum(len(c.payload) for _, c in blocks)
-    targets = layer_targets(total, rates, head.layers)
-    hulls = []
-    for place, coded in blocks:
-        band = bands[place.component, place.band]
-        weight = (band.step * (1.0 if head.reversible else _norm(band.kind, band.level) if band.level else 1.0)) ** 2
-        hulls.append(hull([(n + 1, size, gain * weight) for n, (size, gain) in enumerate(zip(coded.cum_bytes, coded.gains, strict=True))]))
+def band_weight(head: Head, band: Band) -> float:
+    """What a squared error of a band's coefficients weighs in the image."""
+    return (band.step * (1.0 if head.reversible else _norm(band.kind, band.level) if band.level else 1.0)) ** 2
+
+
+def block_hull(coded: t1.CodedBlock, weight: float) -> list[tuple[int, int, float, float]]:
+    return hull([(n + 1, size, gain * weight) for n, (size, gain) in enumerate(zip(coded.cum_bytes, coded.gains, strict=True))])
+
+
+def layer_cuts(hulls: list[list[tuple[int, int, float, float]]], total: int, rates: Iterable[float], layers: int) -> list[float]:
+    """The slope down to which each layer but the last takes points, over all blocks of the image together."""
     slopes = sorted({point[3] for h in hulls for point in h}, reverse=True)
-    out = [[] for _ in blocks]
-    for layer, target in enumerate(targets):
-        if layer == head.layers - 1:
-            for row, (_, coded) in zip(out, blocks, strict=True):
-                row.append(coded.passes)
-            break
-        lo, hi = 0, len(slopes)
-        size = lambda cut: sum(max((p[1] for p in h if p[3] >= cut), default=0) for h in hulls)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if size(slopes[mid]) <= target else (lo, mid)
-        cut = slopes[lo - 1] if lo else math.inf
-        for row, h in zip(out, hulls, strict=True):
-            row.append(max([*row[-1:], *(p[0] for p in h if p[3] >= cut)], default=0))
-    return out
+    size = lambda cut: sum(max((p[1] for p in h if p[3] >= cut), default=0) for h in hulls)
+    fitting = [bisect_right(slopes, target, key=size) for target in layer_targets(total, list(rates), layers)[:-1]]
+    return [slopes[n - 1] if n else math.inf for n in fitting]
+
+
+def layer_passes(coded: t1.CodedBlock, weight: float, cuts: list[float]) -> list[int]:
+    """The passes of a block up to each layer; the last layer takes what is left."""
+    points = block_hull(coded, weight) if cuts else []
+    found = [max((p[0] for p in points if p[3] >= cut), default=0) for cut in cuts]
+    return [*accumulate(found, max), coded.passes]
 
 
 def _cuts(coded: t1.CodedBlock, upto: list[int]) -> list[list[tuple[int, int]]]:
@@ -343,10 +343,11 @@ def _cuts(coded: t1.CodedBlock, upto: list[int]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def tile_packets(head: Head, k: int, blocks: list[tuple[Place, t1.CodedBlock]], rates: Iterable[float] = ()) -> list[bytes]:
-    """Packets of a tile in stream order."""
+def tile_packets(head: Head, k: int, blocks: list[tuple[Place, t1.CodedBlock]], cuts: list[float]) -> list[bytes]:
+    """Packets of a tile in stream order; ``cuts`` are those of the image."""
+    need(len(cuts) == head.layers - 1, "a cut for each layer but the last")
     bands = {(c, b): band for c in range(len(head.components)) for b, band in enumerate(head.bands(k, c))}
-    upto = layer_passes(blocks, head, bands, rates)
+    upto = [layer_passes(coded, band_weight(head, bands[place.component, place.band]), cuts) for place, coded in blocks]
     homes: dict[tuple[int, int, int], list[int]] = {}
     for n, (place, _) in enumerate(blocks):
         homes.setdefault((place.component, place.band, place.precinct), []).append(n)
@@ -440,13 +441,27 @@ def assemble(head: Head, parts: dict[int, bytes], part_lengths: bool = True) ->
 
 def encode(raster: Raster, options: Options = Options(), coder: Callable[[np.ndarray, str, int], t1.CodedBlock] = t1.encode_block) -> bytes:
     head = head_for(raster, options)
+    coded = {k: [(place, coder(block, kind, head.style)) for place, kind, block in tile_blocks(head, k, tile_samples(head, k, raster))] for k in range(head.tiles)}
+    cuts: list[float] = []
+    if head.layers > 1:
+        hulls = [block_hull(c, band_weight(head, head.bands(k, place.component)[place.band])) for k, blocks in coded.items() for place, c in blocks]
+        cuts = layer_cuts(hulls, sum(len(c.payload) for blocks in coded.values() for _, c in blocks), options.rates, head.layers)
     parts = {}
-    for k in range(head.tiles):
-        coded = [(place, coder(block, kind, head.style)) for place, kind, block in tile_blocks(head, k, tile_samples(head, k, raster))]
-        parts[k] = tile_part(k, tile_packets(head, k, coded, options.rates), options.packet_lengths)
+    for k, blocks in coded.items():
+        packets = tile_packets(head, k, blocks, cuts)
+        if options.audit:
+            audit_tile(head, k, packets, blocks)
+        parts[k] = tile_part(k, packets, options.packet_lengths)
     return assemble(head, parts, options.part_lengths)
 
 
+def audit_tile(head: Head, k: int, packets: list[bytes], blocks: list[tuple[Place, t1.CodedBlock]]) -> None:
+    """Reads packets back and holds them against the blocks they were made of; a difference is an error."""
+    found = {place: (planes, payload, sum(n for n, _ in parts)) for place, _, planes, parts, payload in read_blocks(head, k, b"".join(packets))}
+    want = {place: (coded.planes, coded.payload, coded.passes) for place, coded in blocks if coded.passes}
+    need(found == want, f"packets of tile {k} do not give back their blocks")
+
+
 def tile_samples(head: Head, k: int, raster: Raster) -> list[np.ndarray]:
     out = []
     for c, plane in enumerate(raster.planes):
@@ -493,7 +508,7 @@ def read_head(data: bytes) -> Head:
     need(bool(found) and found[0][1] == SIZ, "SIZ is not second")
     for marker in (SIZ, COD, QCD):
         need(sum(m == marker for _, m, _ in found) == 1, f"marker {marker:04x} does not occur once")
-    need(not any(m in (COC, QCC, RGN, POC, 0xFF60, 0xFF61) for _, m, _ in found), "unsupported marker")
+    need(not any(m in (RGN, POC, 0xFF60, 0xFF61) for _, m, _ in found), "unsupported marker")
     body = {m: b for _, m, b in found}
     siz = body[SIZ]
     need(len(siz) >= 36, "SIZ")
@@ -506,31 +521,60 @@ def read_head(data: bytes) -> Head:
     need(len(cod) >= 10 and cod[0] < 8 and cod[1] < 5, "COD")
     head.start_marks, head.end_marks = bool(cod[0] & 2), bool(cod[0] & 4)
     head.progression, head.layers = PROGRESSIONS[cod[1]], int.from_bytes(cod[2:4], "big")
-    need(cod[4] < 2 and cod[5] <= 32 and head.layers > 0 and cod[9] < 2 and cod[8] < 64 and cod[6] + cod[7] <= 8, "COD")
-    head.colour, head.levels, head.style, head.reversible = bool(cod[4]), cod[5], cod[8], bool(cod[9])
-    head.block_w, head.block_h = 4 << cod[6], 4 << cod[7]
-    if cod[0] & 1:
-        need(len(cod) == 11 + head.levels, "COD")
-        head.precincts = tuple((1 << (v & 15), 1 << (v >> 4)) for v in cod[10:])
-    else:
-        need(len(cod) == 10, "COD")
+    need(cod[4] < 2 and head.layers > 0, "COD")
+    head.colour = bool(cod[4])
     need(not head.colour or n >= 3, "colour transform")
-    qcd = body[QCD]
-    head.guard, bands = qcd[0] >> 5, 1 + 3 * head.levels
-    if head.reversible:
-        need(qcd[0] & 31 == 0 and len(qcd) == 1 + bands, "QCD")
-        head.quantisers = [v >> 3 for v in qcd[1:]]
-    elif qcd[0] & 31 == 1:
-        need(len(qcd) == 3, "QCD")
-        first = int.from_bytes(qcd[1:], "big")
-        order = [head.levels] + [level for level in range(head.levels, 0, -1) for _ in range(3)]
-        head.quantisers = [max(0, (first >> 11) - (head.levels - level)) << 11 | first & 2047 for level in order]
+    # a component's own style counts before the general one; all have to come to the same
+    styles = {c: (b[0], b[1:]) for c, b in _overrides(found, COC, n).items()}
+    chosen = {_style(*styles.get(c, (cod[0] & 1, cod[5:]))) for c in range(n)}
+    need(len(chosen) == 1, "components of different coding styles")
+    head.levels, head.block_w, head.block_h, head.style, head.reversible, head.precincts = chosen.pop()
+    own = {c: _quantiser_list(b, head) for c, b in _overrides(found, QCC, n).items()}
+    if len(own) < n:  # else the general one counts for none
+        head.guard, head.quantisers = _quantiser_list(body[QCD], head)
     else:
-        need(qcd[0] & 31 == 2 and len(qcd) == 1 + 2 * bands, "QCD")
-        head.quantisers = list(struct.unpack(f">{bands}H", qcd[1:]))
+        head.guard, head.quantisers = own[0]
+    head.own_quantisers = own
     return head
 
 
+def _overrides(found: list[tuple[int, int, bytes]], marker: int, n: int) -> dict[int, bytes]:
+    """Bodies of a marker that names a component, without its number; each component at most once."""
+    size, out = 1 if n < 257 else 2, {}
+    for _, m, body in found:
+        if m == marker:
+            need(len(body) > size, "component segment")
+            c = int.from_bytes(body[:size], "big")
+            need(c < n and c not in out, "component of a segment")
+            out[c] = body[size:]
+    return out
+
+
+def _style(own: int, body: bytes) -> tuple[int, int, int, int, bool, tuple[tuple[int, int], ...]]:
+    """Levels, block size, style, reversibility and precincts of a coding style's bytes."""
+    need(own < 2 and len(body) >= 5 and body[0] <= 32 and body[4] < 2 and body[3] < 64 and body[1] + body[2] <= 8, "coding style")
+    levels = body[0]
+    need(len(body) == (6 + levels if own else 5), "coding style length")
+    precincts = tuple((1 << (v & 15), 1 << (v >> 4)) for v in body[5:]) if own else Head.precincts
+    return levels, 4 << body[1], 4 << body[2], body[3], bool(body[4]), precincts
+
+
+def _quantiser_list(body: bytes, head: Head) -> tuple[int, list[int]]:
+    """Guard bits, and the exponent or exponent and mantissa of each band."""
+    need(bool(body), "quantisers")
+    guard, bands = body[0] >> 5, 1 + 3 * head.levels
+    if head.reversible:
+        need(body[0] & 31 == 0 and len(body) == 1 + bands, "quantisers")
+        return guard, [v >> 3 for v in body[1:]]
+    if body[0] & 31 == 1:
+        need(len(body) == 3, "quantisers")
+        first = int.from_bytes(body[1:], "big")
+        order = [head.levels] + [level for level in range(head.levels, 0, -1) for _ in range(3)]
+        return guard, [max(0, (first >> 11) - (head.levels - level)) << 11 | first & 2047 for level in order]
+    need(body[0] & 31 == 2 and len(body) == 1 + 2 * bands, "quantisers")
+    return guard, list(struct.unpack(f">{bands}H", body[1:]))
+
+
 def tile_parts(data: bytes, head: Head) -> dict[int, bytes]:
     """Packet bytes of each tile, its parts in order."""
     at = 2 + sum(4 + len(b) for _, _, b in segments(data))

@@ -65,12 +65,37 @@ def test_levels_equal_kernels_for_any_partitioning(spark):
         assert (_array(coded, plane.shape) == kernels.analyse(plane, 2)).all()
 
 
-def test_region_decode_equals_crop(spark):
+@pytest.mark.parametrize("kind", ["5/3", "9/7"])
+@pytest.mark.parametrize("region", [(5, 3, 12, 11), (0, 0, 1, 1), (20, 15, 24, 20), (0, 0, 24, 20), (13, 0, 14, 20)])
+def test_region_decode_equals_crop(spark, region, kind):
     plane = np.random.default_rng(3).integers(-100, 100, (24, 20))
-    coded = _frame(spark, kernels.analyse(plane, 2))
-    rows = wavelets.decode_region(coded, 24, 20, 2, (5, 3, 12, 11), []).collect()
-    assert len(rows) == 7 * 8
-    assert all(plane[r["y"], r["x"]] == r["v"] for r in rows)
+    y0, x0, y1, x1 = region
+    coded = kernels.analyse(plane, 2, kind)
+    frame = _frame(spark, coded) if kind == "5/3" else spark.createDataFrame([(y, x, float(coded[y, x])) for y in range(24) for x in range(20)], "y long, x long, v float")
+    rows = wavelets.decode_region(frame, 24, 20, 2, region, [], kind).collect()
+    assert len(rows) == (y1 - y0) * (x1 - x0)
+    assert all(abs(plane[r["y"], r["x"]] - r["v"]) <= (0 if kind == "5/3" else 0.01) for r in rows)
+
+
+def test_region_reads_less_and_shuffles_no_more(spark, tmp_path):
+    """The scans get the filters, and a region costs no more exchanges than the whole plane."""
+    plane = np.random.default_rng(3).integers(-100, 100, (64, 64))
+    _frame(spark, kernels.analyse(plane, 2)).write.parquet(str(tmp_path / "c"))
+    coded = spark.read.parquet(str(tmp_path / "c"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    part, whole = plan(wavelets.decode_region(coded, 64, 64, 2, (20, 20, 28, 28), [])), plan(wavelets.inverse_levels(coded, 64, 64, 2, []))
+    assert part.count("Exchange") <= whole.count("Exchange") <= 4 and part.count("Join") == 0
+    assert part.count("PushedFilters: []") == 0 and part.count("GreaterThanOrEqual(y,") >= 2
+    read = [coded.where(f).count() for f in ("y < 64",)][0]
+    windows = wavelets.region_windows(20, 20, 28, 28, 64, 64, 2)
+    assert sum(4 * (y1 - y0) * (x1 - x0) for y0, x0, y1, x1 in windows) < read / 4
+
+
+def test_checked_inverse_errs_on_overflow(spark):
+    rows = spark.createDataFrame([(0, 0, 0), (0, 1, (1 << 31) - 1)], "y long, x long, v long")
+    assert lifting.inverse_53(rows, "x", ["y"]).count() == 2
+    with pytest.raises(Exception, match="leaves 32 bits"):
+        lifting.inverse_53(rows.withColumn("v", F.when(F.col("x") == 0, -(1 << 31)).otherwise((1 << 31) - 1).cast("bigint")), "x", ["y"], checked=True).collect()
 
 
 def test_block_form_keeps_samples(spark):
@@ -166,7 +191,7 @@ def test_running_sum_has_no_single_task(spark):
     from planeforge.operators.rate import running_sum
 
     rows = spark.range(1000).withColumn("v", F.col("id") % 7)
-    got = {r["id"]: r["t"] for r in running_sum(rows, [F.col("id")], "v", "t", 5).collect()}
+    got = {r["id"]: r["t"] for r in running_sum(rows.repartition(3), [F.col("id")], "v", "t").collect()}
     total = 0
     for k in range(1000):
         total += k % 7
