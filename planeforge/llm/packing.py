@@ -1,14 +1,15 @@
 """Vector bin packing of token sequences (operator 1).
 
 A sequence is a bin with three capacities: tokens, segments, and tokens that bear loss.  An example
-is cut into parts of at most half a bin, which wait in a pool of bounded size.  A bin is
-filled by the dot-product heuristic: of the parts that fit, it takes the one with the largest dot
+is cut into parts that reach a capacity by themselves, and a rest.  What does not fill a bin waits in a pool of bounded
+size.  A bin is filled by the dot-product heuristic: of the parts that fit, it takes the one with the largest dot
 product of its vector (tokens, one segment, loss) and the bin's remaining capacities, all in units of the
 capacities.  When none fits and room is left, the part of which most fits is cut to fill it.  A bin that
 cannot be filled is cut to a power of two, and what is cut off goes back to the pool; so no sequence needs padding.
 
-A plain document is taken as an instruction example: the first half of its ids (rounded up) is the prompt,
-which bears no loss, the rest is the answer, which does.
+A plain document is taken as instruction data whose lines are turns: the first line is a prompt, the next one its answer,
+and so on.  Ids of the even lines (counted from 0; an id belongs to the line it begins in) bear no loss, those of the
+odd lines do.
 
 Each task packs the documents it reads.  There is no shuffle, a task holds ``pool`` rests at most,
 and a task that is run again gives the same sequences.
@@ -92,12 +93,13 @@ class VectorPacker:
         self._next = self.first_id
 
     def add(self, rest: Rest) -> None:
-        """Cut into parts of half a bin at most; bins are filled while the pool holds too many."""
+        """Cut where a capacity is reached; bins are filled while the pool holds too many."""
         limits = self.limits
-        half = max(1, limits.tokens // 2), max(1, limits.loss // 2)
         while len(rest.ids):
-            at = rest.fitting(*half)
-            part, rest = rest.cut(at) if at < len(rest.ids) else (rest, rest.cut(at)[1])
+            part, rest = rest.cut(rest.fitting(limits.tokens, limits.loss))
+            if len(part.ids) == limits.tokens:
+                self._emit([part])
+                continue
             self._keep(part)
             while self._n > self.pool:
                 self._fill()
@@ -208,6 +210,10 @@ class VocabularyEncoder:
         letters = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
         ranks = {bytes(map(letters.__getitem__, token)): rank for token, rank in found["model"]["vocab"].items() if token not in special}
         self._special = tuple(special)
+        #: Line breaks in each token.
+        self._breaks = np.zeros(1 + max([*ranks.values(), *special.values()]), dtype=np.int32)
+        for token, rank in ranks.items():
+            self._breaks[rank] = token.count(b"\n")
         self._encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(self, text: str) -> np.ndarray:
@@ -215,6 +221,11 @@ class VocabularyEncoder:
             return np.array(self._encoding.encode(text, allowed_special="all"), dtype=np.uint32)
         return np.array(self._encoding.encode_ordinary(text), dtype=np.uint32)
 
+    def odd_lines(self, ids: np.ndarray) -> np.ndarray:
+        """Which ids begin in an odd line."""
+        breaks = self._breaks[ids]
+        return (np.cumsum(breaks) - breaks) % 2 == 1
+
 
 _ENCODERS: dict[tuple[str, str], VocabularyEncoder] = {}
 
@@ -241,8 +252,7 @@ def pack_documents(
 ) -> DataFrame:
     """Pack whole texts; returns the pieces (``PIECES``), every id in exactly one of them.
 
-    A document is its ids and ``end_id``, so null and empty texts are one id long, which bears no loss.  Of ``n`` ids
-    the first ``n - n // 2`` bear no loss.  Repeated rows are packed as often as they occur.  No rows: no pieces.
+    A document is its ids and ``end_id``, so null and empty texts are one id long, which bears no loss.  Repeated rows are packed as often as they occur.  No rows: no pieces.
     """
     import public_tokenizers
 
@@ -255,7 +265,7 @@ def pack_documents(
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.concatenate([encoder.ids(text), end]) if text else end
-                packer.add(Rest(doc, 0, ids, len(ids), np.arange(len(ids)) >= len(ids) - len(ids) // 2))
+                packer.add(Rest(doc, 0, ids, len(ids), encoder.odd_lines(ids)))
             if len(packer.rows) > 20_000:
                 yield _output(packer.take_rows())
         packer.finish()
