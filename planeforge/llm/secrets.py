@@ -39,8 +39,8 @@ SENSITIVE = {
     "signature": 0.4, "salt": 0.4, "session": 0.3, "cookie": 0.3, "dsn": 0.6,
 }
 
-#: Without one of these a text has no sensitive target.
-_SENSITIVE_WORD = re.compile("|".join(sorted(SENSITIVE)) + "|api.?key", re.IGNORECASE | re.ASCII)
+#: Without one of these a text has no sensitive target: a word of one in a name that is given something, or in a tag.
+_TARGET = re.compile(rf"""(?:{"|".join(sorted(SENSITIVE))})[\w.$-]*+["'`]*+[\x20\t]*+(?::|=)|<[A-Za-z_][\w.:-]*""", re.IGNORECASE | re.ASCII)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -116,7 +116,8 @@ def lexed_spans(text: str, params: SecretParams = SecretParams()) -> list[tuple[
     A target's constants are those assigned before it; names without one by then take the last one assigned behind.
     The parts of a value that is put together are scored together; constants of which a value is made, each by itself.
     """
-    if not _SENSITIVE_WORD.search(text):
+    folded = text.lower()
+    if not any(word in folded for word in SENSITIVE) or not _TARGET.search(text):
         return []
     found: list[tuple[int, int, str]] = []
     known: dict[str, list[_Known]] = {}  # by name, the innermost block's last
