@@ -42,22 +42,35 @@ def sigmoid(x):
 def fit_logistic(ids: list[np.ndarray], scale: np.ndarray, y: np.ndarray, rounds: int = 120, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on binary features times ``scale``; returns weights and intercept.
 
-    Full-batch gradient descent with Nesterov momentum; nothing in it is random.
+    Full-batch gradient descent with Nesterov momentum; nothing in it is random.  Rows are gone through a chunk at a
+    time, so beside the ids memory holds one chunk's numbers.
     """
-    every = np.concatenate(ids)
-    used = np.flatnonzero(np.bincount(every, minlength=len(scale)))
+    counts = np.zeros(len(scale), dtype=np.int64)
+    for x in ids:
+        counts[x] += 1
+    used = np.flatnonzero(counts)
     places = np.zeros(len(scale), dtype=np.int32)
     places[used] = np.arange(len(used), dtype=np.int32)
-    flat = places[every]
-    starts = np.cumsum([0] + [len(x) for x in ids[:-1]])
+    sizes = np.array([len(x) for x in ids])
+    chunks, at = [], 0
+    while at < len(ids):
+        end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), 500_000, side="right")) + at)
+        chunks.append((at, end, np.concatenate([places[x] for x in ids[at:end]]), np.r_[0, np.cumsum(sizes[at : end - 1])]))
+        at = end
     value = scale[used].astype(np.float32)
-    norm = float(np.add.reduceat(np.square(value)[flat], starts).mean()) + 1.0
+
+    def sums(per_feature: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.add.reduceat(per_feature[flat], starts) for _, _, flat, starts in chunks])
+
+    norm = float(sums(np.square(value)).mean()) + 1.0
     rate, w, b = 4.0 / norm, np.zeros(len(used), dtype=np.float32), 0.0
     lead_w, lead_b, last_w, last_b = w, b, w, b
-    rows = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
     for k in range(rounds):
-        gap = sigmoid(np.add.reduceat((lead_w * value)[flat], starts) + lead_b) - y
-        slope = np.bincount(flat, weights=gap[rows], minlength=len(used)) * value / len(ids) + decay * lead_w
+        gap = sigmoid(sums(lead_w * value) + lead_b) - y
+        slope = np.zeros(len(used))
+        for first, end, flat, _ in chunks:
+            slope += np.bincount(flat, weights=np.repeat(gap[first:end], sizes[first:end]), minlength=len(used))
+        slope = slope * value / len(ids) + decay * lead_w
         w, b = (lead_w - rate * slope).astype(np.float32), lead_b - rate * float(gap.mean())
         push = k / (k + 3.0)
         lead_w, lead_b = w + push * (w - last_w), b + push * (b - last_b)

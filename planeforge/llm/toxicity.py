@@ -127,7 +127,9 @@ def sampled_texts(docs: DataFrame, marks: DataFrame, counts: tuple[int, int], pa
 def _fit(ids: list[np.ndarray], y: np.ndarray, params: ToxicityParams) -> tuple[np.ndarray, float]:
     """Log-count ratios, then the regression; weights hold the ratios."""
     width = 1 << params.bits
-    seen = [np.bincount(np.concatenate([x for x, t in zip(ids, y, strict=True) if t == label]), minlength=width) for label in (0, 1)]
+    seen = [np.zeros(width, dtype=np.int64) for _ in (0, 1)]
+    for x, t in zip(ids, y, strict=True):
+        seen[int(t)][x] += 1
     keep = seen[0] + seen[1] >= params.least_rows
     log = [np.log((s + params.smoothing) / ((y == label).sum() + 2 * params.smoothing)) for label, s in enumerate(seen)]
     ratio = np.where(keep, log[1] - log[0], 0.0)
