@@ -11,6 +11,7 @@ Conventions, valid for every operator of the subpackage unless its docstring say
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -38,6 +39,21 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function, after which a worker hands free memory back to the system: workers outlive their tasks."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def map_arrow(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
@@ -51,7 +67,7 @@ def map_arrow(
             if batch.num_rows:
                 yield step(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def replace_text(df: DataFrame, make: Callable[[], Callable[[list[str | None]], list[str | None]]], text_col: str = "text") -> DataFrame:
@@ -67,7 +83,7 @@ def replace_text(df: DataFrame, make: Callable[[], Callable[[list[str | None]],
                 columns[place] = pa.array(step(columns[place].to_pylist()), pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc, map_arrow, text_bytes
+from .common import id_crc, lean, map_arrow, text_bytes
 from .linear import fit_svm, gram_ids, sigmoid
 
 UNKNOWN = "und"
@@ -130,7 +130,7 @@ def fit_languages(labelled: DataFrame, params: LanguageParams = LanguageParams()
                 x = [features(t, params).astype("<f4").tobytes() for t in text_bytes(part.column(2))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.binary())], names=["lang", "h", "x"])
 
-    described = sampled_texts(labelled, params.sample_per_language).mapInArrow(run, "lang string, h long, x binary")
+    described = sampled_texts(labelled, params.sample_per_language).mapInArrow(lean(run), "lang string, h long, x binary")
     once = described.groupBy("lang", "h").agg(F.min("x").alias("x"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
     got = once.withColumn("_rank", rank).where(F.col("_rank") <= params.sample_per_language).collect()

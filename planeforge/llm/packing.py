@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text
+from .common import doc_text, lean
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
@@ -272,7 +272,7 @@ def pack_documents(
         if packer.rows:
             yield _output(packer.take_rows())
 
-    return df.select(*doc_text(id_col, text_col)).mapInArrow(run, PIECES)
+    return df.select(*doc_text(id_col, text_col)).mapInArrow(lean(run), PIECES)
 
 
 def pack_examples(df: DataFrame, limits: Limits = Limits(), pool: int = 1024) -> DataFrame:
@@ -298,7 +298,7 @@ def pack_examples(df: DataFrame, limits: Limits = Limits(), pool: int = 1024) ->
             yield _output(packer.take_rows())
 
     shaped = df.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>"), F.col("bears").cast("array<boolean>"))
-    return shaped.mapInArrow(run, PIECES)
+    return shaped.mapInArrow(lean(run), PIECES)
 
 
 def pack_conversations(df: DataFrame, tokenizer_path: str | None = None, limits: Limits = Limits(), end_id: int = 0, trained_roles: tuple[str, ...] = ("assistant",), pool: int = 1024) -> DataFrame:
@@ -326,4 +326,4 @@ def pack_conversations(df: DataFrame, tokenizer_path: str | None = None, limits:
             yield _output(packer.take_rows())
 
     shaped = df.select(F.col("conv_id").cast("long"), F.col("role").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return shaped.mapInArrow(run, PIECES)
+    return shaped.mapInArrow(lean(run), PIECES)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, doc_text, fold_case, free_name, map_arrow, tasks_for, text_bytes, written
+from .common import Scratch, doc_text, fold_case, free_name, lean, map_arrow, tasks_for, text_bytes, written
 
 WIDTH = 64
 
@@ -232,7 +232,7 @@ def fingerprint_links(codes: DataFrame, radius: int = 3, group: int = 20_000, ro
         .select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         .select((F.col("key") * 65536 + F.col("part")).alias("key"), "fp", (F.col("own") == F.col("part")).alias("asks"))
     )
-    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(radius, rows_at_once), "a long, b long").distinct()
+    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_linked(radius, rows_at_once)), "a long, b long").distinct()
 
 
 def contract(edges: DataFrame) -> DataFrame:

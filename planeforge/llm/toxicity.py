@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_text, fold_case, id_crc, map_arrow, text_bytes
+from .common import doc_text, fold_case, id_crc, lean, map_arrow, text_bytes
 from .linear import char_gram_ids, fit_logistic, sigmoid
 
 
@@ -120,7 +120,7 @@ def sampled_texts(docs: DataFrame, marks: DataFrame, counts: tuple[int, int], pa
 
     few = marks.sparkSession.createDataFrame([(r["doc_id"], r["h"], r["toxic"]) for r in chosen], "doc_id long, h long, toxic int")
     rows = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(few), ["doc_id", "h"]).select("toxic", "h", "text")
-    once = rows.mapInArrow(run, "toxic int, h long, ids binary").groupBy("toxic", "h").agg(F.min("ids").alias("ids"))
+    once = rows.mapInArrow(lean(run), "toxic int, h long, ids binary").groupBy("toxic", "h").agg(F.min("ids").alias("ids"))
     return sorted((r["toxic"], bytes(r["ids"])) for r in once.collect())
 
 
@@ -170,4 +170,4 @@ def drop_toxic(df: DataFrame, model: ToxicityModel, threshold: float = 0.5, text
                 keep = [own.score(t or b"", flags) < threshold for t in text_bytes(batch.column(place))]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
