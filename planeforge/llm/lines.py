@@ -56,7 +56,9 @@ def _key(df: DataFrame, id_col: str, text_col: str) -> Column:
 def _lines(df: DataFrame, depth: int, least_words: int, id_col: str, text_col: str) -> DataFrame:
     """``doc, body, pos, masked, leaf`` for each line that is not blank; lines too short for a leaf have a null one."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = df.select(_key(df, id_col, text_col).alias("doc"), F.xxhash64(text).alias("body"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    # hashed below the explosion, once a text and not once a line
+    rows = df.select(_key(df, id_col, text_col).alias("doc"), F.xxhash64(text).alias("body"), F.split(text, "\n").alias("lines"))
+    rows = rows.select("doc", "body", F.posexplode("lines").alias("pos", "line"))
     rows = rows.select("doc", "body", "pos", _masked(F.col("line")).alias("masked")).where("masked <> ''")
     width = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     return rows.withColumn("leaf", F.when(width >= least_words, F.xxhash64(width, F.substring_index("masked", " ", depth))))
