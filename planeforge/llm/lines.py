@@ -30,7 +30,7 @@ _VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 MOST_BROADCAST = 500_000
 #: Parts into which the rows of one line or template are dealt.
 SALTS = 16
-#: So many open lines of a key are compared with each other in a round.
+#: So many open lines of a key are compared with each other in the first round.
 FIRSTS = 32
 #: Parts into which rows with the same id and text are dealt.
 ROW_SALTS = 4
@@ -105,9 +105,12 @@ def _all_merged(worded: DataFrame, depth: int, similarity: float, most_pairs: in
 
     By their digests in rising order, a line is a lead if it agrees with no lead before it, and falls under the
     first lead that it agrees with otherwise.  What agrees has a key in common.  A line is open until it is known to be
-    a lead or to fall under one.  In a round, the first ``FIRSTS`` open lines of each key are compared: a line that is
-    among them at all of its keys and agrees with none before it is a lead, and all lines of its keys are held against
-    it.  When the pairs with open lines are few enough, they are made, and the rest is told by those that agree.
+    a lead or to fall under one; ``least`` is the line itself, then the first lead so far that it falls under, and null
+    for a lead, so that no line is held against what cannot come before its lead.  In a round, the first open lines of
+    each key (``FIRSTS``, in each round twice as many) are compared: a line that is among them at all of its keys and
+    agrees with none before it is a lead, and the lines of its keys are held against it.  When the pairs with open lines
+    are few enough (``most_pairs``, and ``FIRSTS`` for each line at a key), they are made, and the rest is told by those
+    that agree.
     """
     lines = worded.select("a", F.split("masked", " ").alias("words"))
     spark = worded.sparkSession
@@ -120,24 +123,28 @@ def _all_merged(worded: DataFrame, depth: int, similarity: float, most_pairs: in
         return written(df.coalesce(parts), name)
 
     met = _met(worded, depth, similarity)
-    met = written(met.join(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "line-met")
-    met, lead_met, found = met.select("key", "a", "n"), met.select("key", F.col("a").alias("lead")), []
-    open_ = met
+    met = written(met.join(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").withColumn("least", F.col("a")), "line-met")
+    lead_met, found, first = met.select("key", F.col("a").alias("lead")), [], FIRSTS
+    most_pairs = min(most_pairs, FIRSTS * met.count())
     while True:
+        open_ = met.where("least = a").select("key", "a", "n")
         crowd = open_.groupBy("key").agg((F.count("*") * F.max("n")).alias("pairs"))
         if (crowd.agg(F.sum("pairs")).first()[0] or 0) <= most_pairs:
             break
         rank = F.row_number().over(Window.partitionBy("key").orderBy("a"))
-        firsts = written(open_.select("key", "a").withColumn("rank", rank).where(F.col("rank") <= FIRSTS).select("key", "a"), "line-firsts")
+        firsts = written(open_.select("key", "a").withColumn("rank", rank).where(F.col("rank") <= first).select("key", "a"), "line-firsts")
         at_all = firsts.groupBy("a").agg(F.count("*").alias("at")).join(open_.groupBy("a").agg(F.count("*").alias("of")), "a").where("at = of").select("a")
         before = firsts.select("key", F.col("a").alias("lead"))
         blocked = agreeing(firsts.join(before, "key").where("lead < a").select("a", "lead").join(at_all, "a", "left_semi")).select("a")
         leads = kept(at_all.join(blocked, "a", "left_anti").select(F.col("a").alias("lead")), "line-leads")
-        under = met.join(lead_met.join(leads, "lead"), "key").where("lead < a").select("a", "lead")
+        under = met.join(lead_met.join(leads, "lead"), "key").where("lead < least").select("a", "lead")
         found.append(kept(agreeing(under), "line-merged"))
-        closed = found[-1].select("a").union(leads.select(F.col("lead").alias("a"))).distinct()
-        open_ = written(open_.join(closed, "a", "left_anti"), "line-open")
-    edges = kept(agreeing(met.join(open_.select("key", F.col("a").alias("lead")), "key").where("lead < a").select("a", "lead")), "line-edges")
+        # a lead falls under none, so it comes once
+        known = found[-1].groupBy("a").agg(F.min("lead").alias("to")).union(leads.select("lead", F.lit(None).cast("long")))
+        least = F.when(F.col("known").isNull(), F.col("least")).otherwise(F.col("to"))
+        met = written(met.join(known.withColumn("known", F.lit(True)), "a", "left").select("key", "a", "n", least.alias("least")), "line-met")
+        first *= 2
+    edges = kept(agreeing(met.join(open_.select("key", F.col("a").alias("lead")), "key").where("lead < least").select("a", "lead")), "line-edges")
     while not edges.isEmpty():
         leads = edges.select("lead").join(edges.select(F.col("a").alias("lead")), "lead", "left_anti").distinct()
         found.append(kept(edges.join(leads, "lead").select("a", "lead"), "line-merged"))

@@ -77,6 +77,30 @@ def test_many_recurring_lines_cost_linear_time(spark, tmp_path):
     assert times[1] < 4 * times[0] + 5
 
 
+def test_pairs_grow_with_the_lines_of_a_group(spark, monkeypatch):
+    """Near copies of one long line, of which some agree with none: pairs are made for each line some, not all of a key."""
+    frame = type(spark.range(0))
+    made, distinct = [], frame.distinct
+
+    def counted(self):
+        if self.columns == ["a", "lead"]:
+            made.append(self.count())
+        return distinct(self)
+
+    monkeypatch.setattr(frame, "distinct", counted)
+    rng = random.Random(4)
+    names = "red blue green white black grey pink teal gold rust".split()
+    base = [rng.choice(names) for _ in range(60)]
+    texts = set()
+    while len(texts) < 500:
+        far = len(texts) % 10 == 0
+        texts.add(" ".join(base[:3] + [rng.choice(names) if rng.random() < (0.6 if far else 0.05) else w for w in base[3:]]))
+    rows = [(k, t, "en", "a", 1) for k, t in enumerate(sorted(texts))]
+    found = lines.drop_recurring_lines(brute.frame(spark, rows)).collect()
+    assert sum(r["lines_dropped"] for r in found) > 400
+    assert 0 < sum(made) < 30 * len(texts), made
+
+
 def test_rows_alike_and_hot_ids(spark):
     """Null rows alike, one id with many texts, and places that differ between the texts of an id."""
     rows = [(None, "same here\nbelow it", "en", "a", 1)] * 40 + [(7, f"own {'abcdefghij'[k]}\n" * (k % 3) + "a line that recurs everywhere now", "en", "a", 1) for k in range(10)]
