@@ -33,7 +33,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five words a shingle, 0.8 of all shingles of two texts: no radius of fingerprints finds all such pairs."""
+    """SimHash of five-word shingles, links checked for 0.8 of all shingles of two texts; an exact way for what no radius finds."""
     return near.drop_near_copies(docs)
 
 

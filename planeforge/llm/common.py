@@ -54,6 +54,18 @@ def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
+#: Bytes of a batch that are worked on at a time.
+PORTION = 4_000_000
+
+
+def portions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in the same order, in slices of about ``PORTION`` bytes (a row at least): what is made of a slice is small."""
+    for batch in batches:
+        step = max(1, batch.num_rows * PORTION // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def map_arrow(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],

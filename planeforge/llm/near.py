@@ -1,15 +1,20 @@
-"""Near-dedup by exact Jaccard similarity of word shingles (the pipeline's stage).
+"""SimHash near-dedup with an exact check by Jaccard similarity of word shingles (the pipeline's stage).
 
 *Sets.*  A text is the set of its shingles' 64-bit hashes; equal sets are one node, named by a hash of the set.
 
+*Index.*  Each set has a SimHash fingerprint of its hashes; the Gray-order hierarchical index (``simhash.py``) links the
+fingerprints at ``radius`` or fewer bits.  Sets of linked fingerprints and of equal ones are compared, and classes are
+contracted from those at the ``similarity`` or more.  No radius finds all such sets, so what follows is the exact way for
+those that the index leaves apart.
+
 *Meeting.*  Under any one order of all shingles, two sets at a ``similarity`` or more share one of the first
 ``n - ceil(similarity * n) + 1`` shingles of each (prefix filter), so every such pair meets there.  The order puts
 shingles that a sample of the texts shows to be common last; the sample decides how many sets meet, never which are
 linked.
 
-*Links.*  First each set is compared with the smallest of those it meets at a shingle, which joins most of a large
-group without its pairs being made.  Then all pairs that meet, that fit in size and are not yet in one class are
-compared.  Compared are whole sets.
+*Links.*  Each set is compared with the smallest of those it meets at a shingle and is not in one class with, which joins
+most of a large group without its pairs being made.  Then all pairs that meet, that fit in size and are not yet in one
+class are compared.  Compared are whole sets.
 """
 
 from __future__ import annotations
@@ -22,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, fold_case, lean, map_arrow, tasks_for, text_bytes, written
-from .simhash import contract, keep_named, named_classes
+from .common import doc_text, fold_case, lean, portions, tasks_for, text_bytes, written
+from .simhash import contract, fingerprint_links, fingerprint_of, keep_named, named_classes
 
 #: Texts sampled for the order of shingles, times a shingle must show in them to count as common, and how many may.
 SAMPLE, COMMON, MOST_COMMON = 20_000, 4, 200_000
@@ -48,6 +53,12 @@ def node(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def simhash(shingles: np.ndarray) -> int:
+    """The set's fingerprint, as a signed long."""
+    code = fingerprint_of(shingles.astype(">i8").view(np.uint8).reshape(-1, 8))
+    return code - (1 << 64) if code >> 63 else code
+
+
 def sketch(shingles: np.ndarray) -> bytes:
     """How many shingles fall into each of a power of two of buckets, four to eight a bucket; empty where a byte is too small."""
     buckets = max(32, 1 << max(0, len(shingles) // 8).bit_length())
@@ -86,7 +97,7 @@ def _common(df: DataFrame, words: int, seed: int, id_col: str, text_col: str) ->
 
 
 def _prefixes(df: DataFrame, words: int, percent: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, key, fp, size, sketch, prefix``: a row a row; ``key`` is a hash of the text, ``fp`` the node."""
+    """``doc_id, key, fp, bits, size, sketch, prefix``: a row a row; ``key`` is a hash of the text, ``fp`` the node, ``bits`` its fingerprint."""
     known, times = _common(df, words, seed, id_col, text_col)
 
     def prefix(shingles: np.ndarray) -> np.ndarray:
@@ -99,15 +110,13 @@ def _prefixes(df: DataFrame, words: int, percent: int, seed: int, id_col: str, t
             rank = np.where(known[at] == shingles, times[at], 0)
         return shingles[np.lexsort((shingles, rank))[: n - _least_common(n, percent) + 1]]
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
             sets = [shingle_set(t, words, seed) for t in text_bytes(batch.column(2))]
-            made = [pa.array([node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([prefix(s) for s in sets], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "key", "fp", "size", "sketch", "prefix"])
+            made = [pa.array([node(s) for s in sets], pa.int64()), pa.array([simhash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([prefix(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "key", "fp", "bits", "size", "sketch", "prefix"])
 
-        return step
-
-    return map_arrow(_keyed(df, id_col, text_col), make, "doc_id long, key long, fp long, size int, sketch binary, prefix array<long>")
+    return _keyed(df, id_col, text_col).mapInArrow(lean(run), "doc_id long, key long, fp long, bits long, size int, sketch binary, prefix array<long>")
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -136,7 +145,7 @@ def _compared(df: DataFrame, rows: DataFrame, pairs: DataFrame, words: int, perc
     ids = written(ids.select("fp", F.col("one.doc_id").alias("one_id"), F.col("one.key").alias("key")), "near-ids")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             made = [shingle_set(t, words, seed).tobytes() for t in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["fp", "shingles"])
 
@@ -203,7 +212,27 @@ def _apart(percent: int, at_once: int = 200_000):
     return run
 
 
-def near_classes(df: DataFrame, words: int = 5, percent: int = 80, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _indexed(codes: DataFrame, radius: int) -> DataFrame:
+    """Pairs ``x, y`` (y < x) of nodes with equal fingerprints, or with ones that the Gray-order index links.
+
+    Of the nodes of a fingerprint the smallest stands for it; the others are paired with that one.
+    """
+    prints = written(codes.groupBy("bits").agg(F.min("fp").alias("lead")), "near-prints")
+    same = codes.join(prints, "bits").where("fp <> lead").select(F.col("fp").alias("x"), F.col("lead").alias("y"))
+    links = fingerprint_links(prints.select(F.col("bits").alias("fp")), radius, direct=True)
+    left, right = (prints.select(F.col("bits").alias(n), F.col("lead").alias(f"{n}_lead")) for n in ("a", "b"))
+    across = links.join(left, "a").join(right, "b").select(F.greatest("a_lead", "b_lead").alias("x"), F.least("a_lead", "b_lead").alias("y"))
+    return same.union(across).distinct()
+
+
+def _parted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of the pairs ``x, y`` those in different classes."""
+    for end in ("x", "y"):
+        pairs = pairs.join(roots.select(F.col("a").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    return pairs.where(F.coalesce("x_root", "x") != F.coalesce("y_root", "y")).select("x", "y")
+
+
+def near_classes(df: DataFrame, words: int = 5, percent: int = 80, seed: int = 42, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp, component_id``: the smallest id in reach over links of ``percent`` or more of all shingles of two texts.
 
     Texts without words are one class.  Null ids are members but never name a component (null if it has
@@ -213,25 +242,32 @@ def near_classes(df: DataFrame, words: int = 5, percent: int = 80, seed: int = 4
     rows = written(_prefixes(df, *how), "near-rows")
     # pairs travel with sketches or whole sets on their way, so few of them go to a task
     parts = tasks_for(rows.count(), 20_000)
-    codes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "near-codes")
+    codes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("bits").alias("bits"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "near-codes")
+
+    def confirmed(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs that are compared, and those at the similarity or more as edges."""
+        likely = written(_likely(pairs, codes, percent).coalesce(parts), "near-pairs")
+        return likely, written(_compared(df, rows, likely, *how).coalesce(parts), "near-links")
+
+    asked, links = confirmed(_indexed(codes, radius))
+    roots = contract(links)
     members = rows.select(F.explode("prefix").alias("shingle"), "fp", "size")
     met = members.groupBy("shingle").agg(F.min("fp").alias("lead"), F.max("fp").alias("other")).where("lead < other").select("shingle", "lead")
     meetings = written(members.join(met, "shingle").distinct(), "near-meetings")
     starts = meetings.where("fp <> lead").select(F.col("fp").alias("x"), F.col("lead").alias("y")).distinct()
-    first = written(_likely(starts, codes, percent).coalesce(parts), "near-pairs")
-    links = written(_compared(df, rows, first, *how).coalesce(parts), "near-links")
+    first, more = confirmed(_parted(starts, roots).join(asked, ["x", "y"], "left_anti"))
+    asked, links = asked.union(first), links.union(more)
     roots = contract(links)
     placed = meetings.join(roots, F.col("fp") == F.col("a"), "left").select("shingle", "fp", "size", F.coalesce("root", "fp").alias("root"))
     split = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
     apart = placed.join(split, "shingle").repartition("shingle").sortWithinPartitions("shingle").mapInArrow(lean(_apart(percent)), "x long, y long").distinct()
-    second = written(_likely(apart.join(first, ["x", "y"], "left_anti"), codes, percent).coalesce(parts), "near-pairs")
-    more = written(_compared(df, rows, second, *how).coalesce(parts), "near-links")
+    _, more = confirmed(apart.join(asked, ["x", "y"], "left_anti"))
     return named_classes(rows, codes, contract(links.union(more)))
 
 
-def drop_near_copies(df: DataFrame, words: int = 5, percent: int = 80, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(df: DataFrame, words: int = 5, percent: int = 80, seed: int = 42, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose id names their component; all columns as they are.
 
     A ``doc_id`` is one document: rows that repeat it stay or go together.  Rows without an id stay.
     """
-    return keep_named(df, near_classes(df, words, percent, seed, id_col, text_col), id_col)
+    return keep_named(df, near_classes(df, words, percent, seed, radius, id_col, text_col), id_col)

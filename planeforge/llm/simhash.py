@@ -45,9 +45,12 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
         hashes = digest(join(parts), seed)
     else:
         hashes = b"".join([digest(join(x), seed) for x in zip(*(parts[k:] for k in range(words)), strict=False)])
-    counts = _bit_counts(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8))
-    bits = counts * 2 > len(hashes) // 8
-    return int.from_bytes(np.packbits(bits).tobytes(), "big")
+    return fingerprint_of(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Of a hash a row, each 8 bytes, highest first; of none: 0."""
+    return int.from_bytes(np.packbits(_bit_counts(hashes) * 2 > len(hashes)).tobytes(), "big")
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -149,8 +152,11 @@ class _Classes:
             x = z
 
 
-def _linked(radius: int, rows_at_once: int, pairs_at_once: int = 1_000_000):
-    """Edges (fingerprint, smallest of its class in this task); input sorted by its group columns."""
+def _linked(radius: int, rows_at_once: int, direct: bool = False, pairs_at_once: int = 1_000_000):
+    """Edges (fingerprint, smallest of its class in this task); input sorted by its group columns.
+
+    ``direct``: (fingerprint, smallest that it is linked with in a group) instead, where that is smaller than itself.
+    """
 
     def solve(keys: np.ndarray, codes: np.ndarray, asks: np.ndarray) -> pa.RecordBatch:
         index = GrayIndex(keys, codes)
@@ -159,20 +165,28 @@ def _linked(radius: int, rows_at_once: int, pairs_at_once: int = 1_000_000):
         crowd = np.bincount(group_no)[group_no]
         asking = asking[crowd[asking] > 1]
         classes = _Classes(len(codes))
+        signed = index.codes.view(np.int64)
+        lowest = signed.copy()
         # so many questions at a time that even without pruning their frontier stays in bounds
         step = max(1, min(4096, pairs_at_once // max(1, int(crowd.max(initial=1)))))
         for at in range(0, len(asking), step):
             part = asking[at : at + step]
             asked, place = index.search(index.codes[part], group_no[part], radius)
-            classes.join(part[asked], place)
+            if direct:
+                np.minimum.at(lowest, part[asked], signed[place])
+            else:
+                classes.join(part[asked], place)
+        if direct:
+            return sent(signed, lowest)
         # a fingerprint can be in several groups here: its places belong together
         _, first, inverse = np.unique(index.codes, return_index=True, return_inverse=True)
         classes.join(np.arange(len(codes)), first[inverse])
         top = classes.roots(np.arange(len(codes)))
         smallest = np.full(len(codes), np.iinfo(np.int64).max)
-        signed = index.codes.view(np.int64)
         np.minimum.at(smallest, top, signed)
-        child, root = signed, smallest[top]
+        return sent(signed, smallest[top])
+
+    def sent(child: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
         moved = child != root
         edges = np.unique(np.stack([child[moved], root[moved]], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
@@ -204,10 +218,11 @@ def blocks_for(count: int, radius: int, group: int) -> int:
     return blocks
 
 
-def fingerprint_links(codes: DataFrame, radius: int = 3, group: int = 20_000, rows_at_once: int = 200_000, blocks: int | None = None) -> DataFrame:
+def fingerprint_links(codes: DataFrame, radius: int = 3, group: int = 20_000, rows_at_once: int = 200_000, blocks: int | None = None, direct: bool = False) -> DataFrame:
     """Edges ``a, b`` (b < a) whose classes are those of all pairs at ``radius`` or fewer bits.
 
-    ``codes``: ``fp long``, distinct.
+    ``codes``: ``fp long``, distinct.  ``direct``: each edge is such a pair itself, of each fingerprint the one with the
+    smallest that it meets in a group.
     """
     blocks = blocks or blocks_for(codes.count(), radius, group)
     edges = [round(k * WIDTH / blocks) for k in range(blocks + 1)]
@@ -232,7 +247,7 @@ def fingerprint_links(codes: DataFrame, radius: int = 3, group: int = 20_000, ro
         .select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         .select((F.col("key") * 65536 + F.col("part")).alias("key"), "fp", (F.col("own") == F.col("part")).alias("asks"))
     )
-    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_linked(radius, rows_at_once)), "a long, b long").distinct()
+    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_linked(radius, rows_at_once, direct)), "a long, b long").distinct()
 
 
 def contract(edges: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ import re
 from itertools import combinations
 
 import brute
+import pyarrow as pa
 import xxhash
 
-from planeforge.llm import near
+from planeforge.llm import common, near
 
 
 def sets(text):
@@ -75,3 +76,33 @@ def test_sketches_never_bound_too_low():
             x, y = (near.shingle_set(t.encode()) for t in (p, q))
             assert near.most_common(near.sketch(x), near.sketch(y)) >= len(set(x.tolist()) & set(y.tolist()))
     assert near.most_common(b"", near.sketch(near.shingle_set(b"a"))) is None
+
+
+def test_the_stage_links_by_the_gray_index(spark, tables, monkeypatch):
+    """What the index hands over are links, and of every fingerprint the smallest one that it is linked with."""
+    import corpus_pipeline
+
+    links, index = [], near.fingerprint_links
+    monkeypatch.setattr(near, "fingerprint_links", lambda *a, **k: links.append(index(*a, **k)) or links[-1])
+    rows = edited()
+    dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, brute.frame(spark, rows), tables)
+    codes = set()
+    for _, text, *_ in rows:
+        found = sets(text)
+        code = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in found) * 2 > len(found))
+        codes.add(code - (1 << 64) if code >> 63 else code)
+    far = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    want = {a: min(near_by) for a in codes if (near_by := [b for b in codes if b < a and far(a, b) <= 3])}
+    got = {}
+    for a, b in links[0].collect():
+        assert b < a and far(a, b) <= 3
+        got[a] = min(b, got.get(a, b))
+    assert len(links) == 1 and want and got == want
+
+
+def test_batches_are_worked_on_in_portions():
+    texts = ["x" * (k % 7) * 10_000 for k in range(2_000)] + ["y" * 9_000_000]
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    parts = list(common.portions([batch, batch.slice(0, 0)]))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows < 200 for p in parts)
