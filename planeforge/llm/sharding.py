@@ -59,17 +59,24 @@ def _corner(coordinates: list[Column], level: int) -> Column:
     return out
 
 
-#: Of the distinct values of a category so many, drawn by hash, tell where its cells begin; up to so many all do.
+#: Up to so many distinct values of a category are ranked on the driver, and on the cluster beyond.
 MOST_VALUES = 4096
 
 
 def category_starts(df: DataFrame, column: str, bits: int) -> list[tuple[str, int]]:
-    """Values and the cells that begin with them, both rising; cell 0 is before the first value and for nulls."""
+    """Values and the cells that begin with them, both rising; cell 0 is before the first value and for nulls.
+
+    All distinct values are ranked, and each cell but 0 gets as many of them, however many there are.
+    """
     value = F.col(f"`{column}`").cast("string")
     distinct = df.select(value.alias("v")).where("v is not null").distinct()
-    drawn = distinct.orderBy(F.xxhash64("v"), "v").limit(MOST_VALUES).collect()
-    values = sorted((r["v"] for r in drawn), key=lambda v: v.encode())
     cells = (1 << bits) - 1
+    some = distinct.limit(MOST_VALUES + 1).collect()
+    if len(some) > MOST_VALUES:
+        cell = F.expr(f"1 + place * {cells} div total").cast("int")
+        firsts = _placed(distinct, [F.col("v")]).groupBy(cell.alias("cell")).agg(F.min("v").alias("v"))
+        return sorted(((r["v"], r["cell"]) for r in firsts.collect()), key=lambda start: start[1])
+    values = sorted((r["v"] for r in some), key=lambda v: v.encode())
     out: list[tuple[str, int]] = []
     for k, v in enumerate(values):
         cell = 1 + k * cells // len(values)
@@ -94,13 +101,17 @@ def log_cell(column: Column, bits: int, per_octave: int = 2) -> Column:
 def hilbert_sorted(df: DataFrame, dimensions: list[Column], bits: int, ties: list[Column]) -> DataFrame:
     """The rows in curve order with their global place: adds ``curve``, ``place`` (0-based) and
     ``total`` (the count of all rows), all long.
+    """
+    return _placed(df.withColumn("curve", hilbert_index(dimensions, bits)), [F.col("curve"), *ties])
+
+
+def _placed(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """The rows sorted by keys with ``place`` and ``total``.
 
     The sorted rows are checkpointed, so that the counts of the partitions and the rows come from the
     same sort.  Only the partitions' counts, one number each, meet in a single task.
     """
-    ordered = df.withColumn("curve", hilbert_index(dimensions, bits))
-    keys = [F.col("curve"), *ties]
-    parts = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    parts = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     checkpoint_dir(df.sparkSession)
     tagged = parts.withColumn("_at", F.monotonically_increasing_id()).checkpoint()
     part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))

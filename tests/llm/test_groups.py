@@ -280,6 +280,16 @@ def test_categories_without_number(spark, monkeypatch):
     assert cells == sorted(cells) and len(set(cells)) >= 25
 
 
+def test_all_values_tell_where_cells_begin(spark, monkeypatch):
+    names = sorted({hashlib.md5(str(k).encode()).hexdigest()[: 1 + k % 9] + "é" * (k % 2) for k in range(2000)}, key=str.encode)
+    frame = spark.createDataFrame([(k, "x", v, None, 1) for k, v in enumerate(names * 2)], brute.SCHEMA).repartition(5)
+    cells = [1 + k * 31 // len(names) for k in range(len(names))]
+    want = [(v, c) for k, (v, c) in enumerate(zip(names, cells, strict=True)) if not k or cells[k - 1] < c]
+    for most in (64, len(names) - 1, len(names), 4096):
+        monkeypatch.setattr(sharding, "MOST_VALUES", most)
+        assert sharding.category_starts(frame, "lang", 5) == want
+
+
 # ---- pipeline ----
 
 
