@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_text, fold_case, id_crc, lean, map_arrow, text_bytes
+from .common import doc_text, fold_case, id_crc, lean, map_arrow, portions, text_bytes
 from .linear import char_gram_ids, fit_logistic, sigmoid
 
 
@@ -165,7 +165,7 @@ def drop_toxic(df: DataFrame, model: ToxicityModel, threshold: float = 0.5, text
     def run(batches):
         own = shared.value
         flags = np.zeros(1 << own.params.bits, dtype=np.float32)
-        for batch in batches:
+        for batch in portions(batches):
             if batch.num_rows:
                 keep = [own.score(t or b"", flags) < threshold for t in text_bytes(batch.column(place))]
                 yield batch.filter(pa.array(keep, pa.bool_()))
