@@ -21,6 +21,8 @@ FUNCTIONS = (
     ("planeforge_mq_decode", "planeforge.jvm.Blocks$MqDecode", "binary"),
     ("planeforge_arith_encode", "planeforge.jvm.Blocks$ArithEncode", "binary"),
     ("planeforge_arith_decode", "planeforge.jvm.Blocks$ArithDecode", "binary"),
+    ("planeforge_entropy_encode", "planeforge.jvm.Blocks$EntropyEncode", "method string, code binary"),
+    ("planeforge_entropy_decode", "planeforge.jvm.Blocks$EntropyDecode", "binary"),
     ("planeforge_encode_block", "planeforge.jvm.Blocks$Encode", "planes int, passes int, payload binary, segments binary, cum_bytes binary, gains binary"),
     ("planeforge_decode_block", "planeforge.jvm.Blocks$Decode", "q binary, low binary"),
 )
@@ -80,3 +82,12 @@ def arith_encode(data: Column) -> Column:
 
 def arith_decode(code: Column, size: Column) -> Column:
     return F.call_udf("planeforge_arith_decode", code, size)
+
+
+def entropy_encode(data: Column, method: str | None = None) -> Column:
+    """``struct<method, code>``; without a method by the container's choice."""
+    return F.call_udf("planeforge_entropy_encode", data, F.lit(method).cast("string"))
+
+
+def entropy_decode(method: Column, code: Column, size: Column) -> Column:
+    return F.call_udf("planeforge_entropy_decode", method, code, size)

@@ -221,3 +221,36 @@ def test_jvm_block_coder_is_the_same(spark):
         q, low = t1.decode_block(one.payload, one.segments, one.planes, *block.shape, r["kind"], r["style"])
         assert np.array_equal(np.frombuffer(r["d"]["q"], "<i4").reshape(block.shape), block) and np.array_equal(q, block)
         assert np.array_equal(np.frombuffer(r["d"]["low"], np.uint8).reshape(block.shape) * (block != 0), low * (block != 0))
+
+
+def test_jvm_byte_coders_are_the_same(spark):
+    """Code for code as the numpy coders, by each method and by the container's choice."""
+    rng, rows = np.random.default_rng(3), [b"", b"a", b"aaa", b"aaaa", bytes(300), b"\xff" * 64 + b"\0" * 900, bytes(range(256)) * 3]
+    rows += [b"x" * n + b"yz" * m for n in (3, 4, 254, 255, 256, 258, 259, 510, 514) for m in (0, 1, 127, 128, 300)]
+    rows += [rng.choice([0, 1, 128, 255, 7], n, p=[0.5, 0.2, 0.05, 0.2, 0.05]).astype(np.uint8).tobytes() for n in (15, 16, 64, 65, 1000)]
+    data = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(rows)], "k int, data binary")
+    for method in (None, *entropy.METHODS):
+        coded = entropy.encode_column(data, "k", "data", method)
+        back = {r["k"]: bytes(r["data"]) for r in entropy.decode_column(coded, "k").collect()}
+        for r in coded.collect():
+            assert (r["method"], bytes(r["code"])) == entropy.encode(rows[r["k"]], method) and r["raw_len"] == len(rows[r["k"]])
+            assert back[r["k"]] == rows[r["k"]]
+
+
+def test_jvm_byte_coders_refuse_broken_runs(spark):
+    from planeforge import jvm
+
+    jvm.register(spark)
+    broken = [("rle", b"\x02\x03a", 3), ("rle", b"\x80\x03abc", 3), ("rle", b"\x01\x00a", 3), ("rle", b"\x00\x03ab", 3), ("rle", b"\x01\x04a", 3), ("rle", b"\x01", 3), ("bit_rle", b"\x80", 0), ("bit_rle", b"\x09", 1), ("bit_rle", b"\x07", 1), ("raw", b"ab", 3), ("other", b"", 0)]
+    for method, code, size in broken:
+        rows = spark.createDataFrame([(method, bytearray(code), size)], "method string, code binary, raw_len long")
+        with pytest.raises(Exception, match="bad run|wrong length|method other"):
+            rows.select(jvm.entropy_decode(*map(F.col, ("method", "code", "raw_len")))).collect()
+
+
+@pytest.mark.parametrize("method", [None, "bit_rle"])
+def test_byte_coders_hold_no_batches(spark, method):
+    """A batch of texts has a code of several times its size, so no step may gather one."""
+    texts = spark.createDataFrame([(1, bytearray(b"text"))], "k int, data binary")
+    plan = entropy.decode_column(entropy.encode_column(texts, "k", "data", method), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "Python" not in plan
