@@ -15,7 +15,7 @@ BASIS = np.array([[(math.sqrt(0.5) if f == 0 else 1.0) * math.cos((2 * p + 1) *
 
 def inverse(coefficients: np.ndarray) -> np.ndarray:
     """``n x 8 x 8`` dequantised coefficients to 8-bit samples."""
-    sums = np.einsum("yv,nvu,xu->nyx", BASIS, coefficients.astype(np.float64), BASIS)
+    sums = BASIS @ coefficients.astype(np.float64) @ BASIS.T
     return np.clip(np.floor(sums * 0.25 + 128.5 + 1e-9), 0, 255).astype(np.int64)
 
 

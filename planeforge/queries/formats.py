@@ -5,6 +5,7 @@ Images are the strips of the tables' rasters; every strip goes through each form
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 
@@ -57,13 +58,13 @@ def rows_of(decoded: DataFrame, *more) -> DataFrame:
 
 
 def mapped(rows: DataFrame, make, out: str = _FILES, schema: pa.Schema = _FILE_TYPE) -> DataFrame:
-    """``make`` gives the rows that one row becomes."""
+    """``make`` gives the rows that one row becomes; few of either are held at a time."""
 
     def run(batches):
-        for batch in batches:
-            made = [x for row in batch.to_pylist() for x in make(row)]
-            if made:
-                yield pa.RecordBatch.from_pylist(made, schema=schema)
+        for batch in images.portions(batches):
+            made = (x for row in batch.to_pylist() for x in make(row))
+            while part := list(itertools.islice(made, 4096)):
+                yield pa.RecordBatch.from_pylist(part, schema=schema)
 
     return rows.mapInArrow(run, out)
 
@@ -161,9 +162,8 @@ def jpeg_flat_blocks(spark, d):
     """Marker walk, Huffman codes, DC prediction with restarts, dequantisation and inverse DCT: a block a pixel."""
     out = None
     for quantiser, restart in ((1, 0), (2, 7), (8, 64)):
-        found = images.samples_of(images.decode_images(_flat_jpegs(spark, d, quantiser, restart)))
-        block = found.groupBy((_strip() * STRIP + F.expr("y div 8")).alias("y"), F.expr("x div 8").alias("x")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
-        part = block.select(F.lit(quantiser).cast("bigint").alias("quantiser"), *ints(y="y", x="x", low="low", high="high", n="n"))
+        found = images.cell_ranges(_flat_jpegs(spark, d, quantiser, restart), 8).select(_strip().alias("strip"), F.explode("cells").alias("c"))
+        part = found.select(F.lit(quantiser).cast("bigint").alias("quantiser"), *ints(y=F.col("strip") * STRIP + F.col("c.y"), x="c.x", low="c.low", high="c.high", n="c.n"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -7,7 +7,7 @@ decoded where they are read.  ``format("raster")`` offers the same as a Python d
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +71,18 @@ def rasters(batch: pa.RecordBatch) -> Iterator[tuple[str, Raster]]:
         yield row["path"], Raster(planes, row["layout"], row["alpha_mode"], bool(row["white_is_zero"]), row["icc"], row["exif"], row["xmp"], row["iptc"], origin=(row["origin_x"] or 0, row["origin_y"] or 0))
 
 
+#: Bytes of a batch that are worked on at a time.
+PORTION = 4_000_000
+
+
+def portions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in the same order, in slices of about ``PORTION`` bytes (a row at least): what is made of a slice is small."""
+    for batch in batches:
+        step = max(1, batch.num_rows * PORTION // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def decoded(path: str, data: bytes, permissive: bool, kind: str | None = None) -> dict:
     """A row; a bad file raises, or in permissive mode gives a row that only says why."""
     kind = kind or extension(path)
@@ -104,6 +116,34 @@ def decode_images(files: DataFrame, mode: str = "FAILFAST", kind: str | None = N
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+_CELL = pa.struct([(n, pa.int64()) for n in ("y", "x", "low", "high", "n")])
+
+
+def cell_ranges(files: DataFrame, size: int, kind: str | None = None) -> DataFrame:
+    """``path, component, cells`` from ``path, content``: place, least and greatest sample and count of each ``size`` x ``size`` cell.
+
+    Cells are reduced where their file is decoded, so samples never are rows.
+    """
+    schema = pa.schema([("path", pa.string()), ("component", pa.int64()), ("cells", pa.list_(_CELL))])
+
+    def ranges(samples: np.ndarray) -> pa.Array:
+        rows, cols = (np.arange(0, n, size) for n in samples.shape)
+        reduced = [np.ravel(f.reduceat(f.reduceat(samples, rows, 0), cols, 1)) for f in (np.minimum, np.maximum)]
+        n = np.outer(np.diff([*rows, samples.shape[0]]), np.diff([*cols, samples.shape[1]])).ravel()
+        columns = (np.repeat(np.arange(len(rows)), len(cols)), np.tile(np.arange(len(cols)), len(rows)), *reduced, n)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=list(_CELL))
+
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column("path"), batch.column("content"), strict=True):
+                path = name.as_py()
+                found = [ranges(p["samples"].reshape(p["height"], p["width"])) for p in decoded(path, data.as_py(), False, kind)["planes"]]
+                cells = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), pa.concat_arrays(found))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found)), pa.array(range(len(found)), pa.int64()), cells], schema=schema)
+
+    return files.select("path", "content").mapInArrow(run, "path string, component bigint, cells array<struct<y:bigint,x:bigint,low:bigint,high:bigint,n:bigint>>")
+
+
 def encode_images(images: DataFrame, kind: str) -> DataFrame:
     """``path, content``: each image as a file of another format, the extension replaced."""
     if kind not in WRITERS:

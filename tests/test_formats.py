@@ -230,3 +230,35 @@ def test_band_sink(tmp_path, spark):
         sink.write_band(0, np.ones((2, 3, 1), np.int64))
         sink.finish()
     assert (tiff.read_tiff((tmp_path / "b.tif").read_bytes()).planes[1].samples == palette[1, 1]).all()
+
+
+def test_cell_ranges(spark):
+    """Whole and cut cells of every component against the samples themselves."""
+    raster = image(19, 21, 3)
+    files = spark.createDataFrame([("a.png", bytearray(png.write_png(raster)))], "path string, content binary")
+    for size in (1, 8, 32):
+        found = {(r["component"], c["y"], c["x"]): (c["low"], c["high"], c["n"]) for r in images.cell_ranges(files, size).collect() for c in r["cells"]}
+        want = {}
+        for k, p in enumerate(raster.planes):
+            for y in range(0, 19, size):
+                for x in range(0, 21, size):
+                    part = p.samples[y : y + size, x : x + size]
+                    want[k, y // size, x // size] = int(part.min()), int(part.max()), part.size
+        assert found == want
+
+
+def test_flat_blocks_are_reduced_where_they_are_decoded(spark, tables):
+    """64 samples a pixel must not become rows."""
+    from planeforge.queries import QUERIES
+
+    plan = QUERIES["jpeg_flat_blocks"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(cells" in plan and "posexplode" not in plan and "Aggregate [cast(regexp_extract" not in plan
+
+
+def test_portions():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(10)), "b": [bytes(1_000_000)] * 10})
+    parts = list(images.portions([batch, batch.slice(0, 0)]))
+    assert [k for p in parts for k in p["k"].to_pylist()] == list(range(10)) and max(p.num_rows for p in parts) <= 4
+    assert [p.num_rows for p in images.portions([pa.RecordBatch.from_pydict({"b": [bytes(9_000_000)] * 2})])] == [1, 1]
