@@ -25,6 +25,7 @@ FUNCTIONS = (
     ("planeforge_entropy_decode", "planeforge.jvm.Blocks$EntropyDecode", "binary"),
     ("planeforge_encode_block", "planeforge.jvm.Blocks$Encode", "planes int, passes int, payload binary, segments binary, cum_bytes binary, gains binary"),
     ("planeforge_decode_block", "planeforge.jvm.Blocks$Decode", "q binary, low binary"),
+    ("planeforge_try_decode_block", "planeforge.jvm.Blocks$TryDecode", "q binary, low binary"),
 )
 _LOADERS: dict[str, object] = {}
 _KNOWN: set[tuple[str, int]] = set()
@@ -68,6 +69,11 @@ def decode_block(payload: Column, segments: Column, planes: Column, height: Colu
     return F.call_udf("planeforge_decode_block", payload, segments, planes, height, width, kind, style)
 
 
+def try_decode_block(payload: Column, segments: Column, planes: Column, height: Column, width: Column, kind: Column, style: Column) -> Column:
+    """Null where the block is broken."""
+    return F.call_udf("planeforge_try_decode_block", payload, segments, planes, height, width, kind, style)
+
+
 def mq_encode(data: Column, predictable: bool = False) -> Column:
     return F.call_udf("planeforge_mq_encode", data, F.lit(int(predictable)))
 

@@ -54,7 +54,9 @@ def strips(spark, d, channels, layout: str, precision: int = 8, signed: bool = F
 
 def rows_of(decoded: DataFrame, *more) -> DataFrame:
     """``y, x, component, v`` of strips."""
-    return images.samples_of(decoded).select(*more, *ints(y=_strip() * STRIP + F.col("y"), x="x", component="component", v="v"))
+    names = decoded.select(*more).columns if more else []
+    rows = images.samples_of(decoded, _strip().alias("_strip"), *more)
+    return rows.select(*names, *ints(y=F.col("_strip") * STRIP + F.col("y"), x="x", component="component", v="v"))
 
 
 def mapped(rows: DataFrame, make, out: str = _FILES, schema: pa.Schema = _FILE_TYPE) -> DataFrame:
@@ -79,7 +81,7 @@ def _roundtrip(name: str, kind: str, channels: tuple[str, ...], layout: str, **m
 
     @query(name, samples_sql(*channels))
     def run(spark, d):
-        return rows_of(images.decode_images(images.encode_images(strips(spark, d, channels, layout, **more), kind)))
+        return rows_of(images.decode_images(images.encode_images(strips(spark, d, channels, layout, **more), kind), kind=kind))
 
 
 _RGB8, _GRAY16 = ("r", "g", "b"), ("r + 256 * g",)
@@ -245,19 +247,18 @@ def jp2_palette_roundtrip(spark, d):
     palette = np.array([[16 * k, 255 - 16 * k, k * k] for k in range(16)])
 
     def made(row):
-        raster = images.from_row(row)
-        return [{"path": f"{row['path'][:-4]}.jp2", "content": jp2.wrap(codestream.encode(raster, Options(levels=1)), palette=palette)}]
+        return [{"path": f"{row['path'][:-4]}.jp2", "content": jp2.wrap(row["stream"], palette=palette)}]
 
-    return rows_of(images.decode_images(mapped(strips(spark, d, ("r % 16",), "gray"), made)))
+    coded = images.streams(strips(spark, d, ("r % 16",), "gray"), Options(levels=1))
+    return rows_of(images.decode_images(mapped(coded, made), kind="jp2"))
 
 
 def _containers(spark, d) -> DataFrame:
     def made(row):
-        data = jp2.write_jp2(images.from_row(row), Options(levels=2, tile_w=64, tile_h=32, layers=2, rates=(4.0,), progression="LRCP"))
         name = row["path"].encode()
-        return [{"path": f"{row['path'][:-4]}.jp2", "content": jp2.attach(data, {"xmp": b"<x>" + name + b"</x>", "exif": b"MM\0*" + name})}]
+        return [{"path": f"{row['path'][:-4]}.jp2", "content": jp2.attach(images.boxed(row), {"xmp": b"<x>" + name + b"</x>", "exif": b"MM\0*" + name})}]
 
-    return mapped(strips(spark, d, _RGB8, "rgb"), made)
+    return mapped(images.streams(strips(spark, d, _RGB8, "rgb"), Options(levels=2, tile_w=64, tile_h=32, layers=2, rates=(4.0,), progression="LRCP")), made)
 
 
 @query(
@@ -479,7 +480,7 @@ def component_overrides(spark, d):
     """Streams whose general quantisers and style are wrong for every component, each of which has its own."""
 
     def made(row):
-        data = codestream.encode(images.from_row(row), Options(levels=2, block_w=32, block_h=32))
+        data = row["stream"]
         parts = {m: (at, b) for at, m, b in codestream.segments(data)}
         at, cod = parts[codestream.COD]
         place, qcd = parts[codestream.QCD]
@@ -488,7 +489,8 @@ def component_overrides(spark, d):
         wrong = segment(codestream.COD, cod[:8] + bytes([cod[8] ^ 4]) + cod[9:]) + segment(codestream.QCD, bytes([qcd[0]]) + bytes(8 for _ in qcd[1:]))
         return [{"path": f"{row['path'][:-4]}.j2k", "content": data[:at] + wrong + own + data[place + 4 + len(qcd) :]}]
 
-    return rows_of(images.decode_images(mapped(strips(spark, d, _RGB8, "rgb"), made)))
+    coded = images.streams(strips(spark, d, _RGB8, "rgb"), Options(levels=2, block_w=32, block_h=32))
+    return rows_of(images.decode_images(mapped(coded, made), kind="j2k"))
 
 
 @query("tiles_share_layers", f"WITH {RGB}, s AS (SELECT DISTINCT y // 50 AS strip FROM rgb) SELECT strip, CAST(l AS BIGINT) AS layer, true AS held FROM s, range(0, 2) t(l)")

@@ -6,18 +6,21 @@ decoded where they are read.  ``format("raster")`` offers the same as a Python d
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .. import jvm
+from ..operators import t1
 from . import codestream, exr, jp2, jpeg, plain, png, tiff
-from .raster import FormatError, Plane, Raster
+from .raster import FormatError, Plane, Raster, need
 
 READERS: dict[str, Callable[[bytes], Raster]] = {
     "pgm": plain.read_pgm, "pgx": plain.read_pgx, "zraw": plain.read_raw, "bmp": plain.read_bmp, "zj2k": plain.read_simple,
@@ -83,13 +86,13 @@ def portions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, step)
 
 
-def decoded(path: str, data: bytes, permissive: bool, kind: str | None = None) -> dict:
+def decoded(path: str, data: bytes, permissive: bool, kind: str | None = None, **more) -> dict:
     """A row; a bad file raises, or in permissive mode gives a row that only says why."""
     kind = kind or extension(path)
     try:
         if kind not in READERS:
             raise FormatError(f"no reader for .{kind}")
-        return to_row(path, kind, READERS[kind](data))
+        return to_row(path, kind, READERS[kind](data, **more))
     except (FormatError, IndexError, KeyError, OverflowError, ValueError) as error:
         # whatever breaks on malformed bytes is a fault of the file
         if permissive:
@@ -105,8 +108,10 @@ def read_images(spark: SparkSession, path: str, glob: str | None = None, mode: s
 
 
 def decode_images(files: DataFrame, mode: str = "FAILFAST", kind: str | None = None) -> DataFrame:
-    """From ``path, content``; one image in memory at a time."""
+    """From ``path, content``; one image in memory at a time.  Codestreams go block by block through the JVM where ``kind`` says that they are some."""
     permissive = mode.upper() == "PERMISSIVE"
+    if kind in STREAMS:
+        return _decode_streams(files, permissive, kind)
 
     def run(batches):
         for batch in batches:
@@ -148,9 +153,11 @@ def encode_images(images: DataFrame, kind: str) -> DataFrame:
     """``path, content``: each image as a file of another format, the extension replaced."""
     if kind not in WRITERS:
         raise ValueError(f"no writer for .{kind}")
+    if kind in STREAMS:
+        return _encode_streams(images, kind)
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             for row in batch.to_pylist():
                 name = re.sub(r"\.[^./\\]*$", "", row["path"]) + f".{kind}"
                 yield pa.RecordBatch.from_pylist([{"path": name, "content": WRITERS[kind](from_row(row))}], schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
@@ -187,10 +194,127 @@ def convert(spark: SparkSession, source: str, target: str, kind: str, glob: str
     return write_files(encode_images(read_images(spark, source, glob), kind), target)
 
 
-def samples_of(images: DataFrame) -> DataFrame:
-    """Long form: ``path, component, y, x, v``."""
-    rows = images.select("path", F.explode("planes").alias("p")).select("path", "p.component", "p.width", F.posexplode("p.samples").alias("i", "v"))
-    return rows.select("path", F.col("component").cast("bigint").alias("component"), F.expr("cast(i div width as bigint)").alias("y"), (F.col("i") % F.col("width")).cast("bigint").alias("x"), "v")
+def samples_of(images: DataFrame, *more: Column) -> DataFrame:
+    """Long form: ``path, component, y, x, v``, and what else is asked for of an image, made once for it."""
+    whole = images.select("path", *more, "planes")
+    names = whole.columns[:-1]
+    rows = whole.select(*names, F.explode("planes").alias("p")).select(*names, "p.component", "p.width", F.posexplode("p.samples").alias("i", "v"))
+    return rows.select(*names, F.col("component").cast("bigint").alias("component"), F.expr("cast(i div width as bigint)").alias("y"), (F.col("i") % F.col("width")).cast("bigint").alias("x"), "v")
+
+
+#: Kinds whose blocks are coded in the JVM.
+STREAMS = ("jp2", "j2k", "j2c")
+_PLACE = ("component", "band", "precinct", "bx", "by", "left", "top", "w", "h")
+_KEPT = (("path", pa.string()), ("layout", pa.string()), ("alpha_mode", pa.string()), ("icc", pa.binary()), ("exif", pa.binary()), ("xmp", pa.binary()), ("iptc", pa.binary()))
+_KEPT_DDL = "path string, layout string, alpha_mode string, icc binary, exif binary, xmp binary, iptc binary"
+
+
+def streams(images: DataFrame, options: codestream.Options = codestream.Options()) -> DataFrame:
+    """``path, layout, alpha_mode, icc, exif, xmp, iptc, stream``: each image with its codestream.
+
+    A row stays an image throughout: Python makes its blocks, the JVM codes them in place, Python makes packets of them.
+    Blocks of more than 30 bits are coded in Python.  Where single images are large, ``plans/codec.py`` spreads their blocks.
+    """
+    jvm.register(images.sparkSession)
+    block = pa.struct([("tile", pa.int32()), *((n, pa.int32()) for n in _PLACE), ("kind", pa.string()), ("samples", pa.binary()), ("wide", pa.binary())])
+    schema = pa.schema([*_KEPT, ("head", pa.binary()), ("blocks", pa.list_(block))])
+    done = pa.schema([*_KEPT, ("stream", pa.binary())])
+
+    def split(batches):
+        for batch in portions(batches):
+            kept = batch.select([n for n, _ in _KEPT]).to_pylist()
+            for row, (_, raster) in zip(kept, rasters(batch), strict=True):
+                head, blocks = codestream.head_for(raster, options), []
+                for tile in range(head.tiles):
+                    for place, kind, samples in codestream.tile_blocks(head, tile, codestream.tile_samples(head, tile, raster)):
+                        wide = bool(np.abs(samples).max() >> 30)
+                        values = (place.component, place.band, place.precinct, place.x, place.y, place.left, place.top, place.w, place.h)
+                        blocks.append(dict(zip(_PLACE, values, strict=True)) | {"tile": tile, "kind": kind, "wide" if wide else "samples": samples.astype("<i8" if wide else "<i4").tobytes()})
+                yield pa.RecordBatch.from_pylist([row | {"head": pickle.dumps(head), "blocks": blocks}], schema=schema)
+
+    def join(batches):
+        for batch in portions(batches):
+            for row in batch.to_pylist():
+                head = pickle.loads(row["head"])
+                coded: dict[int, list] = {tile: [] for tile in range(head.tiles)}
+                for b in row["blocks"]:
+                    c = b["c"]
+                    if c is None:
+                        one = t1.encode_block(np.frombuffer(b["wide"], "<i8").reshape(b["h"], b["w"]), b["kind"], head.style)
+                    else:
+                        segments = np.frombuffer(c["segments"], "<i4").reshape(-1, 2).tolist()
+                        one = t1.CodedBlock(c["planes"], c["payload"], c["passes"], list(map(tuple, segments)), np.frombuffer(c["cum_bytes"], "<i4").tolist(), np.frombuffer(c["gains"], "<f8").tolist())
+                    coded[b["tile"]].append((codestream.Place(*(b[n] for n in _PLACE)), one))
+                yield pa.RecordBatch.from_pylist([{n: row[n] for n, _ in _KEPT} | {"stream": codestream.finished(head, coded, options)}], schema=done)
+
+    listed = images.mapInArrow(split, f"{_KEPT_DDL}, head binary, blocks array<struct<tile:int,{','.join(f'{n}:int' for n in _PLACE)},kind:string,samples:binary,wide:binary>>")
+    code = lambda b: F.when(b["samples"].isNotNull(), jvm.encode_block(b["samples"], b["h"], b["w"], b["kind"], F.lit(options.style)))
+    coded = F.transform("blocks", lambda b: F.struct(*[b[n].alias(n) for n in ("tile", *_PLACE, "kind", "wide")], code(b).alias("c")))
+    return listed.withColumn("blocks", coded).mapInArrow(join, f"{_KEPT_DDL}, stream binary")
+
+
+def _encode_streams(images: DataFrame, kind: str) -> DataFrame:
+    """``path, content`` of images whose blocks are coded in the JVM."""
+
+    def run(batches):
+        for batch in portions(batches):
+            for row in batch.to_pylist():
+                name = re.sub(r"\.[^./\\]*$", "", row["path"]) + f".{kind}"
+                yield pa.RecordBatch.from_pylist([{"path": name, "content": boxed(row) if kind == "jp2" else row["stream"]}], schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    return streams(images).mapInArrow(run, "path string, content binary")
+
+
+def boxed(row: dict) -> bytes:
+    """The container of a row of ``streams``."""
+    return jp2.write_jp2(Raster([], row["layout"], row["alpha_mode"], icc=row["icc"], exif=row["exif"], xmp=row["xmp"], iptc=row["iptc"]), stream=row["stream"])
+
+
+def _decode_streams(files: DataFrame, permissive: bool, kind: str) -> DataFrame:
+    """Python lists the blocks of each file, the JVM decodes them in place, Python puts the image together.
+
+    What the JVM does not decode (broken or more than 30 planes), and faults of a file, are left to the reader, as if it were alone.
+    """
+    jvm.register(files.sparkSession)
+    block = pa.struct([(n, pa.int32()) for n in ("planes", "h", "w", "style")] + [("kind", pa.string()), ("payload", pa.binary()), ("segments", pa.binary())])
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("blocks", pa.list_(block))])
+
+    def listed(data: bytes) -> Iterator[dict]:
+        stream = jp2.parse(data).codestream if kind == "jp2" else data
+        head = codestream.read_head(stream)
+        parts = codestream.tile_parts(stream, head)
+        need(sorted(parts) == list(range(head.tiles)), "tile missing")
+        for tile in range(head.tiles):
+            for place, band, planes, segments, payload in codestream.read_blocks(head, tile, parts[tile]):
+                yield {"planes": planes, "h": place.h, "w": place.w, "style": head.style, "kind": band.kind, "payload": payload, "segments": np.array(segments, "<i4").tobytes()}
+
+    def split(batches):
+        for batch in portions(batches):
+            for name, data in zip(batch.column("path"), batch.column("content"), strict=True):
+                row = {"path": name.as_py(), "content": data.as_py()}
+                try:
+                    blocks = list(listed(row["content"]))
+                except (FormatError, IndexError, KeyError, OverflowError, ValueError):
+                    blocks = []  # the reader will say so
+                yield pa.RecordBatch.from_pylist([row | {"blocks": blocks}], schema=schema)
+
+    def join(batches):
+        for batch in portions(batches):
+            for row in batch.to_pylist():
+                found = iter(row["blocks"])
+
+                def reader(payload, segments, planes, h, w, band, style, found=found):
+                    b = next(found, None)
+                    if b is None:
+                        return t1.decode_block(payload, segments, planes, h, w, band, style)
+                    return np.frombuffer(b["q"], "<i4").reshape(h, w), np.frombuffer(b["low"], np.uint8).reshape(h, w).astype(np.int64)
+
+                yield pa.RecordBatch.from_pylist([decoded(row["path"], row["content"], permissive, kind, reader=reader)], schema=ARROW)
+
+    named = ("payload", "segments", "planes", "h", "w", "kind", "style")
+    read = F.transform("blocks", lambda b: F.when(b["planes"] <= 30, jvm.try_decode_block(*(b[n] for n in named))))
+    rows = files.select("path", "content").mapInArrow(split, "path string, content binary, blocks array<struct<planes:int,h:int,w:int,style:int,kind:string,payload:binary,segments:binary>>")
+    return rows.withColumn("blocks", read).mapInArrow(join, SCHEMA)
 
 
 def select_region(images: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:

@@ -262,3 +262,45 @@ def test_portions():
     parts = list(images.portions([batch, batch.slice(0, 0)]))
     assert [k for p in parts for k in p["k"].to_pylist()] == list(range(10)) and max(p.num_rows for p in parts) <= 4
     assert [p.num_rows for p in images.portions([pa.RecordBatch.from_pydict({"b": [bytes(9_000_000)] * 2})])] == [1, 1]
+
+
+def _table(spark, named):
+    """Rasters as a table of images."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.Table.from_pylist([images.to_row(name, "raw", raster) for name, raster in named], schema=images.ARROW))
+
+
+def test_streams_are_those_of_the_python_coder(spark):
+    """Byte for byte, for several tiles, layers and styles, paths that repeat, and blocks too deep for the JVM's 32 bits."""
+    deep = Raster([Plane(RNG.integers(0, 2, (9, 11)) * ((1 << 29) - 1), 29)], "gray")
+    for options in OPTIONS[:3] + OPTIONS[4:6]:
+        named = [("a.raw", image(37, 53, 3)), ("a.raw", image(20, 33, 4)), ("b.raw", deep)]
+        found = images.streams(_table(spark, named), options).collect()
+        assert sorted(bytes(r["stream"]) for r in found) == sorted(codestream.encode(raster, options) for _, raster in named)
+        assert {r["alpha_mode"] for r in found} == {None, "unassociated"}
+    files = images.encode_images(_table(spark, named), "jp2")
+    assert sorted(bytes(r["content"]) for r in files.collect()) == sorted(jp2.write_jp2(raster) for _, raster in named)
+    back = images.decode_images(files, kind="jp2").collect()
+    key = lambda r: sum(r, [])
+    assert sorted((key([p["samples"] for p in r["planes"]]), r["layout"], r["alpha_mode"]) for r in back) == sorted((key([p.samples.ravel().tolist() for p in x.planes]), x.layout, x.alpha_mode) for _, x in named)
+
+
+def test_blocks_are_not_coded_in_python(spark):
+    """The Python coder needs seconds for what the JVM does in milliseconds, so it must not be asked."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "500")
+    files = images.encode_images(_table(spark, [("a.raw", image(40, 40, 4))]), "jp2")
+    plans = [frame._jdf.queryExecution().optimizedPlan().toString() for frame in (files, images.decode_images(files, kind="jp2"))]
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert all("planeforge_encode_block" in p for p in plans) and "planeforge_try_decode_block" in plans[1]
+
+
+def test_broken_streams_are_refused_as_before(spark):
+    data = jp2.write_jp2(image(40, 40, 3))
+    broken = [data[:-40] + data[-2:], data[:60], b"", data[:-300] + bytes(298) + data[-2:]]
+    files = spark.createDataFrame([(f"{k}.jp2", bytearray(b)) for k, b in enumerate([data, *broken])], "path string, content binary")
+    found = {r["path"]: (r["_error"], r["planes"]) for r in images.decode_images(files, "PERMISSIVE", "jp2").collect()}
+    assert found["0.jp2"][0] is None
+    for k, b in enumerate(broken, 1):
+        want = images.decoded(f"{k}.jp2", b, True)
+        assert found[f"{k}.jp2"][0] == want["_error"]
