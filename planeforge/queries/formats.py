@@ -19,7 +19,7 @@ from ..functions import curves
 from ..operators import geometry, t2
 from ..plans import codec
 from ..rasters import embedding_plane, rgb_events, signed_ramp, table, to_blocks, to_planes
-from ..session import scratch
+from ..session import scratch, written
 from ..sources import codestream, images, jp2, jpeg, markers, png, tiff
 from ..sources.codestream import Options
 from .codec import STRIP
@@ -525,20 +525,50 @@ def _nations(spark, d) -> DataFrame:
     return table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.sort_array(F.collect_list("c_custkey")).alias("keys"))
 
 
+#: Tiles of a stream at most, as two index bytes number them; a nation of more is several streams.
+_TILES = 1 << 16
+
+
+def _ranked(spark, d) -> DataFrame:
+    """``nation, key, k``: the customers of each nation and their places in order, however large a nation is.
+
+    Sorted by ranges; places are counted inside a partition and go on from what lies before it (a row a partition and nation).
+    """
+    order = ["nation", "key"]
+    rows = table(spark, d, "customer").select(F.col("c_nationkey").cast("bigint").alias("nation"), F.col("c_custkey").alias("key"))
+    # written once: a second sampling could cut the ranges elsewhere
+    parts = written(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranked")
+    before = Window.partitionBy("nation").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("nation", "_p").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    starts = starts.select(F.col("nation").alias("_nation"), F.col("_p").alias("_part"), "_start")
+    place = F.row_number().over(Window.partitionBy("nation", "_p").orderBy("key")) - 1
+    counted = parts.withColumn("_k", place).join(F.broadcast(starts), F.col("nation").eqNullSafe(F.col("_nation")) & (F.col("_p") == F.col("_part")))
+    return counted.select("nation", "key", (F.col("_start") + F.col("_k")).cast("bigint").alias("k"))
+
+
+def _runs(spark, d, size: int) -> DataFrame:
+    """``nation, run, keys``: the customers of a nation in order, ``size`` to a row."""
+    run = F.expr(f"k div {size}").alias("run")
+    return _ranked(spark, d).groupBy("nation", run).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "key"))), lambda s: s["key"]).alias("keys"))
+
+
 @query("tlm_roundtrip", f"WITH {_GROUPS} SELECT CAST(w AS BIGINT) AS index_bytes, CAST(nation AS BIGINT) AS nation, CAST(k AS BIGINT) AS tile, 14 + c_custkey AS length FROM g, range(0, 3) t(w) WHERE w <> 1 OR k < 256")
 def tlm_roundtrip(spark, d):
-    """Tile-part lengths in numbered segments of 20 entries, in the widths that hold them."""
+    """Tile-part lengths in numbered segments of 20 entries, in the widths that hold them; a row a segment."""
 
     def made(row):
-        out = []
         for width in range(3):
-            entries = [(k, 14 + v) for k, v in enumerate(row["keys"]) if width != 1 or k < 256]
-            for number, at in enumerate(range(0, len(entries), 20)):
-                body = markers.write_tlm(entries[at : at + 20], number % 256, width, 4)
-                out += [{"index_bytes": width, "nation": row["nation"], "tile": t, "length": n} for t, n in markers.parse_tlm(body, number % 256, at)]
-        return out
-
-    return mapped(_nations(spark, d), made, "index_bytes bigint, nation bigint, tile bigint, length bigint", pa.schema([(n, pa.int64()) for n in ("index_bytes", "nation", "tile", "length")]))
+            first = 20 * row["run"]
+            entries = [(first + k, 14 + v) for k, v in enumerate(row["keys"]) if width != 1 or first + k < 256]
+            stream = first // _TILES * _TILES  # two index bytes number the tiles of one stream
+            while entries:
+                here = [(k - stream, n) for k, n in entries if k - stream < _TILES]
+                body = markers.write_tlm(here, row["run"] % 256, width, 4)
+                for t, n in markers.parse_tlm(body, row["run"] % 256, here[0][0]):
+                    yield {"index_bytes": width, "nation": row["nation"], "tile": stream + t, "length": n}
+                entries, stream = entries[len(here) :], stream + _TILES
+
+    return mapped(_runs(spark, d, 20), made, "index_bytes bigint, nation bigint, tile bigint, length bigint", pa.schema([(n, pa.int64()) for n in ("index_bytes", "nation", "tile", "length")]))
 
 
 @query("plm_roundtrip", f"WITH {_GROUPS} SELECT CAST(nation AS BIGINT) AS nation, CAST(k // 40 AS BIGINT) AS part, CAST(k % 40 AS BIGINT) AS packet, c_custkey * 37 AS length FROM g")

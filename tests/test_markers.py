@@ -136,3 +136,28 @@ def test_signed_ramp(spark):
     assert plane.min() < -2000 and plane.max() > 2000
     data = codestream.encode(Raster([Plane(plane, 12, True)], "planar"), codestream.Options(levels=3))
     assert (codestream.decode(data).planes[0].samples == plane).all()
+
+
+def test_lengths_of_more_tiles_than_two_bytes_number(spark, tmp_path, monkeypatch):
+    """A nation goes on in another stream; its rows come in runs, not as one list. Ties and a null nation are kept."""
+    from planeforge.queries import QUERIES, formats
+
+    spark.range(1003).selectExpr("id div 2 * 2 as c_custkey", "if(id % 10 = 3, null, cast(id % 2 as int)) as c_nationkey").repartition(5).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(formats, "_TILES", 50)  # cuts segments of 20
+    groups = {}
+    for k in range(1003):
+        groups.setdefault(None if k % 10 == 3 else k % 2, []).append(k // 2 * 2)
+    want = sorted((w, -1 if n is None else n, k, 14 + v) for n, keys in groups.items() for k, v in enumerate(sorted(keys)) for w in range(3) if w != 1 or k < 256)
+    found = QUERIES["tlm_roundtrip"](spark, str(tmp_path)).collect()
+    assert sorted((r["index_bytes"], -1 if r["nation"] is None else r["nation"], r["tile"], r["length"]) for r in found) == want
+    runs = formats._runs(spark, str(tmp_path), 20).collect()
+    assert max(len(r["keys"]) for r in runs) == 20 and sum(len(r["keys"]) for r in runs) == 1003
+
+
+def test_lengths_beyond_the_tiles_of_a_stream(spark, tmp_path):
+    from planeforge.queries import QUERIES
+
+    n = (1 << 16) + 30
+    spark.range(n).selectExpr("id as c_custkey", "cast(1 as int) as c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    found = QUERIES["tlm_roundtrip"](spark, str(tmp_path)).where("index_bytes = 2").selectExpr("count(*) n", "count_if(length = tile + 14) same", "max(tile) most").first()
+    assert tuple(found) == (n, n, n - 1)
