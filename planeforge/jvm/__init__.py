@@ -25,6 +25,8 @@ FUNCTIONS = (
     ("planeforge_entropy_decode", "planeforge.jvm.Blocks$EntropyDecode", "binary"),
     ("planeforge_encode_block", "planeforge.jvm.Blocks$Encode", "planes int, passes int, payload binary, segments binary, cum_bytes binary, gains binary"),
     ("planeforge_decode_block", "planeforge.jvm.Blocks$Decode", "q binary, low binary"),
+    ("planeforge_pack", "planeforge.jvm.Blocks$Pack", "binary"),
+    ("planeforge_unpack", "planeforge.jvm.Blocks$Unpack", "array<bigint>"),
     ("planeforge_try_decode_block", "planeforge.jvm.Blocks$TryDecode", "q binary, low binary"),
 )
 _LOADERS: dict[str, object] = {}
@@ -74,6 +76,15 @@ def try_decode_block(payload: Column, segments: Column, planes: Column, height:
     return F.call_udf("planeforge_try_decode_block", payload, segments, planes, height, width, kind, style)
 
 
+def pack(samples: Column) -> Column:
+    """A list of samples as the block coder takes them."""
+    return F.call_udf("planeforge_pack", samples)
+
+
+def unpack(packed: Column) -> Column:
+    return F.call_udf("planeforge_unpack", packed)
+
+
 def mq_encode(data: Column, predictable: bool = False) -> Column:
     return F.call_udf("planeforge_mq_encode", data, F.lit(int(predictable)))
 

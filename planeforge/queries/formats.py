@@ -392,11 +392,11 @@ _STYLES = (0, 1, 2, 4, 5, 8, 16, 32, 63)
 def block_styles_roundtrip(spark, d):
     """Code blocks of 16x16 in each style (bypass, reset, termination, causal, predictable, marks): all passes, both ways."""
     jvm.register(spark)
-    blocks = to_blocks(embedding_plane(spark, d), 16, 16).withColumn("style", F.explode(F.array(*map(F.lit, _STYLES))))
-    packed = mapped(blocks, lambda r: [r | {"samples": np.array(r["samples"], "<i4").tobytes()}], "y0 long, x0 long, h long, w long, samples binary, style int", pa.schema([*((n, pa.int64()) for n in ("y0", "x0", "h", "w")), ("samples", pa.binary()), ("style", pa.int32())]))
+    blocks = to_blocks(embedding_plane(spark, d), 16, 16).withColumn("samples", jvm.pack(F.col("samples")))
+    packed = blocks.withColumn("style", F.explode(F.array(*map(F.lit, _STYLES))))
     coded = packed.withColumn("c", jvm.encode_block(F.col("samples"), F.col("h"), F.col("w"), F.lit("HL"), F.col("style")))
     back = coded.withColumn("b", jvm.decode_block(F.col("c.payload"), F.col("c.segments"), F.col("c.planes"), F.col("h"), F.col("w"), F.lit("HL"), F.col("style")))
-    lists = mapped(back.select("style", "y0", "x0", "w", F.col("b.q").alias("q")), lambda r: [r | {"q": np.frombuffer(r["q"], "<i4").astype(np.int64)}], "style int, y0 long, x0 long, w long, q array<long>", pa.schema([("style", pa.int32()), *((n, pa.int64()) for n in ("y0", "x0", "w")), ("q", pa.list_(pa.int64()))]))
+    lists = back.select("style", "y0", "x0", "w", jvm.unpack(F.col("b.q")).alias("q"))
     rows = lists.select("style", "y0", "x0", "w", F.posexplode("q").alias("i", "v"))
     return rows.select(*ints(style="style", y=F.col("y0") + F.expr("i div w"), x=F.col("x0") + F.col("i") % F.col("w"), v="v"))
 
@@ -410,12 +410,11 @@ def block_truncated(spark, d):
     """The first pass alone: the highest plane of a block, and nothing else, is known."""
     jvm.register(spark)
     blocks = to_blocks(embedding_plane(spark, d), 16, 16)
-    schema = pa.schema([*((n, pa.int64()) for n in ("y0", "x0", "h", "w")), ("samples", pa.binary())])
-    packed = mapped(blocks, lambda r: [r | {"samples": np.array(r["samples"], "<i4").tobytes()}], "y0 long, x0 long, h long, w long, samples binary", schema)
+    packed = blocks.withColumn("samples", jvm.pack(F.col("samples")))
     # each pass ends a segment, so the first segment is the first pass
     coded = packed.withColumn("c", jvm.encode_block(F.col("samples"), F.col("h"), F.col("w"), F.lit("LL"), F.lit(4))).where("c.planes > 0")
     back = coded.withColumn("b", jvm.decode_block(F.col("c.payload"), F.substring(F.col("c.segments"), 1, 8), F.col("c.planes"), F.col("h"), F.col("w"), F.lit("LL"), F.lit(4)))
-    lists = mapped(back.select("y0", "x0", "w", F.col("b.q").alias("q")), lambda r: [r | {"q": np.frombuffer(r["q"], "<i4").astype(np.int64)}], "y0 long, x0 long, w long, q array<long>", pa.schema([*((n, pa.int64()) for n in ("y0", "x0", "w")), ("q", pa.list_(pa.int64()))]))
+    lists = back.select("y0", "x0", "w", jvm.unpack(F.col("b.q")).alias("q"))
     rows = lists.select("y0", "x0", "w", F.posexplode("q").alias("i", "v"))
     return rows.select(*ints(y=F.col("y0") + F.expr("i div w"), x=F.col("x0") + F.col("i") % F.col("w"), v="v"))
 

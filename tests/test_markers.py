@@ -161,3 +161,10 @@ def test_lengths_beyond_the_tiles_of_a_stream(spark, tmp_path):
     spark.range(n).selectExpr("id as c_custkey", "cast(1 as int) as c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
     found = QUERIES["tlm_roundtrip"](spark, str(tmp_path)).where("index_bytes = 2").selectExpr("count(*) n", "count_if(length = tile + 14) same", "max(tile) most").first()
     assert tuple(found) == (n, n, n - 1)
+
+
+def test_blocks_of_planes_need_no_python(spark, tables):
+    from planeforge.queries import QUERIES
+
+    for name in ("block_styles_roundtrip", "block_truncated"):
+        assert "MapInArrow" not in QUERIES[name](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
